@@ -82,9 +82,10 @@ def containment(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFra
     the join is an equality over documents' word windows; containment is then verified on the texts."""
     lead = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, words), " ")
     keyed = passages.select("item_id", F.col("text").alias("passage"), F.size(F.split(F.trim("text"), r"\s+")).alias("n"), F.xxhash64(lead).alias("k")).filter(F.col("n") >= words)
-    split = F.split(F.trim("text"), r"\s+")
-    windows = F.transform(F.sequence(F.lit(0), F.size(split) - words), lambda i: F.xxhash64(F.array_join(F.slice(split, i + 1, words), " ")))
-    rows = docs.filter(F.size(split) >= words).select("doc_id", F.explode(F.array_distinct(windows)).alias("k"))
+    # the words as a column of their own, as each window refers to them
+    split = docs.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w")).filter(F.size("w") >= words)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
+    rows = split.select("doc_id", F.explode(F.array_distinct(windows)).alias("k"))
     pairs = rows.join(F.broadcast(keyed.select("k").distinct()) if keyed.count() <= 100_000 else keyed.select("k").distinct(), "k", "left_semi").join(keyed.select("k", "item_id"), "k").select("item_id", "doc_id").distinct()
     full = pairs.join(keyed.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     return full.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")

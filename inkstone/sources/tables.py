@@ -114,7 +114,7 @@ def parse_records(text: DataFrame) -> DataFrame:
     parts = text.select(F.explode(F.split("value", r"(?m)(?=^DOC_ID:)")).alias("r")).filter(F.col("r").startswith("DOC_ID:"))
     head = F.array_join(F.slice(F.split("r", "\n", -1), 1, 12), "\n")
     value = lambda name: F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    body = F.regexp_replace("r", r"(?s)\A.*?^EXTRACTED_WORDS:[^\n]*\n?".replace("^", r"(?<=\n)"), "")
+    body = F.regexp_replace("r", r"(?s)\A.*?(?<=\n)EXTRACTED_WORDS:[^\n]*\n?", "")
     return parts.select(value("DOC_ID").alias("doc_id"), value("FILENAME").alias("filename"), T.forgiving_int(value("PAGES")).alias("pages"), T.forgiving_int(value("EXTRACTED_WORDS")).alias("words"), F.trim(body).alias("text"))
 
 
