@@ -58,8 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc() % 5 == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
-    field = toxicity.trained(toxicity.sample(labelled))
+    field = toxicity.trained(toxicity.sample(docs, labels))
     return toxicity.scored(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.to_json("spans").alias("spans"))
 
 

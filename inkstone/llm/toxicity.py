@@ -223,14 +223,15 @@ def toxic_marks(texts: list[str], toxic: list[bool], settings: Settings) -> set[
     return {w for w, n in have[1].items() if n >= max(settings.min_texts, settings.min_share * total[1]) and n / total[1] >= settings.min_lift * (have[0][w] + 0.1) / total[0]}
 
 
-def sample(labelled: DataFrame, settings: Settings = Settings()) -> list[tuple[str, bool]]:
-    """At most ``toxic_texts`` toxic and ``other_texts`` other texts of ``labelled`` (text, toxic), by a hash of the text."""
-    rows = labelled.filter("text is not null and toxic is not null").select("text", "toxic")
-    out: list[tuple[str, bool]] = []
-    for toxic, bound in ((1, settings.toxic_texts), (0, settings.other_texts)):
-        part = rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("text"), "text").limit(bound)
-        out += [(r["text"], bool(r["toxic"])) for r in part.collect()]
-    return out
+def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[tuple[str, bool]]:
+    """The texts of at most ``toxic_texts`` toxic and ``other_texts`` other rows of ``labels`` (doc_id, toxic), picked by a
+    hash of the id. Ids are picked first; texts are then read through a broadcast of those ids, so none is shuffled."""
+    rows = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("__id"), "toxic")
+    picked = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in ((1, settings.toxic_texts), (0, settings.other_texts))]
+    ids = picked[0].unionByName(picked[1]).distinct()  # at most toxic_texts + other_texts rows
+    found = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(ids), "__id")
+    got = found.limit(2 * (settings.toxic_texts + settings.other_texts)).collect()  # more rows than ids only if ids repeat
+    return sorted((r["text"], bool(r["toxic"])) for r in got)
 
 
 def trained(rows: list[tuple[str, bool]], settings: Settings = Settings()) -> Field:
