@@ -135,10 +135,16 @@ class Network:
 
 
 def sample(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """At most ``texts_per_lang`` (text, lang) of each language, by a hash of the text."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = labelled.filter("text is not null and lang is not null").select("text", "lang").withColumn("r", F.row_number().over(w))
-    return rows.filter(F.col("r") <= settings.texts_per_lang).select("text", "lang")
+    """At most ``texts_per_lang`` (text, lang) of each language, those of smallest hash of the text.
+
+    A first count of each language gives the hash below which about four times as many rows lie; only those are
+    ranked, so a language of any size brings a bounded number of texts to its task."""
+    rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
+    sizes = rows.groupBy("lang").agg((4.0 * settings.texts_per_lang / F.count("*")).alias("rate"))
+    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(F.broadcast(sizes), "lang").filter(chance < F.col("rate")).select("text", "lang")  # sizes: a row for each language
+    w = Window.partitionBy("lang").orderBy(chance, "text")
+    return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= settings.texts_per_lang).select("text", "lang")
 
 
 def trained(labelled: DataFrame, settings: Settings = Settings()) -> Network:
