@@ -43,7 +43,7 @@ def windows(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
     """(did, th, at, n, wh, anchor, place): each run of ``window`` lines (n = window), and each long line (n = 1);
     wh is the run's hash, anchor its smallest line hash, which stands at line ``place``."""
     rows = docs.select(*[c.alias(k) for k, c in _key().items()], _lines().alias("lines"))
-    rows = rows.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x["line"])))
+    rows = rows.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x["line"]))).filter(F.size("lines") > 0)
     last = F.size("lines") - window
     hashes = lambda i: F.slice("h", i + 1, window)
     place = lambda i: i + window - F.array_position(F.reverse(hashes(i)), F.array_min(hashes(i))).cast("int")
@@ -79,12 +79,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     keyed = docs.withColumns({"__did": key["did"], "__th": key["th"]})
     gone = repeats(docs, window, long_words).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.sort_array("gone").alias("__gone"))
     out = keyed.join(gone, ["__did", "__th"], "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    lines = _lines()
-    dropped = F.transform("__gone", lambda i: F.element_at(lines, i + 1)["at"])
-    parts = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped), lambda i: F.element_at(parts, i + 1))
+    # lines and parts as columns of their own, as the functions below refer to them for each element
+    out = out.withColumns({"__all": _lines(), "__parts": F.split("text", "\n", -1)})
+    dropped = F.transform("__gone", lambda i: F.element_at("__all", i + 1)["at"])
+    out = out.withColumns({"__keep": F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), dropped), "__lines": F.size("__all").cast("long")})
+    kept = F.transform("__keep", lambda i: F.element_at("__parts", i + 1))
     text = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return out.withColumns({"__lines": F.size(lines).cast("long"), "text": text}).drop("__did", "__th")
+    return out.withColumn("text", text).drop("__did", "__th", "__all", "__parts", "__keep")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
