@@ -144,6 +144,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -
 def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """The groups that are probed and their thresholds, of least estimated cost over 1 to distance + 2 groups."""
     options = []
+    n = max(n, 1)  # signatures cost something even before there are rows, so that few are chosen
     for parts in range(1, distance + 3):
         groups = group_bits(n, both, parts)
         cost, thresholds = allocate(n, both, groups, distance)
