@@ -39,6 +39,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Known digests and identifiers: UUIDs, digests with their algorithm's name before them, hexadecimal of a digest's length.
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _DIGEST_NAME = re.compile(r"(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512|crc32|etag|integrity)[-:=\s\"']*$", re.IGNORECASE)
+_NAMED_DIGEST = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|crc32)[-_=]", re.IGNORECASE)
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 #: Fewest code points for a token that ordinary text reaches.
@@ -75,7 +76,7 @@ def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> lis
     for m in _RUN.finditer(text):
         start, end = m.span()
         run = m[0]
-        if any(a < end and start < b for a, b, _ in base) or _UUID.search(run):
+        if any(a < end and start < b for a, b, _ in base) or _UUID.search(run) or _NAMED_DIGEST.match(run):
             continue
         if _HEX_ONLY.fullmatch(run) and (len(run) in _DIGEST_LENGTHS or run.isdigit()) or _DIGEST_NAME.search(text[max(0, start - 16) : start]):
             continue
