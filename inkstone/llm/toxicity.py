@@ -167,7 +167,7 @@ class Field:
             n = sum(map(len, of))
             own = p[at : at + n]
             at += n
-            out.append((self.text_score(own), self.spans(text or "", own)))
+            out.append((self.text_score(own), self.spans(text or "", own) if self.ready else []))
         return out
 
     def text_score(self, p: np.ndarray) -> float:

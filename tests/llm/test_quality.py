@@ -35,7 +35,7 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(documents, texts):
     judge = X.Judge(X.Bands())
     r = random.Random(3)
     noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(12)) for _ in range(900))
-    varied = "\n".join(f"row {i} of the very same kind of line" for i in range(300))
+    varied = "\n".join(f"row {i} of the same {i} kind of {i} line" for i in range(300))
     assert not judge(noise)[6] and not judge(varied)[6] and not judge(varied)[5]
     assert judge("too short")[5] and not judge("too short")[6]
 
