@@ -35,13 +35,18 @@ class Bands:
 
     Natural-language text of n bytes lies well inside them in any language with
     an alphabet; the lower limits fall and the upper limits tighten as n grows.
+    The upper limits stand between the largest ratios of clean text and the
+    least of random letters and digits of the same length.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (256, 0.40, 0.95), (512, 0.36, 0.88), (1024, 0.33, 0.80), (4096, 0.28, 0.72), (16384, 0.24, 0.68), (65536, 0.20, 0.66))
-    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (1024, 0.32, 0.80), (2048, 0.30, 0.76))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, 0.95), (128, 0.0, 0.93), (192, 0.0, 0.875), (256, 0.40, 0.84), (320, 0.40, 0.82), (384, 0.40, 0.80), (448, 0.40, 0.78), (512, 0.36, 0.765), (640, 0.36, 0.75), (768, 0.36, 0.735),
+        (1024, 0.33, 0.71), (1280, 0.33, 0.70), (1536, 0.33, 0.69), (2048, 0.33, 0.67), (4096, 0.28, 0.65), (16384, 0.24, 0.62), (65536, 0.20, 0.60),
+    )
+    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (256, 0.0, 0.84), (320, 0.0, 0.82), (384, 0.0, 0.80), (512, 0.0, 0.765), (768, 0.0, 0.735), (1024, 0.32, 0.70), (1536, 0.32, 0.67), (2048, 0.30, 0.65))
     chunk_bytes: int = 2048
-    #: Share of the chunks that must lie in their band.
-    chunk_share: float = 0.5
+    #: Share of the chunks' bytes that must lie in chunks inside their band.
+    chunk_share: float = 0.9
     level: int = 3
     min_words: int = 20
     #: Percent of words that may stand in eight-word windows found twice or more.
@@ -98,9 +103,9 @@ class Judge:
         failed = len(words) < bands.min_words or 100 * n_repeat > bands.max_repeat * len(words)
         whole = self.ratio(data)
         size = bands.chunk_bytes
-        chunks = [c for k in range(0, len(data), size) if len(c := data[k : k + size]) >= size // 2]
-        inside = sum(low <= self.ratio(c) <= high for c in chunks for low, high in [limits(bands.chunk, len(c))])
-        share = inside / len(chunks) if chunks else 1.0
+        chunks = [data[k : k + size] for k in range(0, len(data), size)]
+        inside = sum(len(c) for c in chunks for low, high in [limits(bands.chunk, len(c))] if low <= self.ratio(c) <= high)
+        share = inside / len(data) if data else 1.0
         low, high = limits(bands.whole, len(data))
         kept = not failed and low <= whole <= high and share >= bands.chunk_share
         return len(words), chars, len(_SYMBOLS.findall(text)), n_dup, n_repeat, failed, kept, whole, share

@@ -40,6 +40,28 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(documents, texts):
     assert judge("too short")[5] and not judge("too short")[6]
 
 
+def random_words(r, n, width=12):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(width)) for _ in range(n // (width + 1) + 1))[:n]
+
+
+def test_short_random_texts_are_rejected():
+    judge, r = X.Judge(X.Bands()), random.Random(4)
+    for n in (300, 600, 800, 1200, 2000, 3000, 4000):
+        for _ in range(10):
+            assert judge(random_words(r, n))[5:7] == (False, False)
+    for _ in range(10):
+        assert judge(random_words(r, 230, 10))[5:7] == (False, False)
+
+
+def test_random_parts_of_long_texts_are_rejected(documents, data):
+    judge, r = X.Judge(X.Bands()), random.Random(5)
+    labels = documents.sparkSession.read.parquet(f"{data}/labels.parquet").filter("quality = 1")
+    clean = [x["text"] for x in documents.join(labels, "doc_id").orderBy("doc_id").collect()]
+    prose = max(clean, key=len)
+    assert judge(prose)[6] and not judge(prose + " " + random_words(r, len(prose) * 3 // 4))[6]
+    assert not judge(prose[:2048] + random_words(r, 900))[6]
+
+
 def test_clean_documents_are_kept(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     good = X.judged(docs).join(labels.filter("quality = 1"), "doc_id")
