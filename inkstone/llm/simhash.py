@@ -245,8 +245,15 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     then of the smallest text hash; of rows equal in both, one."""
     fps, roots = _classes(docs, shingle, distance)
     first = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first")).join(roots, "fp")
-    keep = first.groupBy("root").agg(F.min("first").alias("k"))
+    return rows_of(docs, first.groupBy("root").agg(F.min("first").alias("first")).select("first"))
+
+
+def rows_of(docs: DataFrame, places: DataFrame, added: list[str] | None = None) -> DataFrame:
+    """The rows (all columns, and those ``added`` from ``places``) of ``docs`` at ``places`` (first: doc_id, th); of
+    rows equal in both, one."""
     lowest = -(1 << 63)
-    keep = keep.select(F.coalesce("k.doc_id", F.lit(lowest)).alias("__did"), F.col("k.th").alias("__th"))
-    keyed = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)), "__th": F.xxhash64("text")})
-    return keyed.join(keep, ["__did", "__th"], "left_semi").dropDuplicates(["__did", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = places.select(F.coalesce("first.doc_id", F.lit(lowest)).alias("__did"), F.col("first.th").alias("__th"), *(added or []))
+    base = docs.select("doc_id", "text") if added else docs
+    keyed = base.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)), "__th": F.xxhash64("text")})
+    rows = keyed.join(at, ["__did", "__th"], "inner" if added else "left_semi").dropDuplicates(["__did", "__th"])
+    return rows.select(*added, "text") if added else rows.select(*[F.col(f"`{c}`") for c in docs.columns])
