@@ -2,11 +2,12 @@
 
 Base kinds are ``assign`` (a credential word, a separator, a value), ``access``
 (key ids with a fixed prefix) and ``hex`` (long lower-case hexadecimal runs). The
-token-efficiency test adds kind ``dense``: a run of key characters whose
-characters per token under a tiktoken vocabulary are few, as random strings
-have no frequent substrings. Runs that are known digests in their usual
-notation, UUIDs, numbers, paths, addresses of hosts, words and names in the
-usual cases are excluded first, and so is what a base span covers.
+token-efficiency test adds kind ``dense``: a run of key characters, or a part
+of one, whose characters per token under a tiktoken vocabulary are few, as
+random strings have no frequent substrings. What a base span covers, known
+digests in their usual notation and UUIDs are cut out first, and the rest of
+the run is judged; numbers, paths, words and names in the usual cases have too
+many characters a token.
 
 Offsets count code points; ends are exclusive.
 
@@ -42,8 +43,16 @@ _DIGEST_NAME = re.compile(r"(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512|cr
 _NAMED_DIGEST = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|crc32)[-_=]", re.IGNORECASE)
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
+#: A digest where its name ends: hexadecimal or base64 of a digest's length, else up to the next separator.
+_DIGEST = re.compile("|".join(rf"[0-9A-Fa-f]{{{n}}}(?![A-Za-z0-9+])" for n in sorted(_DIGEST_LENGTHS)) + "|" + "|".join(rf"[A-Za-z0-9+/]{{{n}}}{'=' * pad}(?![A-Za-z0-9+=])" for n, pad in ((22, 2), (27, 1), (38, 2), (43, 1), (64, 0), (86, 2))) + "|[A-Za-z0-9+]+")
+_SEPARATORS = "/_=-"
+_PARTS = re.compile(r"[^/_=-]+")
 #: Fewest code points for a token that ordinary text reaches.
 RATIO = 2.2
+#: The same for strings of letters alone, which may be words of any language: less than upper-case words reach.
+LETTERS_RATIO = 1.7
+#: Least code points of a judged string.
+LEAST = 20
 
 
 @lru_cache(maxsize=4)
@@ -56,12 +65,69 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def random_looking(run: str, enc: tiktoken.Encoding, ratio: float = RATIO) -> bool:
-    """Whether ``run`` mixes letters and digits and has fewer than ``ratio`` characters a token."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    """Whether ``run`` has fewer than ``ratio`` characters a token and letters; without digits, fewer than LETTERS_RATIO."""
+    if not any(c.isalpha() for c in run):
         return False
+    if not any(c.isdigit() for c in run):
+        ratio = min(ratio, LETTERS_RATIO)
     return len(run) < ratio * len(enc.encode_ordinary(run))
 
 
+def known_parts(run: str, named: bool) -> list[tuple[int, int]]:
+    """The spans of a run that are UUIDs or digests; ``named``: a digest's name stands before the run."""
+    out = [m.span() for m in _UUID.finditer(run)]
+    starts = [0] if named else []
+    starts += [m.end() for m in _NAMED_DIGEST.finditer(run) if not m.start() or run[m.start() - 1] in _SEPARATORS]
+    out += [(min(k, m.start()), m.end()) for k in starts if (m := _DIGEST.match(run, k))]
+    return out + [m.span() for m in _PARTS.finditer(run) if _HEX_ONLY.fullmatch(m[0]) and len(m[0]) in _DIGEST_LENGTHS]
+
+
+def dense(run: str, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """The spans of a run that look random: the whole of a run without words, else its parts between separators, and
+    windows of about LEAST code points with few separators, grown to whole parts."""
+    if len(run) < LEAST:
+        return []
+    parts = [m.span() for m in _PARTS.finditer(run)]
+    whole = random_looking(run, enc, ratio)
+    if whole and not any(b - a >= 5 and run[a:b].isalpha() for a, b in parts):
+        return [(parts[0][0], len(run))]
+    inside = [0] * len(run)
+    for a, b in parts:
+        if b - a >= LEAST and random_looking(run[a:b], enc, ratio):
+            inside[a:b] = [1] * (b - a)
+    ends = [0]
+    for token in enc.encode_ordinary(run):
+        ends.append(ends[-1] + len(enc.decode_single_token_bytes(token)))  # a run is ASCII
+    j = 0
+    for i, a in enumerate(ends):
+        while j < len(ends) - 1 and ends[j] - a < LEAST:
+            j += 1
+        b = ends[j]
+        if b - a < LEAST:
+            break
+        piece = run[a:b]
+        mixed = any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
+        few = sum(map(piece.count, _SEPARATORS)) * 10 <= len(piece)
+        if few and not piece.isdigit() and len(piece) < (ratio if mixed else min(ratio, LETTERS_RATIO)) * (j - i):
+            inside[a:b] = [1] * (b - a)
+    out: list[list[int]] = []
+    for a, b in parts:
+        if any(inside[a:b]):
+            if out and all(inside[out[-1][1] : a]):
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+    for span in out:  # words at the ends stay
+        own = [p for p in parts if span[0] <= p[0] and p[1] <= span[1]]
+        word = lambda p: run[p[0] : p[1]].isalpha() and not random_looking(run[p[0] : p[1]], enc, ratio) and p[1] - p[0] >= 3
+        while len(own) > 1 and word(own[0]):
+            own.pop(0)
+        while len(own) > 1 and word(own[-1]):
+            own.pop()
+        span[:] = own[0][0], own[-1][1]
+    return [(a, b) for a, b in out] or [(0, len(run))] * whole
+
+
 def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret in ``text``, by start and then kind."""
     if not text:
@@ -75,13 +141,12 @@ def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> lis
     base = list(found)
     for m in _RUN.finditer(text):
         start, end = m.span()
-        run = m[0]
-        if any(a < end and start < b for a, b, _ in base) or _UUID.search(run) or _NAMED_DIGEST.match(run):
-            continue
-        if _HEX_ONLY.fullmatch(run) and (len(run) in _DIGEST_LENGTHS or run.isdigit()) or _DIGEST_NAME.search(text[max(0, start - 16) : start]):
-            continue
-        if random_looking(run, enc, ratio):
-            found.append((start, end, "dense"))
+        cut = [(a - start, b - start) for a, b, _ in base if a < end and start < b]
+        cut += known_parts(m[0], bool(_DIGEST_NAME.search(text[max(0, start - 16) : start])))
+        at = 0
+        for a, b in sorted([*cut, (end - start, end - start)]):
+            found += [(start + at + x, start + at + y, "dense") for x, y in dense(m[0][at : max(at, a)], enc, ratio)]
+            at = max(at, b)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
