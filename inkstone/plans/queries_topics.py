@@ -318,7 +318,7 @@ def lda_seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = V.token_rows(table(spark, sf_dir, "documents"), STOP)
     lists: dict[int, list[str]] = {}
-    for r in P.top_terms(phi(spark, sf_dir)).filter("topic < 4").orderBy("topic", "rank").collect():
+    for r in P.top_terms(phi(spark, sf_dir)).orderBy("topic", "rank").collect():
         lists.setdefault(r["topic"], []).append(r["term"])
     v, n = models.coherence(tokens, list(lists.values()), 110), models.coherence(tokens, list(lists.values()), 10, "c_npmi")
     return spark.createDataFrame([(t, a, b) for t, a, b in zip(lists, v, n, strict=True)], "topic int, c_v double, c_npmi double")
