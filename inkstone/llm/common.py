@@ -4,8 +4,9 @@ Null, repeated-row and skew rules that hold for every operator here:
 
 * A null text counts as the empty text; a null doc_id is an ordinary id.
 * Equal rows are treated alike: they get equal results, and none is dropped.
-* Only the columns an operator names are read, so extra columns (with any
-  name) never clash with internal ones.
+* Only the columns an operator names are read, and found as Spark finds them,
+  whatever their case; where extra columns are carried along, internal columns
+  get names that no column of the table has (``fresh``).
 * Nothing that grows with the corpus is collected: the driver only ever sees
   per-partition counters, histograms over a fixed domain, and bounded samples.
 """
@@ -15,7 +16,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +29,64 @@ HOT_SHARE = 500
 #: Tasks over which one hot key is spread.
 HOT_SALTS = 64
 
-_owned: list[tuple[object, str]] = []
+#: What this process wrote to the shared folder, by path; deleted when given up or at exit.
+_owned: dict[str, tuple[object, object]] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that reach Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the Arrow batches that reach Python workers; a smaller bound of the session's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def place_of(docs: DataFrame, name: str) -> int:
+    """The place of a column, found without regard to case."""
+    return [c.lower() for c in docs.columns].index(name.lower())
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The ``names``, lengthened where ``docs`` has a column of that name in any case."""
+    used, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through ``run``, which keeps the columns; by place, as Spark's own call fails on some column names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def _own(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _owned[path] = (jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and driver and executors
+    are one process, as in tests, an own folder; on a cluster that is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
     if not folder:
-        current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="inkstone-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         sc.setCheckpointDir(folder)
+        _own(spark, sc._jsc.sc().getCheckpointDir().get())  # the context's own subfolder
     return folder
 
 
@@ -55,7 +97,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def _drop_owned() -> None:
-    for fs, path in _owned:
+    for fs, path in _owned.values():
         try:
             fs.delete(path, True)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
@@ -66,13 +108,22 @@ atexit.register(_drop_owned)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a compressed Parquet table in the shared folder, read back; deleted at exit."""
+    """``df`` as a compressed Parquet table in the shared folder, read back; deleted by ``given_up`` or at exit."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _own(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _owned.append((jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def given_up(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later step reads; other tables are left alone."""
+    path = table.__dict__.get("_written_to")
+    if path in _owned:
+        fs, jpath = _owned.pop(path)
+        fs.delete(jpath, True)
 
 
 def n_tasks(spark: SparkSession) -> int:
