@@ -9,7 +9,8 @@ incompressible.
 
 Defined results: a null, empty or blank text has no words, so it fails the base
 rule. Ties on a limit are inside the band. Equal rows get equal results. An
-empty table gives an empty result. Very long texts are compressed whole.
+empty table gives an empty result. Very long texts are compressed whole. Extra
+columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import tune
+from inkstone.llm.common import map_rows, place_of, tune
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -36,15 +37,21 @@ class Bands:
     Natural-language text of n bytes lies well inside them in any language with
     an alphabet; the lower limits fall and the upper limits tighten as n grows.
     The upper limits stand between the largest ratios of clean text and the
-    least of random letters and digits of the same length.
+    least of random letters and digits of the same length; every length has
+    both limits (below 100 bytes the two kinds of text come close).
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 0.95), (128, 0.0, 0.93), (192, 0.0, 0.875), (256, 0.40, 0.84), (320, 0.40, 0.82), (384, 0.40, 0.80), (448, 0.40, 0.78), (512, 0.36, 0.765), (640, 0.36, 0.75), (768, 0.36, 0.735),
-        (1024, 0.33, 0.71), (1280, 0.33, 0.70), (1536, 0.33, 0.69), (2048, 0.33, 0.67), (4096, 0.28, 0.65), (16384, 0.24, 0.62), (65536, 0.20, 0.60),
+        (0, 0.40, 1.25), (64, 0.40, 1.10), (100, 0.40, 1.02), (128, 0.40, 0.96), (160, 0.40, 0.935), (192, 0.40, 0.905), (224, 0.40, 0.87), (256, 0.40, 0.84), (320, 0.40, 0.82), (384, 0.40, 0.80), (448, 0.40, 0.78),
+        (512, 0.36, 0.765), (640, 0.36, 0.75), (768, 0.36, 0.735), (1024, 0.33, 0.71), (1280, 0.33, 0.70), (1536, 0.33, 0.69), (2048, 0.33, 0.67), (4096, 0.28, 0.65), (16384, 0.24, 0.62), (65536, 0.20, 0.60),
+    )
+    chunk: tuple[tuple[int, float, float], ...] = (
+        (0, 0.40, 1.25), (64, 0.40, 1.10), (100, 0.40, 1.02), (128, 0.40, 0.96), (160, 0.40, 0.935), (192, 0.40, 0.905), (224, 0.40, 0.87), (256, 0.38, 0.84), (320, 0.38, 0.82), (384, 0.38, 0.80), (448, 0.36, 0.78),
+        (512, 0.34, 0.765), (640, 0.34, 0.75), (768, 0.34, 0.735), (1024, 0.32, 0.70), (1536, 0.32, 0.67), (2048, 0.30, 0.65),
     )
-    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (256, 0.0, 0.84), (320, 0.0, 0.82), (384, 0.0, 0.80), (512, 0.0, 0.765), (768, 0.0, 0.735), (1024, 0.32, 0.70), (1536, 0.32, 0.67), (2048, 0.30, 0.65))
     chunk_bytes: int = 2048
+    #: A last chunk of fewer bytes tells nothing by itself: it belongs to the one before.
+    least_tail: int = 256
     #: Share of the chunks' bytes that must lie in chunks inside their band.
     chunk_share: float = 0.9
     level: int = 3
@@ -104,6 +111,8 @@ class Judge:
         whole = self.ratio(data)
         size = bands.chunk_bytes
         chunks = [data[k : k + size] for k in range(0, len(data), size)]
+        if len(chunks) > 1 and len(chunks[-1]) < bands.least_tail:
+            chunks[-2:] = [chunks[-2] + chunks[-1]]
         inside = sum(len(c) for c in chunks for low, high in [limits(bands.chunk, len(c))] if low <= self.ratio(c) <= high)
         share = inside / len(data) if data else 1.0
         low, high = limits(bands.whole, len(data))
@@ -133,11 +142,11 @@ def judged(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 def filtered(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep."""
     tune(docs.sparkSession)
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
         for b in batches:
             yield b.filter(pa.array([judge(t.as_py())[6] for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
