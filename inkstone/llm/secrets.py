@@ -4,16 +4,19 @@ Base kinds are ``assign`` (a credential word, a separator, a value), ``access``
 (key ids with a fixed prefix) and ``hex`` (long lower-case hexadecimal runs). The
 token-efficiency test adds kind ``dense``: a run of key characters, or a part
 of one, whose characters per token under a tiktoken vocabulary are few, as
-random strings have no frequent substrings. What a base span covers, known
-digests in their usual notation and UUIDs are cut out first, and the rest of
+random strings have no frequent substrings. Assigned values, known digests in
+their usual notation and length and UUIDs are cut out first, and the rest of
 the run is judged; numbers, paths, words and names in the usual cases have too
-many characters a token.
+many characters a token. A key id or hexadecimal run that is only a part of a
+random string is extended to the whole of it; what base spans cover by
+themselves is not named twice.
 
 Offsets count code points; ends are exclusive.
 
 Defined results: a null or empty text has no spans. Equal rows get equal
 results; spans of one start are ordered by kind as listed. An empty table gives
-an empty result. Very long texts are scanned whole.
+an empty result. Very long texts are scanned whole. Extra columns of any name
+are kept as they are.
 """
 
 from __future__ import annotations
@@ -29,22 +32,22 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import tune
+from inkstone.llm.common import map_rows, place_of, tune
 
 KINDS = ("assign", "access", "hex", "dense")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates of the token-efficiency test; a shorter string holds too few tokens to judge.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests and identifiers: UUIDs, digests with their algorithm's name before them, hexadecimal of a digest's length.
-_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 _DIGEST_NAME = re.compile(r"(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512|crc32|etag|integrity)[-:=\s\"']*$", re.IGNORECASE)
 _NAMED_DIGEST = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|crc32)[-_=]", re.IGNORECASE)
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
-#: A digest where its name ends: hexadecimal or base64 of a digest's length, else up to the next separator.
-_DIGEST = re.compile("|".join(rf"[0-9A-Fa-f]{{{n}}}(?![A-Za-z0-9+])" for n in sorted(_DIGEST_LENGTHS)) + "|" + "|".join(rf"[A-Za-z0-9+/]{{{n}}}{'=' * pad}(?![A-Za-z0-9+=])" for n, pad in ((22, 2), (27, 1), (38, 2), (43, 1), (64, 0), (86, 2))) + "|[A-Za-z0-9+]+")
+#: A digest where its name ends: hexadecimal or base64 of a digest's length.
+_DIGEST = re.compile("|".join(rf"[0-9A-Fa-f]{{{n}}}(?![A-Za-z0-9+])" for n in sorted(_DIGEST_LENGTHS)) + "|" + "|".join(rf"[A-Za-z0-9+/]{{{n}}}{'=' * pad}(?![A-Za-z0-9+=])" for n, pad in ((22, 2), (27, 1), (38, 2), (43, 1), (64, 0), (86, 2))))
 _SEPARATORS = "/_=-"
 _PARTS = re.compile(r"[^/_=-]+")
 #: Fewest code points for a token that ordinary text reaches.
@@ -53,6 +56,8 @@ RATIO = 2.2
 LETTERS_RATIO = 1.7
 #: Least code points of a judged string.
 LEAST = 20
+#: Shorter strings, of 16 code points or more, have no separator, letters of both cases and digits, and fewer for a token.
+SHORT_RATIO = 1.9
 
 
 @lru_cache(maxsize=4)
@@ -86,7 +91,8 @@ def dense(run: str, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[
     """The spans of a run that look random: the whole of a run without words, else its parts between separators, and
     windows of about LEAST code points with few separators, grown to whole parts."""
     if len(run) < LEAST:
-        return []
+        mixed = run.isalnum() and all(any(map(kind, run)) for kind in (str.isupper, str.islower, str.isdigit))
+        return [(0, len(run))] if len(run) >= 16 and mixed and random_looking(run, enc, min(ratio, SHORT_RATIO)) else []
     parts = [m.span() for m in _PARTS.finditer(run)]
     whole = random_looking(run, enc, ratio)
     if whole and not any(b - a >= 5 and run[a:b].isalpha() for a, b in parts):
@@ -128,6 +134,24 @@ def dense(run: str, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[
     return [(a, b) for a, b in out] or [(0, len(run))] * whole
 
 
+def grown(run: str, inner: list[tuple[int, int]], found: list[tuple[int, int]], enc: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """``found`` with the parts of which a span of ``inner`` is only a piece, if their rest looks random too; spans
+    that overlap are one, those that ``inner`` covers go."""
+    out = list(found)
+    for a, b in (m.span() for m in _PARTS.finditer(run)):
+        held = [(max(a, x), min(b, y)) for x, y in inner if x < b and a < y]
+        rest = "".join(run[i] for i in range(a, b) if not any(x <= i < y for x, y in held)) if held else ""
+        if len(rest) >= 4 and len(rest) < ratio * len(enc.encode_ordinary(rest)):
+            out.append((a, b))
+    merged: list[list[int]] = []
+    for a, b in sorted(out):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged if not any(x <= a and b <= y for x, y in inner)]
+
+
 def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret in ``text``, by start and then kind."""
     if not text:
@@ -141,11 +165,14 @@ def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> lis
     base = list(found)
     for m in _RUN.finditer(text):
         start, end = m.span()
-        cut = [(a - start, b - start) for a, b, _ in base if a < end and start < b]
+        met = [(a - start, b - start, kind) for a, b, kind in base if a < end and start < b]
+        cut = [(a, b) for a, b, kind in met if kind == "assign"]
         cut += known_parts(m[0], bool(_DIGEST_NAME.search(text[max(0, start - 16) : start])))
         at = 0
         for a, b in sorted([*cut, (end - start, end - start)]):
-            found += [(start + at + x, start + at + y, "dense") for x, y in dense(m[0][at : max(at, a)], enc, ratio)]
+            piece = m[0][at : max(at, a)]
+            inner = [(x - at, y - at) for x, y, kind in met if kind != "assign" and at <= x and y <= a]
+            found += [(start + at + x, start + at + y, "dense") for x, y in grown(piece, inner, dense(piece, enc, ratio), enc, ratio)]
             at = max(at, b)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -198,7 +225,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> DataFrame:
     """``docs``, all rows and columns, with every secret in ``text`` redacted."""
     tune(docs.sparkSession)
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path or vocabulary())
@@ -206,7 +233,7 @@ def cleaned(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> D
             texts = [t.as_py() for t in b.column(at)]
             yield b.set_column(at, b.schema.field(at), pa.array([redacted(t, spans(t, enc, ratio)) for t in texts], b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def sha256_of_base(found: list[tuple[int, int, str]]) -> str:
