@@ -3,17 +3,18 @@
 Token labels: labels mark whole texts, so a word of a toxic text is labelled
 toxic when the word's share of toxic texts far exceeds its share of others, with
 near copies counted once. The field tags each line's words clean or toxic from
-features of the word, its affixes and its neighbours, and from the transition
-between tags; it is trained by gradient descent on the exact likelihood
-(forward-backward). A text's score is a logistic function, also fitted, of its
-toxic marginals: the largest one and the expected number of toxic words.
-Offending offsets are the runs of words with a marginal of one half or more.
+features of the word and its affixes, and from the transition between the tags
+of neighbours; it is trained by gradient descent on the exact likelihood
+(forward-backward). A line is one chain, however long. A text's score is a
+logistic function, also fitted, of its toxic marginals: the largest one and the
+expected number of toxic words. Offending offsets are the runs of words with a
+marginal of one half or more, in the text as it stands.
 
 Defined results: a null or empty text, or one without a word, has no marginals
 and gets the score of none. Ties at one half count as toxic. Equal rows get
 equal results. An empty table gives an empty result; without labelled texts of
-both kinds every score is 0. Very long texts are read whole; lines longer than
-``chunk`` words are tagged in overlapping pieces.
+both kinds every score is 0. Very long texts and lines are read whole. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class Settings:
     #: The bound of the training sample: toxic and other labelled texts.
     toxic_texts: int = 600
     other_texts: int = 3000
+    #: Longer texts (code points) take no part in the fit, so that the sample's bytes are bounded too.
+    sample_chars: int = 65536
     #: A word is labelled toxic in toxic texts with this share of them, and so many times the share of others.
     min_share: float = 0.02
     min_texts: float = 4.0
@@ -51,24 +54,45 @@ class Settings:
     #: Clean lines trained on for each line with a toxic word.
     clean_lines: int = 4
     hash_bits: int = 15
-    chunk: int = 64
     epochs: int = 8
     rate: float = 0.5
     l2: float = 1e-5
     seed: int = 42
 
 
-def lines_of(text: str, chunk: int) -> list[list[str]]:
-    """The words of each line, lower-cased; long lines in pieces of ``chunk`` words."""
-    out = []
-    for line in text.lower().split("\n"):
-        words = _WORD.findall(line)
-        if len(words) <= chunk:
-            if words:
-                out.append(words)
-        else:
-            out += [words[k : k + chunk] for k in range(0, len(words), chunk)]
-    return out
+#: Words of a line beyond which its chain is passed through in pieces side by side, and cells of a block of shorter lines.
+LONG_LINE = 2048
+CELLS = 1 << 20
+
+
+def lines_of(text: str) -> list[list[str]]:
+    """The words of each line that has any, each lower-cased by itself."""
+    return [[w.lower() for w in words] for line in text.split("\n") if (words := _WORD.findall(line))]
+
+
+def passed(maps: np.ndarray, start: float) -> np.ndarray:
+    """The values r[t] = (maps[t,1,0] + maps[t,1,1] r) / (maps[t,0,0] + maps[t,0,1] r), r before the first one being
+    ``start``. As such maps compose like matrices, pieces of the chain are composed side by side, their ends are passed
+    through one after the other, and then all pieces side by side from their true beginnings."""
+    n = len(maps)
+    size = max(1, math.isqrt(n))
+    pieces = -(-n // size)
+    whole = np.broadcast_to(np.eye(2), (pieces * size, 2, 2)).copy()
+    whole[:n] = maps
+    whole = whole.reshape(pieces, size, 2, 2)
+    ends = np.broadcast_to(np.eye(2), (pieces, 2, 2))
+    for t in range(size):
+        ends = whole[:, t] @ ends
+        ends = ends / ends.max(axis=(1, 2), keepdims=True)
+    begin, r = [], start
+    for (a, b), (c, d) in ends.tolist():
+        begin.append(r)
+        r = (c + d * r) / (a + b * r)
+    out, now = np.empty((pieces, size)), np.array(begin)
+    for t in range(size):
+        m = whole[:, t]
+        now = out[:, t] = (m[:, 1, 0] + m[:, 1, 1] * now) / (m[:, 0, 0] + m[:, 0, 1] * now)
+    return out.reshape(-1)[:n]
 
 
 def marks_of(word: str) -> list[str]:
@@ -89,6 +113,9 @@ class Field:
         self.ready = False
         self._known: dict[str, float] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
     def features(self, word: str) -> list[int]:
         """The word's feature numbers, from 1; 0 fills what it lacks and has weight zero."""
         top = len(self.emit) - 1
@@ -113,9 +140,13 @@ class Field:
         out = np.zeros(len(flat))
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= LONG_LINE).sum())
         (m00, m01), (m10, m11) = np.exp(self.move).tolist()
-        for k in range(0, len(order), 1024):
-            pick = order[k : k + 1024]
+        k = 0
+        while k < short:
+            count = max(1, CELLS // int(lengths[order[min(k + 1023, short - 1)]]))
+            pick = order[k : min(k + 1024, k + count, short)]
+            k += len(pick)
             size, width = lengths[pick], int(lengths[pick].max())
             inside = np.arange(width)[:, None] < size
             odds = np.ones((width, len(pick)))
@@ -131,6 +162,16 @@ class Field:
                 back[t] = np.where(t + 1 < size, (m10 + m11 * r) / (m00 + m01 * r), 1.0)
             r = ahead * back
             out[at] = (r / (1 + r))[inside]
+        for i in order[short:].tolist():
+            a, b = int(starts[i]), int(starts[i] + lengths[i])
+            odds = np.exp(np.clip(flat[a:b], -300, 300))
+            maps = np.empty((len(odds) - 1, 2, 2))
+            maps[:, 0, 0], maps[:, 0, 1], maps[:, 1, 0], maps[:, 1, 1] = m00, m10, odds[1:] * m01, odds[1:] * m11
+            first = odds[0] * math.exp(self.first)
+            ahead = np.concatenate(([first], passed(maps, first)))
+            maps[:, 0, 1], maps[:, 1, 0], maps[:, 1, 1] = odds[1:] * m01, m10, odds[1:] * m11
+            r = ahead * np.concatenate((passed(maps[::-1], 1.0)[::-1], [1.0]))
+            out[a:b] = r / (1 + r)
         return out
 
     def marginals(self, unary: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +201,7 @@ class Field:
 
     def judged(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
         """Each text's score and offending offsets."""
-        lines = [lines_of(t or "", self.s.chunk) for t in texts]
+        lines = [lines_of(t or "") for t in texts]
         p = self.posterior([line for of in lines for line in of])
         out, at = [], 0
         for text, of in zip(texts, lines, strict=True):
@@ -183,14 +224,10 @@ class Field:
         found = np.flatnonzero(p >= 0.5).tolist()
         if not found:
             return []
-        # the words of the lower-cased text; where that has another length, those of each character lower-cased by itself
-        lower = text.lower()
-        words = [m.span() for m in _WORD.finditer(lower if len(lower) == len(text) else text)]
+        words = [m.span() for m in _WORD.finditer(text)]  # the same words as those of its lines
         out: list[tuple[int, int]] = []
         last = -2
         for i in found:
-            if i >= len(words):
-                break
             if i == last + 1:
                 out[-1] = (out[-1][0], words[i][1])
             else:
@@ -203,7 +240,7 @@ def _copies(texts: list[str]) -> list[float]:
     """A weight for each text: one over the texts that share its smallest three-word hash, so that near copies count once."""
     keys = []
     for t in texts:
-        w = _WORD.findall(t.lower())
+        w = [x.lower() for x in _WORD.findall(t)]
         keys.append(min((zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
     size = Counter(keys)
     return [1 / size[k] for k in keys]
@@ -216,7 +253,7 @@ def toxic_marks(texts: list[str], toxic: list[bool], settings: Settings) -> set[
     total = [0.0, 0.0]
     for t, y, w in zip(texts, toxic, weights, strict=True):
         total[y] += w
-        for mark in {m for word in set(_WORD.findall(t.lower())) for m in marks_of(word)}:
+        for mark in {m for word in {x.lower() for x in _WORD.findall(t)} for m in marks_of(word)}:
             have[y][mark] += w
     if not total[1] or not total[0]:
         return set()
@@ -229,8 +266,8 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     rows = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("__id"), "toxic")
     picked = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in ((1, settings.toxic_texts), (0, settings.other_texts))]
     ids = picked[0].unionByName(picked[1]).distinct()  # at most toxic_texts + other_texts rows
-    found = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(ids), "__id")
-    got = found.limit(2 * (settings.toxic_texts + settings.other_texts)).collect()  # more rows than ids only if ids repeat
+    found = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").filter(F.length("text") <= settings.sample_chars).join(F.broadcast(ids), "__id")
+    got = found.groupBy("__id", "toxic").agg(F.min("text").alias("text")).collect()  # one text for an id that repeats
     return sorted((r["text"], bool(r["toxic"])) for r in got)
 
 
@@ -244,7 +281,7 @@ def trained(rows: list[tuple[str, bool]], settings: Settings = Settings()) -> Fi
     hot, cold = [], []
     marked: dict[str, bool] = {}
     for text, y in rows:
-        for words in lines_of(text, settings.chunk):
+        for words in lines_of(text):
             tags = [y and (marked[w] if w in marked else marked.setdefault(w, not marks.isdisjoint(marks_of(w)))) for w in words]
             (hot if any(tags) else cold).append((words, tags))
     rng = np.random.default_rng(settings.seed)
@@ -258,8 +295,10 @@ def _fit(field: Field, lines: list[tuple[list[str], list[bool]]], settings: Sett
     lines = sorted(lines, key=lambda x: (len(x[0]), x))
     cache: dict[str, list[int]] = {}
     blocks = []
-    for k in range(0, len(lines), 512):
-        part = lines[k : k + 512]
+    k = 0
+    while k < len(lines):
+        part = lines[k : k + max(1, min(512, CELLS // 8 // len(lines[min(k + 511, len(lines) - 1)][0])))]
+        k += len(part)
         lengths = np.array([len(w) for w, _ in part])
         width = int(lengths.max())
         inside = np.arange(width) < lengths[:, None]
@@ -292,7 +331,7 @@ def _calibrate(field: Field, rows: list[tuple[str, bool]], settings: Settings) -
     """Fits the logistic of a text's score by Newton's steps, near copies weighing as one."""
     x, y = [], []
     for text, toxic in rows:
-        p = field.posterior(lines_of(text, settings.chunk))
+        p = field.posterior(lines_of(text))
         x.append((1.0, float(p.max()) if len(p) else 0.0, math.log1p(float(p.sum()))))
         y.append(float(toxic))
     a, b, w = np.array(x), np.array(y), np.array(_copies([t for t, _ in rows]))
