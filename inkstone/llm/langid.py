@@ -5,17 +5,17 @@ is embedded, filters of several widths slide over the window, each filter's
 response is max-pooled over it, and a softmax over the pooled responses gives
 the window's language probabilities. A text's probabilities are the mean over
 all its windows, weighted by the letters they hold. The network is trained in
-numpy on windows of labelled texts.
+numpy on windows of labelled texts, each distinct text counting once.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0.
-Ties go to the alphabetically first language. Equal rows get equal results. An
-empty table gives an empty result; with no labelled row every prediction is
-``und``. Very long texts are read whole.
+Defined results: a null text, or one without a letter (``str.isalpha``), is
+``und`` with score 0. Ties go to the alphabetically first language. Equal rows
+get equal results. An empty table gives an empty result; with no labelled row
+every prediction is ``und``. Very long texts are read whole. Extra columns are
+not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import tune
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,9 @@ class Settings:
     widths: tuple[int, ...] = (2, 3, 4)
     #: Filters of each width.
     filters: int = 12
-    #: The bound of the training sample: labelled texts of a language, and windows of a text.
+    #: The bound of the training sample: languages (those of most distinct texts), labelled texts of a language, and
+    #: windows of a text.
+    langs: int = 1000
     texts_per_lang: int = 300
     windows_per_text: int = 12
     epochs: int = 4
@@ -135,33 +139,50 @@ class Network:
 
 
 def sample(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """At most ``texts_per_lang`` (text, lang) of each language, those of smallest hash of the text.
+    """(lang, h, windows): evenly spaced windows of at most ``texts_per_lang`` distinct texts of each language, those
+    of smallest hash h of the text.
+
+    A sketch counts each language's distinct texts, which gives the hash below which about four times as many lie; only
+    those are ranked, so a language of any size, and any number of copies, brings a bounded number of hashes to its
+    task. The texts themselves aren't shuffled: tasks cut the windows of the picked ones."""
+    spark = labelled.sparkSession
+    tune(spark)
+    rows = labelled.filter("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.langs)
+    sizes = sizes.select("lang", (4.0 * settings.texts_per_lang / F.col("n")).alias("rate"))
+    chance = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(F.broadcast(sizes), "lang").filter(chance < F.col("rate")).select("lang", "h").distinct()  # sizes: at most settings.langs rows
+    w = Window.partitionBy("lang").orderBy(chance, "h")
+    picked = few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= settings.texts_per_lang).select("lang", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for b in batches:
+            out: list[tuple[str, int, bytes]] = []
+            for lang, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    if has_letter(t := text.as_py()):
+                        cut = windows_of(t, settings.window)
+                        out.append((lang, h, cut[np.unique(np.linspace(0, len(cut) - 1, settings.windows_per_text).astype(int))].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "windows"])
 
-    A first count of each language gives the hash below which about four times as many rows lie; only those are
-    ranked, so a language of any size brings a bounded number of texts to its task."""
-    rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = rows.groupBy("lang").agg((4.0 * settings.texts_per_lang / F.count("*")).alias("rate"))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(F.broadcast(sizes), "lang").filter(chance < F.col("rate")).select("text", "lang")  # sizes: a row for each language
-    w = Window.partitionBy("lang").orderBy(chance, "text")
-    return few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= settings.texts_per_lang).select("text", "lang")
+    cut = rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text").mapInArrow(run, "lang string, h long, windows binary")  # picked: bounded by the settings
+    return cut.groupBy("lang", "h").agg(F.min("windows").alias("windows"))
 
 
 def trained(labelled: DataFrame, settings: Settings = Settings()) -> Network:
     """A network fitted on the driver to ``sample`` of ``labelled`` (text, lang)."""
-    rows = sorted(tuple(r) for r in sample(labelled, settings).collect())
-    rows = [(t, y) for t, y in dict.fromkeys(rows) if _LETTER.search(t)]
-    langs = sorted({y for _, y in rows})
+    rows = sorted((r["h"], r["lang"], bytes(r["windows"])) for r in sample(labelled, settings).collect())
+    langs = sorted({y for _, y, _ in rows})
     net = Network(langs, settings)
     if len(langs) > 1:
         parts, labels, weights = [], [], []
-        size = {y: sum(x == y for _, x in rows) for y in langs}
-        for text, lang in rows:
-            w = windows_of(text, settings.window)
-            pick = np.unique(np.linspace(0, len(w) - 1, settings.windows_per_text).astype(int))
-            parts.append(w[pick])
-            labels += [langs.index(lang)] * len(pick)
-            weights += [1 / (size[lang] * len(pick)) ** 0.5] * len(pick)
+        size = {y: sum(x == y for _, x, _ in rows) for y in langs}
+        for _, lang, data in rows:
+            parts.append(np.frombuffer(data, np.uint8).reshape(-1, settings.window))
+            labels += [langs.index(lang)] * len(parts[-1])
+            weights += [1 / (size[lang] * len(parts[-1])) ** 0.5] * len(parts[-1])
         net.train(np.concatenate(parts), np.array(labels), np.array(weights, np.float32))
     return net
 
@@ -179,7 +200,7 @@ def predicted(docs: DataFrame, net: Network) -> DataFrame:
             scores: list[float] = []
             for k in range(0, b.num_rows, 64):
                 texts = [t.as_py() or "" for t in b.column(1).slice(k, 64)]
-                known = [i for i, t in enumerate(texts) if net.langs and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if net.langs and has_letter(t)]
                 rows = [windows_of(texts[i], size) for i in known]
                 got: dict[int, tuple[str, float]] = {}
                 if rows:
