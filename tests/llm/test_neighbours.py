@@ -61,11 +61,62 @@ def test_forest_ranges_are_shared_prefixes():
     s = X.Settings(trees=2, bits=16)
     f = X.Forest(x, s)
     low, high = f.ranges(x[:5])
-    unit = x[:5] / np.linalg.norm(x[:5], axis=1, keepdims=True)
-    asked = f._codes(np.concatenate([unit, np.zeros((5, 1))], axis=1))
+    asked = f._codes(X.turned(x[:5]))
     for t in range(2):
         for i in range(5):
             for depth in range(len(low)):
                 shift = np.uint64(64 - depth)
                 same = sum(int(c >> shift == asked[t, i] >> shift) for c in f.codes[t]) if depth else 200
                 assert high[depth, t, i] - low[depth, t, i] == same
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e160, 1e-160, 1e300):
+        rows = {i: (rng.normal(size=6) * size).tolist() for i in range(60)}
+        df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+        got = found(X.nearest(df, F.col("vec_id") % 20 == 0))
+        assert set(got) == {0, 20, 40} and all(len(v) == 20 for v in got.values())
+    assert X.inner(np.array([1e200, 1e200]), np.array([1e200, -1e200])) == 0.0 and X.inner(np.array([1e200]), np.array([-1e200])) == -math.inf
+
+
+def clustered(n, centres, seed=5):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, 16)) * 5
+    x = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, 16)) * 0.3
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_cells_keep_the_recall_and_spare_most_blocks(spark):
+    s = X.Settings(block_rows=1024, sample_queries=60)
+    x = clustered(12000, 300)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    keyed = X.usable(df)
+    plan = X.plans(keyed, keyed, s)[16]
+    assert plan.bits > 0
+    sent = X.dealt(keyed, {16: plan}, s, False)
+    assert sent.count() == 12000 * plan.trees
+    sizes = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+    visits = [-(-sizes.get(r["cell"], 0) // 1024) for r in X.dealt(keyed, {16: plan}, s, True).collect()]
+    assert sum(visits) < 0.6 * 12000 * 12  # without cells, each query visits each of 12 blocks
+    got = found(X.nearest(df, F.lit(True), s))
+    hits = 0
+    for q in range(0, 12000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist()))
+        assert len(got[q]) == 20 and len({i for i, _ in got[q]}) == 20
+    assert hits >= 0.9 * 600 * 20
+
+
+def test_recall_over_several_blocks(spark):
+    """Vectors in random directions: the share of candidates is measured at the blocks' size."""
+    x = np.random.default_rng(6).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(X.nearest(df, F.col("vec_id") % 100 == 0, X.Settings(block_rows=1024, chunk_queries=11)))
+    hits = 0
+    for q in range(0, 3000, 100):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 30 * 20
