@@ -1,7 +1,9 @@
 """Two-pass external shuffle into shards.
 
 First pass: records are scattered uniformly into buckets of a size that fits
-memory, by a seeded hash. Second pass: each bucket is put in a fixed order,
+memory, by a seeded hash of the record, and of a running number among many equal
+ones, so that these spread over the buckets too; there are as many tasks as
+buckets, whatever the input's size. Second pass: each bucket is put in a fixed order,
 shuffled by Fisher and Yates's method with a seed of its own, and dealt to the
 shards. Buckets follow each other, so the shuffled records form one sequence;
 record k of it goes to shard k mod n, slot k div n (law ``rows``: shards differ
@@ -9,7 +11,8 @@ by one record at most).
 
 Defined results: a null text counts as empty and stays null in the shards. Rows
 equal in doc_id and text are interchangeable. An empty table gives an empty
-result. A text longer than a bucket gets into a bucket as any other.
+result. A text longer than a bucket gets into a bucket as any other. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +23,17 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import running_offsets, tune
+from inkstone.llm.common import checkpointed, running_offsets, tune
 
 LAW = "rows"
 SEED = 42
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 32 << 20
+#: Equal rows that may share a bucket; the share of all rows, as a power of two, above which equal rows are spread; and
+#: the rows that one task makes of a spread row at a time.
+FEW_COPIES = 64
+HOT_BITS = 20
+PIECE = 4096
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -42,13 +50,32 @@ def size_of_text() -> Column:
     return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
 
 
+def scattered(rows: DataFrame, buckets: int, seed: int, n: int, few: int = FEW_COPIES) -> DataFrame:
+    """``rows`` (doc_id, text), n of them, with a seeded hash ``h`` and the ``bucket`` it gives.
+
+    Equal rows have equal hashes. Those of which there are more than ``few``, and more than one in 2 ** HOT_BITS of all
+    rows - so at most 2 ** HOT_BITS hashes, whatever the table's size - are counted, which takes one row of each to the
+    shuffle, and made again with a running number that goes into the hash."""
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    hot = checkpointed(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > max(few, n >> HOT_BITS)).select("h"))
+    dealt = rows
+    if not hot.isEmpty():
+        dealt = rows.join(F.broadcast(hot), "h", "left_anti")
+        many = rows.join(F.broadcast(hot), "h", "left_semi").groupBy("h", "doc_id", "text").agg(F.count("*").alias("n"))
+        pieces = many.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))).repartition("h", "piece")
+        copies = F.sequence(F.col("piece") * PIECE, F.least(F.col("n"), (F.col("piece") + 1) * PIECE) - 1)
+        made = pieces.withColumn("copy", F.explode(copies)).select("doc_id", "text", F.xxhash64(F.lit(seed), "h", "copy").alias("h"))
+        dealt = dealt.unionByName(made)
+    return dealt.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+
+
 def sharded(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text, shard, slot) for each row of ``docs`` (doc_id, text)."""
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = rows.agg(F.sum(size_of_text())).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    total, n = rows.agg(F.sum(size_of_text()), F.count("*")).first()
+    buckets = max(1, -(-(total or 0) // bucket_bytes))
+    rows = scattered(rows, buckets, seed, n)
 
     def shuffle(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -57,7 +84,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: in
         t = t.take(pa.array(fisher_yates(t.num_rows, (seed, number))))
         return t.select(["doc_id", "text", "bucket"]).append_column("place", pa.array(np.arange(t.num_rows), pa.int64()))
 
-    shuffled = rows.groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long")
+    shuffled = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long")
     before = running_offsets(rows.withColumn("all", F.lit(0)), ["all"], "bucket", F.lit(1), "before").select("bucket", "before")  # a row for each bucket
     at = F.col("place") + F.col("before")
     return shuffled.join(F.broadcast(before) if buckets <= 100_000 else before, "bucket").select(

@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -47,3 +48,19 @@ def test_odd_and_empty_tables(odd_docs, no_docs, tmp_path, spark):
     assert X.sharded(no_docs).count() == 0
     X.write_shards(odd_docs, f"{tmp_path}/s", 3)
     assert spark.read.parquet(f"{tmp_path}/s").count() == odd_docs.count()
+
+
+def test_equal_rows_spread_over_the_buckets(spark):
+    rows = spark.createDataFrame([(None, "one text in very many rows")] * 20000 + [(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    dealt = X.scattered(rows, 51, 42, 23000)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 23000 and len(sizes) == 51 and max(sizes) < 1.5 * 23000 / 51
+    out = X.sharded(rows, bucket_bytes=1 << 14).collect()
+    law_holds(out, 8)
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(map(tuple, rows.collect()))
+
+
+def test_a_task_holds_few_buckets(spark, documents):
+    plan = X.sharded(documents, bucket_bytes=50_000)._jdf.queryExecution().toString()
+    total = documents.select(X.size_of_text().alias("s")).agg({"s": "sum"}).first()[0]
+    assert re.search(rf"hashpartitioning\(bucket#\d+L, {-(-total // 50_000)}\), REPARTITION_BY_NUM", plan)
