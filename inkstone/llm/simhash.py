@@ -12,6 +12,7 @@ with a common signature are compared. Linked fingerprints form components.
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other. Texts with fewer words than a shingle use the whole word
 sequence. Equal rows get equal results. An empty table gives an empty result.
+Extra columns are not read, or kept as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import checkpointed, components, n_tasks, salted_join, tune
+from inkstone.llm.common import checkpointed, components, fresh, n_tasks, quoted, salted_join, tune
 
 BITS = 64
 SHINGLE = 3
@@ -35,30 +36,41 @@ DISTANCE = 3
 BLOCK = 1024
 #: Cost of one comparison, in signature rows; a comparison is an XOR, a row is shuffled and sorted.
 COMPARE_COST = 0.002
+#: Fingerprints whose pairs are counted for the plan.
+SAMPLE = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text; only ASCII letters are lower-cased, only ASCII space splits."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hash of each shingle, repeats included; only ASCII letters are lower-cased, only ASCII space splits."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[i:j], seed) for i, j in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)),
         np.uint64, n - shingle + 1,
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero for none."""
     set_bits = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65536):
         set_bits += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, th, fp) for each row; fp is the fingerprint's bits as a signed long, th a hash of the text."""
     tune(docs.sparkSession)
@@ -111,29 +123,41 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def expected_pairs(n: int, both: np.ndarray, group: list[int], threshold: int) -> float:
-    """Pairs expected within ``threshold`` bits of each other in a group, from all fingerprints' bit frequencies."""
+def met_by_chance(both: np.ndarray, n: int, group: list[int], threshold: int) -> float:
+    """The share of pairs within ``threshold`` bits of each other in a group, were its bits independent."""
     p = np.diag(both)[group] / max(n, 1)
     chance = np.zeros(len(group) + 2)
     chance[0] = 1.0
     for differ in 2 * p * (1 - p):
         chance[1:] = chance[1:] * (1 - differ) + chance[:-1] * differ
         chance[0] *= 1 - differ
-    return n * (n - 1) / 2 * float(chance[: threshold + 1].sum())
+    return float(chance[: threshold + 1].sum())
+
+
+def expected_pairs(n: int, both: np.ndarray, group: list[int], threshold: int, sample: np.ndarray | None = None) -> float:
+    """Pairs expected within ``threshold`` bits of each other in a group. The bits of a group are alike, so the pairs of
+    a sample of fingerprints are counted; where that holds too few, the bit frequencies of all of them are the floor."""
+    share = met_by_chance(both, n, group, threshold)
+    if sample is not None and len(sample) > 1:
+        mask = np.uint64(sum(1 << b for b in group))
+        met = sum(int((np.bitwise_count((sample[i + 1 :] ^ sample[i]) & mask) <= threshold).sum()) for i in range(len(sample) - 1))
+        share = max(share, met / (len(sample) * (len(sample) - 1) / 2))
+    return n * (n - 1) / 2 * share
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int, sample: np.ndarray | None = None) -> tuple[float, list[int]]:
     """Thresholds (-1: the group is not probed) of least estimated cost whose slots, threshold + 1 each,
     add up to distance + 1; then every pair within ``distance`` is within the threshold of some group."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for g in groups:
         step: dict[int, tuple[float, list[int]]] = {}
+        pairs = [expected_pairs(n, both, g, t, sample) for t in range(min(distance + 1, len(g)))]
         for used, (cost, chosen) in best.items():
             for slots in range(min(distance + 1 - used, len(g)) + 1):
                 more = 0.0
                 if slots:
                     rows = float(np.prod([(len(g) - k) / (k + 1) for k in range(slots - 1)]))
-                    more = n * rows + COMPARE_COST * expected_pairs(n, both, g, slots - 1) * rows
+                    more = n * rows + COMPARE_COST * pairs[slots - 1] * rows
                 now = (cost + more, [*chosen, slots - 1])
                 if used + slots not in step or now < step[used + slots]:
                     step[used + slots] = now
@@ -141,13 +165,13 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -
     return best[distance + 1]
 
 
-def plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, distance: int = DISTANCE, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """The groups that are probed and their thresholds, of least estimated cost over 1 to distance + 2 groups."""
     options = []
     n = max(n, 1)  # signatures cost something even before there are rows, so that few are chosen
     for parts in range(1, distance + 3):
         groups = group_bits(n, both, parts)
-        cost, thresholds = allocate(n, both, groups, distance)
+        cost, thresholds = allocate(n, both, groups, distance, sample)
         options.append((cost, parts, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
     return min(options)[2]
 
@@ -193,12 +217,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     """Edges (a, b) between distinct fingerprints of ``fps`` (fp) that connect just those within ``distance``,
     directly or through others. Not all pairs: in each compared block, a star for each connected set."""
     spark = fps.sparkSession
-    signatures = masks(plan(*bit_statistics(fps), distance))
+    some = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    signatures = masks(plan(*bit_statistics(fps), distance, np.array([r["fp"] for r in some], np.int64).view(np.uint64)))
     keys = F.array(*[F.struct(F.lit(k).alias("sig"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("val")) for k, m in signatures])
     rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.sig", "k.val")
     large = rows.groupBy("sig", "val").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     large = large.select("sig", "val", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(large, ["sig", "val"], "left")
+    rows = salted_join(rows, large, ["sig", "val"], "left", spread=F.xxhash64("fp"))
     own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
     with_block = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
     rows = rows.select("fp", "sig", "val", F.explode(with_block).alias("p")).select("fp", F.xxhash64("sig", "val", "p.lo", "p.hi").alias("key"))
@@ -241,19 +266,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row (all columns of ``docs``) of each near-duplicate component: that of the smallest doc_id (null first),
-    then of the smallest text hash; of rows equal in both, one."""
+    """One row (all columns of ``docs``) of each component of linked fingerprints: that of the smallest doc_id (null
+    first), then of the smallest text hash; of rows equal in both, one."""
     fps, roots = _classes(docs, shingle, distance)
     first = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first")).join(roots, "fp")
     return rows_of(docs, first.groupBy("root").agg(F.min("first").alias("first")).select("first"))
 
 
-def rows_of(docs: DataFrame, places: DataFrame, added: list[str] | None = None) -> DataFrame:
-    """The rows (all columns, and those ``added`` from ``places``) of ``docs`` at ``places`` (first: doc_id, th); of
-    rows equal in both, one."""
-    lowest = -(1 << 63)
-    at = places.select(F.coalesce("first.doc_id", F.lit(lowest)).alias("__did"), F.col("first.th").alias("__th"), *(added or []))
-    base = docs.select("doc_id", "text") if added else docs
-    keyed = base.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)), "__th": F.xxhash64("text")})
-    rows = keyed.join(at, ["__did", "__th"], "inner" if added else "left_semi").dropDuplicates(["__did", "__th"])
-    return rows.select(*added, "text") if added else rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def rows_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows (all columns) of ``docs`` at ``places`` (first: doc_id, th); of rows equal in both, one."""
+    named, did, th = fresh(docs, "named", "did", "th")
+    key = lambda c: [c.isNotNull(), F.coalesce(c.cast("long"), F.lit(0))]
+    at = places.select(*[c.alias(k) for c, k in zip(key(F.col("first.doc_id")), (named, did), strict=True)], F.col("first.th").alias(th))
+    keyed = docs.withColumns(dict(zip((named, did, th), (*key(F.col("doc_id")), F.xxhash64("text")), strict=True)))
+    return keyed.join(at, [named, did, th], "left_semi").dropDuplicates([named, did, th]).select(*map(quoted, docs.columns))
