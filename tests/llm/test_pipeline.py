@@ -2,7 +2,7 @@ import corpus_pipeline
 from inkstone.llm import encoding, packing, quality, secrets, simhash
 from tests.llm.test_lines import brute as without_repeats
 from tests.llm.test_packing import checked
-from tests.llm.test_simhash import brute as fingerprint, roots
+from tests.llm.test_shingles import brute as first_of_each
 
 
 def test_stages_equal_brute_force(spark, documents, data, tmp_path):
@@ -23,8 +23,7 @@ def test_stages_equal_brute_force(spark, documents, data, tmp_path):
             want = without_repeats(list(want.items()))
         elif name == "near_dedup":
             ids = sorted(want)
-            first = roots([fingerprint(want[d]) for d in ids])
-            want = {d: want[d] for i, d in enumerate(ids) if first[i] == i}
+            want = {ids[i]: want[ids[i]] for i in first_of_each([want[d] for d in ids])}
         else:
             want = {d: secrets.redacted(t, secrets.spans(t, enc)) for d, t in want.items()}
         assert {r["doc_id"]: r["text"] for r in docs.collect()} == want
