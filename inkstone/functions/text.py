@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,7 +95,22 @@ def long_word_fraction(text: Column, limit: int = 25) -> Column:
 
 def join_hyphens(text: Column) -> Column:
     """Without soft hyphens, and with words broken over a line end put together."""
-    return F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), r"-\n(?=\p{Ll})", "")
+    return F.regexp_replace(F.replace(text, F.lit("\u00ad"), F.lit("")), r"(?<=[A-Za-z])-\s*\n\s*(?=[a-z])", "")
+
+
+def nfkc(text: Column) -> Column:
+    """The text in Unicode's compatibility composition. The JVM has no function for it; texts go to Python in batches,
+    and those that are in that form already, as most are, aren't copied."""
+
+    @F.pandas_udf("string")
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+    return normalized(text)
+
+
+def clean_unicode(text: Column) -> Column:
+    return join_hyphens(nfkc(text))
 
 
 def xml_safe(text: Column) -> Column:
@@ -127,8 +146,10 @@ def long_sentences(text: Column, least: int = 70) -> Column:
 
 
 def term_count(lower: Column, term: str) -> Column:
-    """Occurrences of ``term`` as whole words in lower-case text."""
-    return F.regexp_count(lower, F.lit(rf"(?<!{_EDGE}){_java(term.lower())}(?!{_EDGE})"))
+    """Occurrences of ``term`` as whole words in lower-case text. The term comes first in the pattern, so that its
+    surroundings are looked at only where it stands."""
+    word = _java(term.lower())
+    return F.regexp_count(lower, F.lit(rf"{word}(?<!{_EDGE}{word})(?!{_EDGE})"))
 
 
 def substring_count(lower: Column, term: str) -> Column:
@@ -137,25 +158,60 @@ def substring_count(lower: Column, term: str) -> Column:
     return ((F.length(lower) - gone) / len(term)).cast("int")
 
 
-def tokens(text: Column, stop: Sequence[str] = (), least: int = 3, most: int = 35) -> Column:
-    """Lower-case tokens without addresses; dashes split words; stop words and odd lengths left out."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"https?://\S+|www\.\S+|\S+@\S+\.\S+|doi:\S+|10\.\d{4,9}/\S+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[‐-―-]", " "), r"[^a-z0-9_\s.]", " ")
-    found = F.regexp_extract_all(t, F.lit(r"(?<![a-z0-9_])[a-z][a-z0-9_]*"), F.lit(0))
+def replace_words(text: Column, to: Mapping[str, str], edge: str = "a-z0-9_") -> Column:
+    """Whole-word phrases replaced in one pass from the left, longer ones first where several begin; what a
+    replacement brings in isn't replaced again. ``edge``: the characters of words."""
+    if not to:
+        return text
+    phrases = "|".join(_java(k) for k in sorted(to, key=lambda a: (-len(a), a)))
+    pattern = rf"(?<![{edge}])(?:{phrases})(?![{edge}])"
+    table = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
+    met = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda k: F.element_at(table, k))
+    rest = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(rest, met, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+# The patterns of the second-generation tokenizer.
+ADDRESSES = r"https?://\S+|www\.\S+|\b\S+@\S+\b"
+DOIS = r"10\.\d{4,9}/\S+"
+DASHES = "[\u2010-\u2015-]"
+NOT_IN_WORDS = r"[^a-z0-9_\s.]"
+TOKEN = r"[a-z][a-z0-9_]*"
+
+
+def tokens(text: Column, stop: Sequence[str] = (), least: int = 3, most: int = 35, aliases: Mapping[str, str] | None = None, lemma: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-case tokens without addresses; dashes split words; ``aliases`` are replaced before the split; stop words and
+    odd lengths are left out. With ``lemma`` each token without an underscore becomes its lemma, and those whose lemma
+    is a stop word go too."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), ADDRESSES, " "), DOIS, " ")
+    t = F.regexp_replace(F.regexp_replace(t, DASHES, " "), NOT_IN_WORDS, " ")
+    if aliases:
+        t = replace_words(F.regexp_replace(t, r"\s+", " "), aliases)
+    found = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
     keep = F.filter(found, lambda w: (F.length(w) >= least) & (F.length(w) <= most))
-    return F.filter(keep, lambda w: ~w.isin(*stop)) if stop else keep
+    keep = F.filter(keep, lambda w: ~w.isin(*stop)) if stop else keep
+    if lemma is not None:
+        keep = F.transform(keep, lambda w: F.when(w.contains("_"), w).otherwise(lemma(w)))
+        keep = F.filter(keep, lambda w: ~w.isin(*stop)) if stop else keep
+    return keep
 
 
-def tokens_with_aliases(text: Column, aliases: Sequence[tuple[str, str]] = (), stop: Sequence[str] = ()) -> Column:
-    """The first-generation tokenizer: aliases in list order, then words of three characters or more,
-    apostrophes and hyphens allowed inside, numbers and fractions removed."""
+def tokens_with_aliases(text: Column, repairs: Sequence[tuple[str, str]] = (), words: Mapping[str, str] | None = None, stop: Sequence[str] = (), least: int = 3, lemma: Callable[[Column], Column] | None = None) -> Column:
+    """The first-generation tokenizer: ``repairs`` (pattern, replacement) in list order; addresses, lone letters over
+    letters and numbers go; words of letters with apostrophes, hyphens and underscores inside; each word, its hyphens
+    as underscores, becomes its entry in ``words`` or its lemma, or that one's entry; stop words go before and after."""
     t = F.lower(text)
-    for pattern, to in aliases:
+    for pattern, to in repairs:
         t = F.regexp_replace(t, pattern, to)
-    t = F.regexp_replace(F.regexp_replace(t, r"https?://\S+|www\.\S+|\S+@\S+", " "), r"\b\d+([.,/]\d+)*\b|\b[a-z]/[a-z]\b", " ")
-    found = F.regexp_extract_all(t, F.lit(r"[a-z][a-z_'-]{2,}"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    for gone in (r"https?://\S+|www\.\S+", r"\bdoi\s*:\s*\S+", r"\b[a-z]\s*/\s?[a-z]\b", r"\b\d+(?:\.\d+)?\b", r"[^a-z_\s'-]"):
+        t = F.regexp_replace(t, gone, " ")
+    found = F.transform(F.regexp_extract_all(t, F.lit(r"[a-z][a-z_'-]{2,}"), F.lit(0)), lambda w: F.btrim(w, F.lit("_'-")))
+    allowed = lambda w: (F.length(w) >= least) & (~w.isin(*stop) if stop else F.lit(True))
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv]) if words else None
+    entry = lambda w: F.coalesce(F.try_element_at(table, w), w) if table is not None else w
+    normal = F.transform(F.filter(found, allowed), lambda w: entry(F.btrim(F.translate(w, "-", "_"), F.lit("_'"))))
+    normal = F.transform(normal, lambda w: entry(lemma(w))) if lemma is not None else normal
+    return F.filter(normal, allowed)
 
 
 def without_repeats(words: Column) -> Column:
@@ -163,21 +219,88 @@ def without_repeats(words: Column) -> Column:
     return F.filter(words, lambda w, i: (i == 0) | (w != F.element_at(words, F.greatest(i, F.lit(1)))))
 
 
-def lemma_map(words: Column, irregular: dict[str, str] | None = None) -> Column:
-    """Plural nouns to singular by suffix rules; ``irregular`` words first."""
-    table = F.create_map(*[F.lit(x) for kv in (irregular or {}).items() for x in kv]) if irregular else None
+def noun_lemma(irregular: Mapping[str, str] | None = None) -> Callable[[Column], Column]:
+    """A noun's singular by suffix rules, as no dictionary is at hand; ``irregular`` words first."""
+    table = F.create_map(*[F.lit(x) for kv in irregular.items() for x in kv]) if irregular else None
 
     def one(w: Column) -> Column:
+        ends = lambda *tails: reduce(lambda a, b: a | b, [w.endswith(x) for x in tails])
+        cut = lambda n, add="": F.concat(F.substr(w, F.lit(1), F.length(w) - n), F.lit(add))
         rule = (
-            F.when(w.rlike("(ss|us|is)$") | (F.length(w) <= 3), w)
-            .when(w.rlike("[^aeiou]ies$"), F.regexp_replace(w, "ies$", "y"))
-            .when(w.rlike("(ch|sh|x|z|ss)es$"), F.regexp_replace(w, "es$", ""))
-            .when(w.rlike("s$"), F.regexp_replace(w, "s$", ""))
+            F.when(ends("ss", "us", "is") | (F.length(w) <= 3), w)
+            .when(w.endswith("ies") & ~F.substr(w, F.length(w) - 3, F.lit(1)).isin("a", "e", "i", "o", "u"), cut(3, "y"))
+            .when(ends("ches", "shes", "xes", "zes", "sses"), cut(2))
+            .when(w.endswith("s"), cut(1))
             .otherwise(w)
         )
         return F.coalesce(F.try_element_at(table, w), rule) if table is not None else rule
 
-    return F.transform(words, one)
+    return one
+
+
+def lemma_map(words: Column, irregular: Mapping[str, str] | None = None) -> Column:
+    """Plural nouns of an array to singular."""
+    return F.transform(words, noun_lemma(irregular))
+
+
+# --- displayed terms --------------------------------------------------------------------------
+
+
+def term_key(term: Column) -> Column:
+    """A term as a key: underscores as blanks, lower case, white space squeezed."""
+    return squeeze(F.lower(F.translate(term, "_", " ")))
+
+
+def readable_term(term: Column, canonical: Mapping[str, str] | None = None) -> Column:
+    """A term as it is shown: its canonical form, else itself with blanks for underscores."""
+    shown = F.trim(F.translate(term, "_", " "))
+    if not canonical:
+        return shown
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in canonical.items() for x in kv]), term_key(term)), shown)
+
+
+def family_key(term: Column, canonical: Mapping[str, str] | None = None, families: Mapping[str, str] | None = None) -> Column:
+    """What terms of one family have in common: the entry of their displayed form's key, else that key."""
+    key = term_key(readable_term(term, canonical))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in families.items() for x in kv]), key), key) if families else key
+
+
+@dataclass(frozen=True)
+class DisplayRules:
+    """Which terms are shown. ``fragments`` may stand nowhere in a term; ``exact`` terms, terms with a word of ``noise``,
+    and terms of ``stop`` words alone are left out; keys of ``short`` code points or fewer need an entry in ``known``;
+    terms of one word must be in ``single``, unless that is empty, and not in ``hidden_single``."""
+
+    fragments: Sequence[str] = ()
+    exact: Sequence[str] = ()
+    noise: Sequence[str] = ()
+    stop: Sequence[str] = ()
+    short: int = 3
+    known: Sequence[str] = ("nft", "defi", "llm", "dao", "vr", "ar", "ai", "iot")
+    hidden_single: Sequence[str] = ()
+    single: Sequence[str] = ()
+    canonical: Mapping[str, str] = field(default_factory=dict)
+
+
+def displayable(term: Column, rules: DisplayRules = DisplayRules()) -> Column:
+    """Whether a term may be shown; null counts as no term."""
+    raw, key = term_key(term), term_key(readable_term(term, rules.canonical))
+    among = lambda c, names: c.isin(*names) if names else F.lit(False)
+    words, raw_words = F.split(key, " "), F.split(raw, " ")
+    any_of = lambda w, names: F.exists(w, lambda x: x.isin(*names)) if names else F.lit(False)
+    hidden = key == ""
+    for part in rules.fragments:
+        hidden = hidden | raw.contains(part) | key.contains(part)
+    hidden = hidden | among(key, rules.exact) | among(raw, rules.exact) | any_of(words, rules.noise) | any_of(raw_words, rules.noise)
+    hidden = hidden | among(term, rules.stop) | among(key, rules.stop)
+    if rules.stop:
+        hidden = hidden | F.forall(words, lambda x: x.isin(*rules.stop))
+    hidden = hidden | ((F.length(key) <= rules.short) & ~among(key, rules.known))
+    one = F.size(words) == 1
+    hidden = hidden | (one & among(key, rules.hidden_single))
+    if rules.single:
+        hidden = hidden | (one & ~among(key, rules.single))
+    return F.coalesce(~hidden, F.lit(False))
 
 
 def token_budget(text: Column, chars_per_token: float = 2.8) -> Column:
@@ -185,6 +308,12 @@ def token_budget(text: Column, chars_per_token: float = 2.8) -> Column:
     return F.ceil(F.length(text) / F.lit(chars_per_token))
 
 
+def fitted_budget(text: Column, largest_ratio: Column, chars_per_token: float = 2.8) -> Column:
+    """The estimate from the largest ratio of tokens to characters observed, with a tenth to spare, else ``token_budget``."""
+    seen = F.floor(F.length(text) * largest_ratio * 1.10) + 1
+    return F.coalesce(seen, F.floor(F.length(text) / F.lit(chars_per_token)) + 1).cast("long")
+
+
 def complete_response(done: Column, reason: Column, response: Column) -> Column:
     """Whether a generated response ended by itself and says something."""
     return F.coalesce(done & (reason == "stop") & (F.trim(response) != ""), F.lit(False))

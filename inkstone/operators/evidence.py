@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators.relational import least_of, numbered
+from inkstone.storage import spread
 
 Lexicon = Mapping[str, Sequence[str]]
 
@@ -43,10 +45,14 @@ def category_total(lower: Column, terms: Sequence[str]) -> Column:
     return total
 
 
+def _lowered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the lower-cased text as a column of its own, to which every count refers."""
+    return spread(docs).withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+
+
 def category_totals(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``docs`` with a column n_CATEGORY for each category."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumns({f"n_{c}": category_total(low, terms) for c, terms in lexicon.items()})
+    return _lowered(docs, text).withColumns({f"n_{c}": category_total(F.col("__low"), terms) for c, terms in lexicon.items()}).drop("__low")
 
 
 def tier(lexicon: Lexicon, rules: Rules) -> Column:
@@ -68,12 +74,11 @@ def scores(docs: DataFrame, lexicon: Lexicon, rules: Rules) -> DataFrame:
 
 def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, category, ord, term, n) for each term that occurs in a document."""
-    low = F.lower(F.coalesce("text", F.lit("")))
     each = [
-        F.struct(F.lit(c).alias("category"), F.lit(i).alias("ord"), F.lit(t).alias("term"), T.term_count(low, t).alias("n"))
+        F.struct(F.lit(c).alias("category"), F.lit(i).alias("ord"), F.lit(t).alias("term"), T.term_count(F.col("__low"), t).alias("n"))
         for c, terms in lexicon.items() for i, t in enumerate(terms)
     ]
-    return docs.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+    return _lowered(docs.select("doc_id", "text")).select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
 
 
 def top_terms(docs: DataFrame, lexicon: Lexicon, limit: int = 8) -> DataFrame:
@@ -83,25 +88,38 @@ def top_terms(docs: DataFrame, lexicon: Lexicon, limit: int = 8) -> DataFrame:
 
 
 def sentence_score(lower: Column, lexicon: Lexicon, rules: Rules) -> Column:
-    counts = {c: category_total(lower, terms) for c, terms in lexicon.items()}
-    score = F.lit(0)
-    for c, n in counts.items():
-        score = score + n * rules.weights.get(c, 2) + F.when(n > 0, rules.per_category).otherwise(0)
-    for a, b in rules.pairs:
-        score = score + F.when((counts[a] > 0) & (counts[b] > 0), rules.bonus).otherwise(0)
-    return score
-
-
-def scored_sentences(docs: DataFrame, lexicon: Lexicon, rules: Rules) -> DataFrame:
-    """(doc_id, pos, sentence, score) for the sentences of 70 characters or more; pos counts them from 0."""
-    rows = docs.select("doc_id", F.posexplode(T.long_sentences(F.col("text"))).alias("pos", "sentence"))
-    return rows.withColumn("score", sentence_score(F.lower("sentence"), lexicon, rules))
+    """A sentence's score. Each distinct term is counted once, into a struct to which the sums refer."""
+    terms = list(dict.fromkeys(t for ts in lexicon.values() for t in ts))
+    counts = F.struct(*[T.term_count(lower, t).alias(f"t{i}") for i, t in enumerate(terms)])
+    place = {t: f"t{i}" for i, t in enumerate(terms)}
+
+    def score(x: Column) -> Column:
+        out = F.lit(0)
+        for c, n in totals.items():
+            out = out + x[n] * rules.weights.get(c, 2) + F.when(x[n] > 0, rules.per_category).otherwise(0)
+        for a, b in rules.pairs:
+            out = out + F.when((x[totals[a]] > 0) & (x[totals[b]] > 0), rules.bonus).otherwise(0)
+        return out
+
+    totals = {c: f"c{i}" for i, c in enumerate(lexicon)}
+    summed = lambda x: F.struct(*[sum((x[place[t]] for t in ts), F.lit(0)).alias(totals[c]) for c, ts in lexicon.items()])
+    return F.element_at(F.transform(F.transform(F.array(counts), summed), score), 1)
+
+
+def scored_sentences(docs: DataFrame, lexicon: Lexicon, rules: Rules, least: int | None = None) -> DataFrame:
+    """(doc_id, pos, sentence, score) for the sentences of 70 characters or more; pos counts them from 0. ``least``: only
+    those of that score, the score being computed once for both."""
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(T.long_sentences(F.col("text"))).alias("pos", "sentence"))
+    score = F.array(sentence_score(F.lower("sentence"), lexicon, rules))
+    if least is not None:
+        score = F.filter(score, lambda x: x >= least)
+    return rows.select("doc_id", "pos", "sentence", F.explode(score).alias("score"))
 
 
 def excerpts(docs: DataFrame, lexicon: Lexicon, rules: Rules) -> DataFrame:
     """Each document's best sentences: by score, then place; of sentences that start alike the best only."""
-    rows = scored_sentences(docs, lexicon, rules).filter("score > 0")
-    rows = rows.withColumn("excerpt", F.substring("sentence", 1, rules.excerpt_length))
+    rows = scored_sentences(docs, lexicon, rules, 1)
+    rows = rows.select("doc_id", "pos", "score", F.substring("sentence", 1, rules.excerpt_length).alias("excerpt"))
     rows = rows.withColumn("key", F.lower(F.substring("excerpt", 1, rules.key_length)))
     best = Window.partitionBy("doc_id", "key").orderBy(F.desc("score"), "pos")
     rank = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
@@ -124,13 +142,13 @@ def corpus_statistics(scored: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def pattern_frequency(docs: DataFrame, patterns: Mapping[str, str], examples: int = 3) -> DataFrame:
-    """For each labelled pattern, without regard to case: documents, occurrences, and the first documents' ids."""
+    """For each labelled pattern, without regard to case: documents, occurrences, and the first documents' ids. The
+    first ids are kept while counting, so no task sees all hits of a label."""
     each = [F.struct(F.lit(k).alias("label"), F.regexp_count(F.col("text"), F.lit(f"(?i){p}")).alias("n")) for k, p in patterns.items()]
-    rows = docs.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.*").filter("n > 0")
-    first = Window.partitionBy("label").orderBy("doc_id")
-    rows = rows.withColumn("r", F.row_number().over(first))
-    few = F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("doc_id"))))
-    return rows.groupBy("label").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"), F.array_join(few.cast("array<string>"), "; ").alias("examples"))
+    rows = docs.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+    counts = rows.groupBy("label").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    ids = least_of(rows, ["label"], "doc_id", examples, "ids")
+    return counts.join(ids, "label").select("label", "documents", "occurrences", F.array_join(F.col("ids").cast("array<string>"), "; ").alias("examples"))
 
 
 # --- prompts for a text generator, and its batches ------------------------------------------
@@ -151,15 +169,8 @@ def digests(scored: DataFrame, tops: DataFrame, shown: DataFrame, lexicon: Lexic
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows`` with the number, from 0, of the batch of ``size`` rows that each falls into by order of ``key``.
-
-    The place of a row is its place in its range partition plus the rows of the partitions before, so that no
-    task sees all rows."""
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = parts.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return parts.join(F.broadcast(offsets), "__p").withColumn("batch", F.floor((F.col("__r") + F.col("__o")) / size)).drop("__p", "__r", "__o")
+    """``rows`` with the number, from 0, of the batch of ``size`` rows that each falls into by order of ``key``."""
+    return numbered(rows, [key], "__place", 0).withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def prompts(batched: DataFrame, text: str, instruction: str) -> DataFrame:

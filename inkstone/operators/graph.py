@@ -7,7 +7,6 @@ target and relation.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -16,14 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import measures as M
 from inkstone.functions import text as T
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into spark.checkpoint.dir (an own folder where that is unset) and cut from its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkstone-"))
-    return df.checkpoint(eager=True)
+from inkstone.storage import checkpointed
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,9 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def keyword_matches(docs: DataFrame, groups: Mapping[str, Sequence[str]], text: Column) -> DataFrame:
     """(doc_id, group, n): occurrences, inside words too, of each group's keywords in a text."""
-    low = F.lower(text)
-    counts = [F.struct(F.lit(g).alias("group"), sum((T.substring_count(low, k) for k in keys), F.lit(0)).alias("n")) for g, keys in groups.items()]
-    return docs.select("doc_id", F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+    counts = [F.struct(F.lit(g).alias("group"), sum((T.substring_count(F.col("__low"), k) for k in keys), F.lit(0)).alias("n")) for g, keys in groups.items()]
+    return docs.select("doc_id", F.lower(text).alias("__low")).select("doc_id", F.explode(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
 
 
 def top_groups(docs: DataFrame, matches: DataFrame, dimensions: Sequence[tuple[str, str]], limit: int = 3) -> DataFrame:

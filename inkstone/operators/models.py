@@ -1,96 +1,348 @@
-"""Topic models: fitting, inference, coherence, stability over seeds.
+"""Topic models: fitting, inference, coherence, stability over seeds, sensitivity to settings.
 
-Fits run on executors through MLlib; the driver loops over numbers of topics and
-seeds and keeps matrices of topics by vocabulary, whose size the vocabulary cap
-bounds. A fit depends on how rows are partitioned, so rows are dealt by id.
+Models are latent Dirichlet allocations fitted by batch variational Bayes. An
+update is one pass over the units on executors: each task works through its
+units against the broadcast topics and brings one matrix of topics by terms for
+each model; these are summed in the JVM before they reach the driver, which
+updates the topics. Several models - seeds, priors - share a pass. The driver
+keeps matrices of topics by vocabulary, whose size the vocabulary cap bounds.
+
+Units start from equal weights and the topics from a seeded draw, so a fit does
+not depend on how rows are partitioned, but for rounding in the order of sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import topics as P
+from inkstone.operators.relational import IntegrityError
 
 
 @dataclass(frozen=True)
 class TopicSettings:
     k: int = 11
     seed: int = 2026
-    iterations: int = 20
-    alpha: float | None = None
-    eta: float = 0.01
-    #: The share of documents that each update sees.
-    subsampling: float = 1.0
-    #: Learns an asymmetric alpha, as the first generation's multi-pass model does.
-    asymmetric: bool = False
+    #: Updates at most; they end when the perplexity changes by less than ``tolerance``.
+    iterations: int = 250
     tolerance: float = 0.1
+    #: Prior of a unit's topics: a number, None for 1 / k, or "asymmetric".
+    alpha: float | str | None = None
+    eta: float = 0.01
+    #: A unit's inner iterations at most, and the mean change at which they end.
+    inner: int = 250
+    change: float = 0.001
+    #: Whether the priors are fitted too, by Newton's steps after each update.
+    learn_alpha: bool = False
+    learn_eta: bool = False
+
+
+#: The first generation's model: an asymmetric prior, a fitted topic prior, a fixed number of passes.
+FIRST_GENERATION = TopicSettings(k=7, seed=42, iterations=12, tolerance=0.0, alpha="asymmetric", learn_eta=True)
+
+
+@dataclass
+class TopicModel:
+    """Topics as pseudo-counts (topics by terms), their priors, and a trace of the updates."""
+
+    settings: TopicSettings
+    components: np.ndarray
+    alpha: np.ndarray
+    eta: float
+    trace: list[dict] = field(default_factory=list)
+    converged: bool = False
+
+    @property
+    def iterations(self) -> int:
+        return self.trace[-1]["iteration"] if self.trace else 0
+
+
+def initial(s: TopicSettings, terms: int) -> TopicModel:
+    if s.alpha == "asymmetric":
+        alpha = 1 / (np.arange(s.k) + math.sqrt(s.k))
+        alpha = alpha / alpha.sum()
+    else:
+        alpha = np.full(s.k, float(s.alpha) if s.alpha is not None else 1 / s.k)
+    return TopicModel(s, np.random.default_rng(s.seed).gamma(100.0, 0.01, (s.k, terms)), alpha, s.eta)
+
+
+# --- functions of the gamma distribution ---------------------------------------------------
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """For positive numbers: stepped up to 6 and beyond, then the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (low := x < 6).any():
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (low := x < 6).any():
+        out[low] += 1 / x[low] ** 2
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
 
 
-def vectors(bags: DataFrame, size: int, parts: int = 8) -> DataFrame:
-    """(uid, features) from (doc_id, unit, term_id, n)."""
-    rows = bags.groupBy("doc_id", "unit").agg(F.array_sort(F.collect_list(F.struct("term_id", "n"))).alias("t"))
-    make = F.udf(lambda t: SparseVector(size, [x["term_id"] for x in t], [float(x["n"]) for x in t]), VectorUDT())
-    return rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "unit").select("doc_id", "unit", make("t").alias("features"))
+def gammaln(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (low := x < 8).any():
+        out[low] -= np.log(x[low])
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
 
 
-def fit(rows: DataFrame, s: TopicSettings = TopicSettings()) -> LocalLDAModel:
-    """A variational Bayes model of ``rows`` (features)."""
-    lda = LDA(k=s.k, seed=s.seed, maxIter=s.iterations, optimizer="online", subsamplingRate=s.subsampling, optimizeDocConcentration=s.asymmetric)
-    lda = lda.setTopicConcentration(s.eta).setDocConcentration([s.alpha or 1 / s.k] * s.k)
-    return lda.fit(rows)
+def _expected_log(x: np.ndarray) -> np.ndarray:
+    return digamma(x) - digamma(x.sum(axis=-1, keepdims=True))
 
 
-def fit_with_trace(rows: DataFrame, s: TopicSettings = TopicSettings(), every: int = 5) -> tuple[LocalLDAModel, list[dict]]:
-    """A model and its trace of (iteration, perplexity), until the perplexity falls by less than ``tolerance``. Each
-    step refits from the seed with more iterations, which repeats the earlier ones exactly."""
-    trace: list[dict] = []
-    model = None
-    for n in range(every, s.iterations + every, every):
-        model = fit(rows, TopicSettings(**{**s.__dict__, "iterations": min(n, s.iterations)}))
-        trace.append({"iteration": min(n, s.iterations), "perplexity": float(np.exp(min(700.0, model.logPerplexity(rows))))})
-        if len(trace) > 1 and abs(trace[-2]["perplexity"] - trace[-1]["perplexity"]) < s.tolerance:
+# --- units -----------------------------------------------------------------------------------
+
+
+def unit_rows(bags: DataFrame) -> DataFrame:
+    """(doc_id, unit, terms, counts) from (doc_id, unit, term_id, n)."""
+    packed = F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("t"), F.col("n").cast("double").alias("n"))))
+    rows = bags.groupBy("doc_id", "unit").agg(packed.alias("x"))  # a unit's distinct terms
+    return rows.select("doc_id", "unit", F.transform("x", lambda x: x["t"]).alias("terms"), F.transform("x", lambda x: x["n"]).alias("counts"))
+
+
+@dataclass(frozen=True)
+class _Sent:
+    """What tasks need of a model."""
+
+    exp_topics: np.ndarray  # exp of the expected log probability, terms by topics
+    alpha: np.ndarray
+    inner: int
+    change: float
+
+
+def _sent(m: TopicModel) -> _Sent:
+    return _Sent(np.exp(_expected_log(m.components)).T.copy(), m.alpha, m.settings.inner, m.settings.change)
+
+
+def unit_weights(m: _Sent, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units laid end to end (each begins at one of ``starts`` and has terms). Each unit's topic pseudo-counts; exp of
+    their expected logs; and for each term of a unit the sum of both sides' products. Units whose mean change falls
+    below the limit leave the iteration."""
+    n, k = len(starts), len(m.alpha)
+    gamma = np.ones((n, k))
+    expected = np.exp(_expected_log(gamma))
+    live = np.arange(n)
+    sizes = np.diff(np.append(starts, len(terms)))
+    words, weight, size = m.exp_topics[terms], counts, sizes
+    for _ in range(m.inner):
+        own = np.repeat(np.arange(len(live)), size)
+        norm = np.einsum("ij,ij->i", expected[live][own], words) + 1e-100
+        begins = np.cumsum(size) - size
+        new = m.alpha + expected[live] * np.add.reduceat((weight / norm)[:, None] * words, begins, axis=0)
+        moved = np.abs(new - gamma[live]).mean(axis=1)
+        gamma[live] = new
+        expected[live] = np.exp(_expected_log(new))
+        going = moved >= m.change
+        if not going.any():
             break
-    return model, trace
+        if not going.all():
+            keep = np.repeat(going, size)
+            live, words, weight, size = live[going], words[keep], weight[keep], size[going]
+    own = np.repeat(np.arange(n), sizes)
+    return gamma, expected, np.einsum("ij,ij->i", expected[own], m.exp_topics[terms]) + 1e-100
+
+
+def _flat(b: pa.RecordBatch, terms: int, counts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of a batch that have terms, laid end to end."""
+    lists = b.column(terms)
+    sizes = np.diff(lists.offsets.to_numpy())
+    kept = np.flatnonzero(sizes > 0)
+    return kept, lists.flatten().to_numpy(), b.column(counts).flatten().to_numpy(), (np.cumsum(sizes) - sizes)[kept]
+
+
+def _passed(rows: DataFrame, models: Sequence[TopicModel]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One pass over the units: for each model the expected counts (topics by terms), and the units' part of the bound,
+    their tokens and number, and the sum of the expected logs of their topics."""
+    sent = rows.sparkSession.sparkContext.broadcast([_sent(m) for m in models])  # topics by terms for each model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        sums = [np.zeros((m.exp_topics.shape[1], m.exp_topics.shape[0])) for m in own]
+        parts = [np.zeros(3 + len(m.alpha)) for m in own]
+        for b in batches:
+            kept, terms, counts, starts = _flat(b, 0, 1)
+            if not len(kept):
+                continue
+            doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+            for m, total, part in zip(own, sums, parts, strict=True):
+                gamma, expected, norm = unit_weights(m, terms, counts, starts)
+                share = counts / norm
+                for t in range(len(m.alpha)):
+                    total[t] += np.bincount(terms, weights=expected[doc, t] * share, minlength=total.shape[1])
+                logs = _expected_log(gamma)
+                bound = (counts * np.log(norm)).sum() + ((m.alpha - gamma) * logs + gammaln(gamma) - gammaln(m.alpha)).sum()
+                bound += len(gamma) * float(gammaln(m.alpha.sum()[None])[0]) - gammaln(gamma.sum(axis=1)).sum()
+                part += np.concatenate(([bound, counts.sum(), len(gamma)], logs.sum(axis=0)))
+        out = [(i, t, row) for i, (m, total) in enumerate(zip(own, sums, strict=True)) for t, row in enumerate(total * m.exp_topics.T)]
+        out += [(i, -1, part) for i, part in enumerate(parts)]
+        for i, t, row in out:
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([t], pa.int32()), pa.array([row], pa.list_(pa.float64()))], ["m", "t", "x"])
+
+    found = rows.select("terms", "counts").mapInArrow(run, "m int, t int, x array<double>")
+    summed = found.groupBy("m", "t").agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).collect()  # topics and one more for each model
+    sent.destroy()
+    got = {(r["m"], r["t"]): np.array(r["x"]) for r in summed}
+    empty = lambda m: (np.zeros_like(m.components), np.zeros(3 + len(m.alpha)))
+    return [(np.stack([got[i, t] for t in range(len(m.alpha))]), got[i, -1]) if (i, -1) in got else empty(m) for i, m in enumerate(models)]
 
 
-def infer(model: LocalLDAModel, rows: DataFrame) -> DataFrame:
-    """(doc_id, unit, topic, w): every unit's topic weights."""
-    out = model.transform(rows).select("doc_id", "unit", vector_to_array("topicDistribution").alias("theta"))
-    return P.long_theta(out, "theta")
+# --- fitting ---------------------------------------------------------------------------------
 
 
-def phi_matrix(model: LocalLDAModel) -> np.ndarray:
+def _newton(prior: np.ndarray, n: float, logs: np.ndarray) -> np.ndarray:
+    """A Dirichlet prior after one Newton step towards the likeliest for n draws whose expected logs sum to ``logs``; halved
+    while it would leave the positive numbers."""
+    gradient = n * (digamma(prior.sum()[None]) - digamma(prior)) + logs
+    q, z = -n * trigamma(prior), n * float(trigamma(prior.sum()[None])[0])
+    b = (gradient / q).sum() / (1 / z + (1 / q).sum())
+    step = (gradient - b) / q
+    for _ in range(20):
+        if (prior - step > 1e-6).all():
+            return prior - step
+        step = step / 2
+    return prior
+
+
+def _scalar_newton(eta: float, k: int, v: int, logs: float) -> float:
+    """The same for a symmetric prior of k topics over v terms."""
+    gradient = k * v * float((digamma(np.array([v * eta])) - digamma(np.array([eta])))[0]) + logs
+    slope = k * v * float((v * trigamma(np.array([v * eta])) - trigamma(np.array([eta])))[0])
+    step = gradient / slope if slope else 0.0
+    for _ in range(20):
+        if eta - step > 1e-6:
+            return eta - step
+        step /= 2
+    return eta
+
+
+def fit_all(rows: DataFrame, settings: Sequence[TopicSettings], terms: int) -> list[TopicModel]:
+    """A model of the units (``unit_rows``) for each of ``settings``. The bound of a model's topics comes with the pass
+    that updates them next, so the trace costs no pass of its own; models that are done leave the passes."""
+    models = [initial(s, terms) for s in settings]
+    live = list(range(len(models)))
+    updates = [0] * len(models)
+    while live:
+        for i, (counts, part) in zip(list(live), _passed(rows, [models[i] for i in live]), strict=True):
+            m, s = models[i], models[i].settings
+            bound, tokens, units = part[:3]
+            logs = _expected_log(m.components)
+            bound += ((m.eta - m.components) * logs + gammaln(m.components)).sum() - gammaln(m.components.sum(axis=1)).sum()
+            bound += s.k * float(gammaln(np.array([m.eta * terms]))[0]) - s.k * terms * float(gammaln(np.array([m.eta]))[0])
+            per_token = bound / max(tokens, 1.0)
+            if updates[i]:
+                m.trace.append({"iteration": updates[i], "perplexity": float(np.exp(min(700.0, -per_token))), "bound": float(bound), "bound_per_token": float(per_token)})
+                m.converged = len(m.trace) > 1 and abs(m.trace[-2]["perplexity"] - m.trace[-1]["perplexity"]) < s.tolerance
+            if m.converged or updates[i] >= s.iterations or not tokens:
+                live.remove(i)
+                continue
+            if s.learn_alpha:
+                m.alpha = _newton(m.alpha, units, part[3:])
+            m.components = counts + m.eta
+            if s.learn_eta:
+                m.eta = _scalar_newton(m.eta, s.k, terms, float(_expected_log(m.components).sum()))
+            updates[i] += 1
+    return models
+
+
+def fit(rows: DataFrame, s: TopicSettings, terms: int) -> TopicModel:
+    return fit_all(rows, [s], terms)[0]
+
+
+def infer(model: TopicModel, rows: DataFrame) -> DataFrame:
+    """(doc_id, unit, n, topic, w): every unit's tokens and topic weights; a unit without known terms has the prior's."""
+    sent = rows.sparkSession.sparkContext.broadcast(_sent(model))  # topics by terms
+    keys = rows.select("doc_id", "unit").schema
+    prior = model.alpha / model.alpha.sum()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, terms, counts, starts = _flat(b, 2, 3)
+            theta = np.tile(prior, (b.num_rows, 1))
+            n = np.zeros(b.num_rows)
+            if len(kept):
+                gamma = unit_weights(sent.value, terms, counts, starts)[0]
+                theta[kept] = gamma / gamma.sum(axis=1, keepdims=True)
+                n[kept] = np.add.reduceat(counts, starts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(list(theta), pa.list_(pa.float64()))], ["doc_id", "unit", "n", "theta"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.fields)
+    return P.long_theta(rows.select("doc_id", "unit", "terms", "counts").mapInArrow(run, f"{kinds}, n double, theta array<double>"), "theta")
+
+
+def phi_matrix(model: TopicModel) -> np.ndarray:
     """Topics by terms, rows that sum to 1."""
-    m = model.topicsMatrix().toArray().T
-    return m / m.sum(axis=1, keepdims=True)
+    return model.components / model.components.sum(axis=1, keepdims=True)
+
+
+def save(spark: SparkSession, model: TopicModel, path: str) -> None:
+    """Writes a model beside ``path`` and then renames it, so that what stands at ``path`` is whole."""
+    fs, here, there = _paths(spark, path)
+    fs.delete(there, True)
+    about = json.dumps({"settings": asdict(model.settings), "alpha": model.alpha.tolist(), "eta": model.eta, "trace": model.trace, "converged": model.converged})
+    rows = [(-1, about, [])] + [(t, "", row.tolist()) for t, row in enumerate(model.components)]
+    spark.createDataFrame(rows, "topic int, about string, x array<double>").coalesce(1).write.parquet(there.toString())
+    fs.delete(here, True)
+    if not fs.rename(there, here):
+        raise IntegrityError(f"the model could not be moved to {path}")
+
+
+def load(spark: SparkSession, path: str) -> TopicModel:
+    rows = {r["topic"]: r for r in spark.read.parquet(path).collect()}  # topics by terms
+    about = json.loads(rows[-1]["about"])
+    components = np.array([rows[t]["x"] for t in range(len(rows) - 1)])
+    return TopicModel(TopicSettings(**about["settings"]), components, np.array(about["alpha"]), about["eta"], about["trace"], about["converged"])
+
 
+def _paths(spark: SparkSession, path: str):
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return here.getFileSystem(spark._jsc.hadoopConfiguration()), here, spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
 
-def save_or_load(path: str, make) -> LocalLDAModel:
-    """The model saved at ``path``, or a new one, saved there; one that can't be read is made anew."""
-    try:
-        return LocalLDAModel.load(path)
-    except Exception:  # noqa: BLE001  absent or unreadable: fitted again
-        model = make()
-        model.write().overwrite().save(path)
-        return model
+
+def save_or_load(spark: SparkSession, path: str, make: Callable[[], TopicModel]) -> TopicModel:
+    """The model saved at ``path``, or a new one, saved there. One that stands there but can't be read is made anew;
+    errors in making one are not hidden."""
+    fs, here, _ = _paths(spark, path)
+    if fs.exists(here):
+        try:
+            return load(spark, path)
+        except Exception as e:  # noqa: BLE001  reported, and fitted again
+            print(f"unreadable model at {path}, fitted again: {type(e).__name__}")
+    model = make()
+    save(spark, model, path)
+    return model
 
 
 def window_counts(tokens: DataFrame, terms: Sequence[str], window: int) -> tuple[dict, dict, int]:
     """In how many windows of so many tokens each term, and each pair of terms, occurs; and how many windows there are.
     A text shorter than a window is one window. Only rows of ``terms`` leave the first stage."""
     spark = tokens.sparkSession
-    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(1)))).first()[0] or 0
+    total = tokens.filter("pos = 0").agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(1)))).first()[0] or 0
     side = F.broadcast(spark.createDataFrame([(t,) for t in sorted(set(terms))], "token string"))
-    rows = tokens.join(side, "token").join(sizes, "doc_id")
+    rows = tokens.join(side, "token")  # the lists' terms
     last = F.greatest(F.col("n") - window, F.lit(0))
     starts = F.sequence(F.greatest(F.col("pos") - window + 1, F.lit(0)).cast("int"), F.least(F.col("pos"), last).cast("int"))
     sets = rows.select("doc_id", "token", F.explode(starts).alias("s")).groupBy("doc_id", "s").agg(F.array_sort(F.collect_set("token")).alias("t"))
@@ -135,24 +387,101 @@ def js_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def seed_stability(phis: dict[int, np.ndarray], terms: int = 10) -> list[dict]:
-    """A row for each pair of seeds: similarity and term overlap of the topics, matched for least distance."""
-    out = []
-    for x in sorted(phis):
-        for y in sorted(s for s in phis if s > x):
-            cost = js_matrix(phis[x], phis[y])
-            to = P.matched(cost)
-            tops = [[set(np.argsort(-row, kind="stable")[:terms]) for row in phis[s]] for s in (x, y)]
-            overlap = [len(tops[0][i] & tops[1][j]) / len(tops[0][i] | tops[1][j]) for i, j in enumerate(to)]
-            out.append({"seed_a": x, "seed_b": y, "similarity": float(np.mean([1 - cost[i, j] for i, j in enumerate(to)])), "jaccard": float(np.mean(overlap))})
-    return out
+def matched_topics(a: np.ndarray, b: np.ndarray, terms: int = 10) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """For each topic of ``a`` the one of ``b`` matched for least total distance, their similarity, and the overlap of
+    their likeliest terms."""
+    cost = js_matrix(a, b)
+    to = P.matched(cost)
+    tops = [[set(np.argsort(-row, kind="stable")[:terms].tolist()) for row in m] for m in (a, b)]
+    overlap = [len(tops[0][i] & tops[1][j]) / len(tops[0][i] | tops[1][j]) for i, j in enumerate(to)]
+    return to, np.array([1 - cost[i, j] for i, j in enumerate(to)]), np.array(overlap)
 
 
-def paired_audit(base: dict[int, np.ndarray], variant: dict[int, np.ndarray]) -> list[dict]:
-    """A row for each seed of both: similarity and largest difference of the matched topics."""
-    out = []
-    for seed in sorted(set(base) & set(variant)):
-        cost = js_matrix(base[seed], variant[seed])
-        to = P.matched(cost) if cost.shape[0] == cost.shape[1] else list(cost.argmin(axis=1))
-        out.append({"seed": seed, "similarity": float(np.mean([1 - cost[i, j] for i, j in enumerate(to)])), "largest": float(max(np.abs(base[seed][i] - variant[seed][j]).max() for i, j in enumerate(to)))})
-    return out
+def seed_stability(phis: Mapping[int, np.ndarray], thetas: DataFrame | None = None, terms: int = 10) -> tuple[list[dict], int]:
+    """A row for each pair of seeds - similarity and term overlap of the topics matched for least distance, and with
+    ``thetas`` (seed, doc_id, topic, w) the Rand index of the documents' dominant topics and their mean difference of
+    aligned weights - and the seed most similar to all others, the first of equal ones."""
+    seeds = list(phis)
+    out, aligned = [], {}
+    total = dict.fromkeys(seeds, 0.0)
+    for i, x in enumerate(seeds):
+        for y in seeds[i + 1 :]:
+            to, similarity, overlap = matched_topics(phis[x], phis[y], terms)
+            aligned[x, y] = to
+            total[x] += float(similarity.mean())
+            total[y] += float(similarity.mean())
+            out.append({"seed_a": x, "seed_b": y, "similarity": float(similarity.mean()), "jaccard": float(overlap.mean())})
+    if thetas is not None and out:
+        # each document's weights of every seed in one row: an array of the topics for each
+        wide = thetas.groupBy("doc_id", "seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "w"))), lambda x: x["w"]).alias("t"))
+        wide = wide.groupBy("doc_id").pivot("seed", seeds).agg(F.first("t"))
+        pairs = []
+        for n, r in enumerate(out):
+            a, b = F.col(str(r["seed_a"])), F.col(str(r["seed_b"]))
+            moved = F.array(*[F.element_at(b, j + 1) for j in aligned[r["seed_a"], r["seed_b"]]])
+            l1 = F.aggregate(F.zip_with(a, moved, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, v: s + v)
+            first = lambda t: F.array_position(t, F.array_max(t))
+            pairs.append(F.struct(F.lit(n).alias("pair"), first(a).alias("x"), first(b).alias("y"), l1.alias("l1")))
+        rows = wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+        cells = rows.groupBy("pair", "x", "y").agg(F.count("*").alias("n"), F.sum("l1").alias("l1")).collect()  # pairs times topics squared
+        for n, r in enumerate(out):
+            own = [c for c in cells if c["pair"] == n]
+            r["ari"] = P.adjusted_rand_of({(c["x"], c["y"]): c["n"] for c in own})
+            r["l1"] = sum(c["l1"] for c in own) / sum(c["n"] for c in own)
+    return out, max(seeds, key=lambda s: total[s])
+
+
+# --- sensitivity -------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Variant:
+    """A refit: its units (all, and those trained on), and what differs from the base's settings."""
+
+    name: str
+    rows: DataFrame
+    training: DataFrame
+    change: Mapping[str, object] = field(default_factory=dict)
+
+
+def sensitivity(base: TopicModel, base_theta: DataFrame, variants: Sequence[Variant], seeds: Sequence[int], terms: int) -> tuple[list[dict], dict[tuple[str, int], np.ndarray]]:
+    """A row for each variant and seed - how alike its topics are to the base's, matched, and how far the documents'
+    aligned weights and the prevalence move - and the topics by (variant, seed). ``base_theta``: (doc_id, topic, w)."""
+    rows, phis = [], {}
+    reference = phi_matrix(base)
+    for v in variants:
+        models = fit_all(v.training, [replace(base.settings, **{**v.change, "seed": seed}) for seed in seeds], terms)
+        for seed, model in zip(seeds, models, strict=True):
+            phis[v.name, seed] = phi_matrix(model)
+            to, similarity, overlap = matched_topics(reference, phis[v.name, seed])
+            place = F.create_map(*[F.lit(x) for i, j in enumerate(to) for x in (j, i)])
+            own = P.token_weighted(infer(model, v.rows)).select("doc_id", F.element_at(place, F.col("topic")).alias("topic"), F.col("w").alias("v"))
+            both = own.join(base_theta, ["doc_id", "topic"])
+            moved = both.groupBy("topic").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("l1"), F.count("*").alias("n"), (F.avg("v") - F.avg("w")).alias("shift")).collect()  # a row for each topic
+            rows.append({
+                "variant": v.name, "seed": seed, "iterations": model.iterations, "converged": model.converged, "similarity": float(similarity.mean()), "jaccard": float(overlap.mean()),
+                "l1": sum(r["l1"] for r in moved) / max(1, moved[0]["n"]) if moved else 0.0, "largest_shift": 100 * max((abs(r["shift"]) for r in moved), default=0.0),
+            })
+    return rows, phis
+
+
+def paired_audit(base: Mapping[int, np.ndarray], variants: Mapping[tuple[str, int], np.ndarray]) -> tuple[list[dict], list[dict]]:
+    """A row for each variant and seed that the base has too - similarity, term overlap and largest difference of the
+    matched topics -, and their summary by variant. Topics of another number or vocabulary are an error."""
+    pairs = []
+    for (name, seed), phi in variants.items():
+        if seed not in base:
+            continue
+        if base[seed].shape != phi.shape:
+            raise IntegrityError(f"vocabulary or topics of {name}, seed {seed}, differ from the base's")
+        to, similarity, overlap = matched_topics(base[seed], phi)
+        pairs.append({"variant": name, "seed": seed, "similarity": float(similarity.mean()), "jaccard": float(overlap.mean()), "largest": float(np.abs(base[seed] - phi[to]).max())})
+    summary = []
+    for name in dict.fromkeys(p["variant"] for p in pairs):
+        own = [p for p in pairs if p["variant"] == name]
+        each = [p["similarity"] for p in own]
+        summary.append({
+            "variant": name, "n": len(own), "mean_similarity": float(np.mean(each)), "min_similarity": min(each), "max_similarity": max(each),
+            "mean_jaccard": float(np.mean([p["jaccard"] for p in own])), "largest": max(p["largest"] for p in own),
+        })
+    return pairs, summary

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from inkstone.functions import text as T
+from inkstone.storage import spread, written
 
 
 class IntegrityError(ValueError):
@@ -67,28 +72,51 @@ def broadcast_lookup(rows: DataFrame, table: Mapping[str, str], column: str, out
 
 def replace_aliases(text: Column, aliases: Mapping[str, str]) -> Column:
     """Whole-word aliases replaced, longer ones first, each place once."""
-    keys = sorted(aliases, key=lambda a: (-len(a), a))
-    quoted = ["\\Q" + k + "\\E" for k in keys]
-    marked = text
-    for i, q in enumerate(quoted):  # to a mark first, so that what a replacement brings in isn't replaced again
-        marked = F.regexp_replace(marked, rf"(?<![a-z0-9_]){q}(?![a-z0-9_])", f"{chr(0xE000 + i)}")
-    for i, k in enumerate(keys):
-        marked = F.replace(marked, F.lit(chr(0xE000 + i)), F.lit(aliases[k]))
-    return marked
-
-
-def containment(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
-    """(item_id, doc_id): documents that hold a whole passage. Candidates share the passage's first ``words`` words, so
-    the join is an equality over documents' word windows; containment is then verified on the texts."""
-    lead = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, words), " ")
-    keyed = passages.select("item_id", F.col("text").alias("passage"), F.size(F.split(F.trim("text"), r"\s+")).alias("n"), F.xxhash64(lead).alias("k")).filter(F.col("n") >= words)
+    return T.replace_words(text, aliases)
+
+
+def containment(passages: DataFrame, docs: DataFrame, words: int = 8, short: int = 2000) -> DataFrame:
+    """(item_id, doc_id): documents that hold a whole passage, wherever in the text it starts and ends.
+
+    A passage's first and last word may be pieces of a document's words; those between stand there whole. So its inner
+    words, at most ``words`` of them, are a window of the document's words, and the join is an equality over such
+    windows, one length at a time; what it finds is verified on the texts. A passage without inner words is looked for
+    in each text, in the list of all such passages when there are at most ``short`` of them (each distinct one counts
+    once), else by the pieces of text of its length. A null text holds nothing, an empty passage stands in every text."""
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    items = passages.filter("text IS NOT NULL").select("item_id", F.col("text").alias("passage"))
+    inner = F.slice("w", 2, F.least(F.lit(words), F.greatest(F.size("w") - 2, F.lit(0))))
+    # white space at an end makes the word there whole, but does no harm to the rule
+    items = items.withColumn("w", split(F.col("passage"))).select("item_id", "passage", inner.alias("w"))
+    items = items.withColumns({"n": F.size("w"), "k": F.xxhash64(F.array_join("w", " "))})
+    lengths = sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect())  # at most ``words`` numbers
+    texts = spread(docs.filter("text IS NOT NULL").select("doc_id", "text"))
     # the words as a column of their own, as each window refers to them
-    split = docs.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w")).filter(F.size("w") >= words)
-    windows = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
-    rows = split.select("doc_id", F.explode(F.array_distinct(windows)).alias("k"))
-    pairs = rows.join(F.broadcast(keyed.select("k").distinct()) if keyed.count() <= 100_000 else keyed.select("k").distinct(), "k", "left_semi").join(keyed.select("k", "item_id"), "k").select("item_id", "doc_id").distinct()
-    full = pairs.join(keyed.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    return full.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    rows = texts.select("doc_id", split(F.col("text")).alias("w"))
+    starts = lambda size, n, first: F.when(size >= n, F.sequence(F.lit(first), size - n + first)).otherwise(F.array().cast("array<int>"))
+    window = lambda n: lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")).alias("k"))
+    out = []
+    if lengths:
+        windows = F.array_distinct(F.concat(*[F.transform(starts(F.size("w"), n, 0), window(n)) for n in lengths]))
+        pairs = rows.select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.*").join(items.filter("n > 0").select("n", "k", "item_id"), ["n", "k"])
+        full = pairs.select("item_id", "doc_id").join(items.select("item_id", "passage"), "item_id").join(texts, "doc_id")
+        out.append(full.filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
+    bare = items.filter("n = 0").select("item_id", "passage")
+    distinct = [r["passage"] for r in bare.select("passage").distinct().limit(short + 1).collect()]
+    if 0 < len(distinct) <= short:  # a list of bounded size, unrolled into the scan of the texts
+        listed = F.array(*map(F.lit, distinct))
+        held = texts.select("doc_id", F.explode(F.filter(listed, lambda p: F.col("text").contains(p))).alias("passage"))
+        out.append(held.join(bare, "passage").select("item_id", "doc_id"))
+    elif distinct:
+        sizes = sorted(r["n"] for r in bare.select(F.length("passage").alias("n")).distinct().collect())
+        for n in sizes:
+            pieces = F.array_distinct(F.transform(starts(F.length("text"), n, 1), lambda i, n=n: F.substr("text", i, F.lit(n))))
+            held = texts.select("doc_id", F.explode(pieces).alias("passage"))
+            out.append(held.join(bare.filter(F.length("passage") == n), "passage").select("item_id", "doc_id"))
+    if not out:
+        kinds = StructType([StructField(c, df.schema[c].dataType) for c, df in (("item_id", passages), ("doc_id", docs))])
+        return docs.sparkSession.createDataFrame([], kinds)
+    return reduce(DataFrame.union, out).distinct()
 
 
 # --- sets -----------------------------------------------------------------------------------
@@ -130,11 +158,25 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], l
 
 def ordered_join(rows: DataFrame, by: str, value: str, order: str, out: str, limit: int | None = None, sep: str = "; ") -> DataFrame:
     """A string of a group's values in order, the first ``limit`` ones."""
+    if limit:  # the first ones of each group are found before they meet
+        piece = F.pmod(F.xxhash64(order, value), F.lit(256)).alias("__piece")
+        w = Window.partitionBy(by, "__piece").orderBy(order, value)
+        rows = rows.select(by, value, order, piece) if value != order else rows.select(by, value, piece)
+        rows = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= limit)
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))
     names = F.transform(F.slice(packed, 1, limit) if limit else packed, lambda x: x["v"])
     return rows.groupBy(by).agg(F.array_join(names, sep).alias(out))
 
 
+def least_of(rows: DataFrame, by: Sequence[str], value: str, limit: int, out: str) -> DataFrame:
+    """(by..., out): the ``limit`` smallest values of each group, rising; rows are dealt into pieces that keep as many
+    each, so a group of any size brings a bounded number to its task."""
+    piece = F.pmod(F.xxhash64(value), F.lit(256)).alias("__piece")
+    w = Window.partitionBy(*by, "__piece").orderBy(value)
+    few = rows.select(*by, piece, value).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= limit)
+    return few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(value)), 1, limit).alias(out))
+
+
 def pivoted(rows: DataFrame, by: str, column: str, values: Sequence, measure: str) -> DataFrame:
     """A wide table with a column for each of ``values``, 0 where a group has none."""
     return rows.groupBy(by).pivot(column, list(values)).agg(F.sum(measure)).fillna(0)
@@ -143,31 +185,43 @@ def pivoted(rows: DataFrame, by: str, column: str, values: Sequence, measure: st
 def barycentre(edges: DataFrame, places: DataFrame) -> DataFrame:
     """(target, centre, place): targets by the mean place of their sources, then name."""
     centre = edges.join(places, "source").groupBy("target").agg(F.avg("place").alias("centre"))
-    return centre.withColumn("place", F.row_number().over(Window.orderBy("centre", "target")))
+    return numbered(centre, ["centre", "target"], "place")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], out: str, first: int = 1) -> DataFrame:
+    """``rows`` with their place in an order, from ``first``. Rows are dealt by ranges of the order and written once; a
+    row's place is that in its range plus the rows of the ranges before, so no task sees them all."""
+    parts = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    parts = written(parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), "numbered")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = parts.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = (F.col("__r") + F.col("__o") + (first - 1)).cast("int")
+    return parts.join(F.broadcast(offsets), "__p").withColumn(out, place).drop("__p", "__r", "__o")
 
 
 # --- agreement of raters --------------------------------------------------------------------
 
 
 def agreement(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n, agree): items and the share on which x equals y, for each group and (nulls) over all."""
-    sets = [list(by), []] if by else [[]]
-    parts = [rows.groupBy(*s).agg(F.count("*").alias("n"), F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("agree")) for s in sets]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    """(by..., n, agree): items and the share on which x equals y, for each group and (nulls) over all, in one pass."""
+    measures = [F.count("*").alias("n"), F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("agree")]
+    if not by:
+        return rows.agg(*measures)
+    return rows.groupingSets([[F.col(c) for c in by], []], *by).agg(*measures)
 
 
 def cohen_kappa(rows: DataFrame, quadratic: bool = False) -> DataFrame:
     """One row: Cohen's kappa of two raters (x, y), nominal or with quadratic weights. A null rating is an error."""
     if not rows.filter("x IS NULL OR y IS NULL").isEmpty():
         raise IntegrityError("ratings are missing")
+    if quadratic:  # of squared differences only sums and moments are needed, so no grid of ratings
+        x, y = F.col("x").cast("double"), F.col("y").cast("double")
+        seen, n = F.sum((x - y) * (x - y)), F.count("*")
+        due = F.sum(x * x) + F.sum(y * y) - 2 * F.sum(x) * F.sum(y) / n
+        return rows.agg((1 - seen / due).alias("kappa"))
     cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-    mx = cells.groupBy("x").agg(F.sum("n").alias("nx"))
-    my = cells.groupBy("y").agg(F.sum("n").alias("ny"))
-    total = cells.agg(F.sum("n").alias("t"))
-    distance = (F.col("x") - F.col("y")) * (F.col("x") - F.col("y")) if quadratic else F.when(F.col("x") == F.col("y"), 0.0).otherwise(1.0)
-    grid = mx.join(F.broadcast(my), F.lit(True)).join(F.broadcast(total), F.lit(True)).join(cells, ["x", "y"], "left")  # ratings squared
-    seen, due = F.sum(distance * F.coalesce("n", F.lit(0))), F.sum(distance * F.col("nx") * F.col("ny") / F.col("t"))
-    return grid.agg((1 - seen / due).alias("kappa"))
+    each = cells.select(F.col("x").alias("v"), F.col("n").alias("nx"), F.lit(0).alias("ny")).union(cells.select("y", F.lit(0), "n")).groupBy("v").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"))
+    met = each.agg(F.sum(F.col("nx") * F.col("ny")).alias("met"), F.sum("nx").alias("t"))  # agreement by chance, times items
+    same = cells.agg(F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n"))), F.lit(0)).alias("same"))
+    t = F.col("t")
+    return met.join(F.broadcast(same), F.lit(True)).select((1 - (t - F.col("same")) / (t - F.col("met") / t)).alias("kappa"))

@@ -7,13 +7,16 @@ topic-by-topic tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import measures as M
+from inkstone.operators.relational import IntegrityError, numbered
 
 
 # --- document weights -----------------------------------------------------------------------
@@ -48,24 +51,49 @@ def dominant_counts(theta: DataFrame) -> DataFrame:
 
 
 def prevalence(unit_theta: DataFrame) -> DataFrame:
-    """(topic, equal_document, equal_unit, token_weighted, dominant): four weightings of the same units."""
+    """(topic, equal_document, equal_chunk, equal_unit, token_weighted, dominant): weightings of the same units - documents
+    equal, their units by tokens or equal; units equal; tokens equal - and the documents that a topic dominates."""
     docs = token_weighted(unit_theta)
     a = docs.groupBy("topic").agg(F.avg("w").alias("equal_document"))
+    e = equal_units(unit_theta).groupBy("topic").agg(F.avg("w").alias("equal_chunk"))
     b = unit_theta.groupBy("topic").agg(F.avg("w").alias("equal_unit"), (F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("token_weighted"))
     c = dominant_counts(docs).withColumnRenamed("documents", "dominant")
-    return a.join(b, "topic").join(c, "topic", "left").fillna(0, ["dominant"])
-
-
-def bootstrap_interval(theta: DataFrame, resamples: int = 200, low: float = 0.025, high: float = 0.975, seed: int = 42) -> DataFrame:
-    """(topic, low, high): quantiles of the mean weight over resamples of documents. A document's copies in a resample
-    are Poisson with mean 1, from a hash of both, so resamples need neither order nor a shuffle of documents."""
-    u = lambda r: F.pmod(F.xxhash64(F.lit(seed), r, "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([float(np.exp(-1)) / float(np.prod(range(1, k + 1))) if k else float(np.exp(-1)) for k in range(7)])
-    copies = lambda r: sum((F.when(u(r) >= F.lit(float(s)), 1).otherwise(0) for s in steps), F.lit(0))
-    docs = theta.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("topic", "w"))).alias("t"))
-    rows = docs.select("t", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"), "doc_id")
-    rows = rows.withColumn("k", copies(F.col("r"))).filter("k > 0").select("r", "k", F.explode("t").alias("x"))
-    means = rows.groupBy("r", "x.topic").agg((F.sum(F.col("k") * F.col("x.w")) / F.sum("k")).alias("m"))
+    return a.join(e, "topic").join(b, "topic").join(c, "topic", "left").fillna(0, ["dominant"])
+
+
+def poisson_copies(ids: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """[resamples, documents]: how often each document stands in each resample, Poisson with mean 1, from a hash of both;
+    ``ids`` are the documents' 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[None, :] ^ ((np.arange(resamples, dtype=np.uint64)[:, None] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x = x ^ (x >> np.uint64(31))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(steps, (x >> np.uint64(11)).astype(float) / float(1 << 53), side="right")
+
+
+def bootstrap_interval(theta: DataFrame, resamples: int = 2000, low: float = 0.025, high: float = 0.975, seed: int = 42) -> DataFrame:
+    """(topic, low, high): quantiles of the mean weight over resamples of documents (``poisson_copies``). A task sums its
+    documents for all resamples at once and brings a row for each resample and topic, however many documents it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            topics, w = b.column(1).to_numpy(), b.column(2).to_numpy()
+            ids, place = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            for k in range(0, len(ids), 256):
+                copies = poisson_copies(ids[k : k + 256], resamples, seed)
+                for t in np.unique(topics).tolist():
+                    own = (topics == t) & (place >= k) & (place < k + 256)
+                    part = sums.setdefault(t, np.zeros((2, resamples)))
+                    each = copies[:, place[own] - k]
+                    part += np.stack([each @ w[own], each.sum(axis=1)])
+        for t, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([t] * resamples, pa.int32()), pa.array(np.arange(resamples), pa.int32()), pa.array(part[0]), pa.array(part[1])], ["topic", "r", "w", "n"])
+
+    rows = theta.select(F.xxhash64("doc_id").alias("id"), F.col("topic").cast("int").alias("topic"), F.col("w").cast("double").alias("w"))
+    means = rows.mapInArrow(run, "topic int, r int, w double, n double").groupBy("topic", "r").agg((F.sum("w") / F.sum("n")).alias("m"))
     return means.groupBy("topic").agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
 
 
@@ -194,20 +222,52 @@ def best_match(overlap: DataFrame) -> DataFrame:
 
 
 def matched(cost: np.ndarray) -> list[int]:
-    """The assignment of rows to columns of least total cost, by dynamic programming over sets of columns; for a dozen
-    or so topics, on the driver."""
-    n = len(cost)
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    """The assignment of rows to columns of least total cost (rows at most as many as columns), on the driver: rows are
+    placed one by one along the cheapest path of swaps, kept cheap by prices of rows and columns."""
+    n, m = cost.shape
+    row_price, col_price = np.zeros(n), np.zeros(m)
+    holder = np.full(m, -1)
     for row in range(n):
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (total, chosen) in best.items():
-            for col in range(n):
-                if not used >> col & 1:
-                    now = (total + float(cost[row, col]), [*chosen, col])
-                    if used | 1 << col not in step or now < step[used | 1 << col]:
-                        step[used | 1 << col] = now
-        best = step
-    return best[(1 << n) - 1][1] if n else []
+        least, before = np.full(m, np.inf), np.full(m, -1)
+        done = np.zeros(m, bool)
+        at, reached, col = row, 0.0, -1
+        while True:
+            through = reached + cost[at] - row_price[at] - col_price
+            better = ~done & (through < least)
+            least[better], before[better] = through[better], col
+            open_least = np.where(done, np.inf, least)
+            col = int(open_least.argmin())
+            reached = float(open_least[col])
+            done[col] = True
+            if holder[col] < 0:
+                break
+            at = int(holder[col])
+        passed = done & (least < reached)
+        row_price[row] += reached
+        for c in np.flatnonzero(passed):
+            row_price[holder[c]] += reached - least[c]
+            col_price[c] -= reached - least[c]
+        while col >= 0:
+            last = int(before[col])
+            holder[col] = holder[last] if last >= 0 else row
+            col = last
+    out = [0] * n
+    for c, r in enumerate(holder.tolist()):
+        if r >= 0:
+            out[r] = c
+    return out
+
+
+def adjusted_rand_of(cells: Mapping[tuple, int]) -> float:
+    """The adjusted Rand index from counts of pairs of labels; 1 where it has no value, as all labellings agree then."""
+    two = lambda n: n * (n - 1) / 2
+    sums: tuple[dict, dict] = ({}, {})
+    for labels, n in cells.items():
+        for side, label in zip(sums, labels, strict=True):
+            side[label] = side.get(label, 0) + n
+    a, b, c, all_ = (sum(map(two, sums[0].values())), sum(map(two, sums[1].values())), sum(map(two, cells.values())), two(sum(cells.values())))
+    due = a * b / all_ if all_ else 0.0
+    return 1.0 if (a + b) / 2 == due else (c - due) / ((a + b) / 2 - due)
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
@@ -261,21 +321,39 @@ def final_candidates(k: int, tested: Sequence[int], always: Sequence[int] = (7,
 
 def grouped_folds(groups: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     """(group, fold): every group in one fold, folds of near-equal size, by a seeded hash."""
-    w = Window.orderBy(F.md5(F.concat_ws("|", F.col("group").cast("string"), F.lit(str(seed)))), "group")
-    return groups.select("group").distinct().withColumn("fold", F.ntile(folds).over(w) - 1)
+    keyed = groups.select("group").distinct().withColumn("__h", F.md5(F.concat_ws("|", F.col("group").cast("string"), F.lit(str(seed)))))
+    placed = numbered(keyed, ["__h", "group"], "__place", 0)
+    n = placed.agg(F.count("*").alias("__n"))  # one row
+    small, large = F.floor(F.col("__n") / folds), F.col("__n") % folds  # the first folds hold one group more
+    fold = F.when(F.col("__place") < large * (small + 1), F.floor(F.col("__place") / (small + 1)))
+    fold = fold.otherwise(large + F.floor((F.col("__place") - large * (small + 1)) / F.greatest(small, F.lit(1))))
+    return placed.join(F.broadcast(n), F.lit(True)).select("group", fold.cast("int").alias("fold"))
 
 
 def thinned(counts: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Counts split in two halves that add up to them: each occurrence goes by a bit of a hash."""
-    bits = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.pmod(F.xxhash64(F.lit(seed), i, *keys), F.lit(2)).cast("int"))
-    seen = F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    mark = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), *[F.col(k).cast("string") for k in keys]))
+    seen = F.size(F.filter(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: mark(i) < "8"))
     return counts.withColumn("observed", seen).withColumn("target", F.col("n") - F.col("observed"))
 
 
-def completion_score(target: DataFrame, theta: DataFrame, phi: DataFrame) -> DataFrame:
-    """(doc_id, loglik, tokens): the held-back counts' (doc_id, term, n) log likelihood under theta and phi."""
+def require_halves(halves: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``halves`` (``thinned``), or an error that names some groups of which a half is empty."""
+    bad = halves.groupBy(*by).agg(F.sum("observed").alias("o"), F.sum("target").alias("t")).filter("o = 0 OR t = 0").limit(5).collect()
+    if bad:
+        raise IntegrityError(f"a completion half is empty: {[tuple(r)[: len(by)] for r in bad]}")
+    return halves
+
+
+def completion_score(target: DataFrame, theta: DataFrame, phi: DataFrame, unigram: DataFrame | None = None) -> DataFrame:
+    """(doc_id, loglik, tokens): the held-back counts' (doc_id, term, n) log likelihood under theta and phi. With ``unigram``
+    (term, p) also that under it, ``unigram``."""
     mix = target.join(theta, "doc_id").join(phi, ["topic", "term"]).groupBy("doc_id", "term", "n").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
-    return mix.groupBy("doc_id").agg(F.sum(F.col("n") * F.log("p")).alias("loglik"), F.sum("n").alias("tokens"))
+    out = [F.sum(F.col("n") * F.log(F.greatest("p", F.lit(1e-300)))).alias("loglik"), F.sum("n").alias("tokens")]
+    if unigram is not None:
+        mix = mix.join(unigram.select("term", F.col("p").alias("__u")), "term")
+        out.append(F.sum(F.col("n") * F.log("__u")).alias("unigram"))
+    return mix.groupBy("doc_id").agg(*out)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
@@ -283,6 +361,16 @@ def perplexity(scores: DataFrame) -> DataFrame:
     return scores.agg(F.exp(-F.avg(F.col("loglik") / F.col("tokens"))).alias("perplexity"))
 
 
+def completion_summary(scores: DataFrame) -> DataFrame:
+    """One row from ``completion_score`` with a unigram: macro and micro log likelihood per token, their total, the
+    perplexity, and the mean gain per token over the unigram."""
+    per = F.col("loglik") / F.col("tokens")
+    return scores.agg(
+        F.avg(per).alias("macro"), F.exp(-F.avg(per)).alias("perplexity"), F.sum("loglik").alias("total"),
+        (F.sum("loglik") / F.sum("tokens")).alias("micro"), F.avg(per - F.col("unigram") / F.col("tokens")).alias("gain"),
+    )
+
+
 # --- sensitivity ------------------------------------------------------------------------------
 
 

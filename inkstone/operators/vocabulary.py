@@ -1,42 +1,51 @@
 """Units, vocabulary, phrases and keyword networks over token rows.
 
-Token rows are (doc_id, pos, token). Counts are aggregated with map-side combine
+Token rows are (doc_id, n, pos, token, next); a caller that uses them more than
+once writes them first (``storage.written``). Counts are aggregated with map-side combine
 before any shuffle of raw tokens; vocabularies are as long as their caps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import measures as M
 from inkstone.functions import text as T
+from inkstone.storage import checkpointed
 
 
-def token_rows(docs: DataFrame, stop: Sequence[str] = (), collapse: bool = True) -> DataFrame:
+def token_rows(docs: DataFrame, stop: Sequence[str] = (), collapse: bool = True, lemma: Callable[[Column], Column] | None = None, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, n, pos, token, next): a document's tokens, n in number, each with the one after it (null at the end)."""
     # the tokens as a column of their own, as the collapse refers to them for each element
-    rows = docs.select("doc_id", T.tokens(F.col("text"), stop).alias("__w"))
-    return rows.select("doc_id", F.posexplode(T.without_repeats(F.col("__w")) if collapse else F.col("__w")).alias("pos", "token"))
+    rows = docs.select("doc_id", T.tokens(F.col("text"), stop, aliases=aliases, lemma=lemma).alias("__w"))
+    rows = rows.select("doc_id", (T.without_repeats(F.col("__w")) if collapse else F.col("__w")).alias("__w"))
+    after = F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))).alias("next")
+    rows = rows.select("doc_id", F.size("__w").alias("n"), F.posexplode(F.arrays_zip(F.col("__w").alias("token"), after)).alias("pos", "x"))
+    return rows.select("doc_id", "n", "pos", "x.token", "x.next")
+
+
+def per_document(tokens: DataFrame) -> DataFrame:
+    """(doc_id, term, n, size): a document's occurrences of each term, and its tokens."""
+    return tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"), F.max("n").alias("size"))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
     """(term, tf, df, share): occurrences, documents, and the share of all occurrences."""
-    per_doc = tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"))
-    terms = per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    total = terms.agg(F.sum("tf")).first()[0] or 1
-    return terms.withColumn("share", F.col("tf") / F.lit(total))
+    terms = checkpointed(per_document(tokens).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")))
+    return terms.join(F.broadcast(terms.agg(F.sum("tf").alias("__all"))), F.lit(True)).select("term", "tf", "df", (F.col("tf") / F.col("__all")).alias("share"))  # one row
 
 
 def normalized_frequency(tokens: DataFrame, documents: int) -> DataFrame:
     """(term, total, df, per_10k, mean_per_10k): the corpus rate, and the mean of the documents' rates, those without
     the term included."""
-    counts = tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"))
-    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("size"))
-    rates = counts.join(sizes, "doc_id").groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"), F.sum(F.col("n") / F.col("size")).alias("rates"))
-    whole = sizes.agg(F.sum("size")).first()[0] or 1
-    return rates.select("term", "total", "df", (F.col("total") * 10000 / F.lit(whole)).alias("per_10k"), (F.col("rates") * 10000 / F.lit(documents)).alias("mean_per_10k"))
+    rates = per_document(tokens).groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"), F.sum(F.col("n") / F.col("size")).alias("rates"))
+    rates = checkpointed(rates)
+    whole = F.broadcast(rates.agg(F.sum("total").alias("__all")))  # one row
+    rows = rates.join(whole, F.lit(True))
+    return rows.select("term", "total", "df", (F.col("total") * 10000 / F.col("__all")).alias("per_10k"), (F.col("rates") * 10000 / F.lit(documents)).alias("mean_per_10k"))
 
 
 def vocabulary(tokens: DataFrame, documents: int, min_df: int = 2, max_df: float = 1.0, keep: int = 10_000) -> DataFrame:
@@ -46,17 +55,23 @@ def vocabulary(tokens: DataFrame, documents: int, min_df: int = 2, max_df: float
     return top.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).select("term", "term_id", "tf", "df")
 
 
+def _lookup(vocab: DataFrame, keep: int = 100_000) -> DataFrame:
+    """``vocab`` for a join with tokens: broadcast if it has at most ``keep`` terms."""
+    return F.broadcast(vocab) if vocab.limit(keep + 1).count() <= keep else vocab
+
+
 def coverage(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Each document's tokens, those in the vocabulary, and the fraction outside."""
-    known = tokens.join(F.broadcast(vocab.select(F.col("term").alias("token"), F.lit(1).alias("known"))), "token", "left")
-    n, k = F.count("*"), F.count("known")
+    counts = per_document(tokens)
+    known = counts.join(_lookup(vocab.select("term", F.lit(True).alias("known"))), "term", "left")
+    n, k = F.sum("n"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))
     return known.groupBy("doc_id").agg(n.alias("tokens"), k.alias("known"), (1 - k / F.greatest(n, F.lit(1))).alias("oov"))
 
 
 def bag_of_words(units: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, unit, term_id, n) from unit rows with tokens (doc_id, unit, token)."""
-    rows = units.join(F.broadcast(vocab.select(F.col("term").alias("token"), "term_id")), "token")
-    return rows.groupBy("doc_id", "unit", "term_id").agg(F.count("*").alias("n"))
+    counts = units.groupBy("doc_id", "unit", F.col("token").alias("term")).agg(F.count("*").alias("n"))
+    return counts.join(_lookup(vocab.select("term", "term_id")), "term").select("doc_id", "unit", "term_id", "n")
 
 
 # --- units --------------------------------------------------------------------------------
@@ -71,8 +86,7 @@ def unit_of(pos: Column, n: Column, size: int, min_tail: int) -> Column:
 
 def units(tokens: DataFrame, size: int = 400, min_tail: int = 100) -> DataFrame:
     """Token rows with their unit."""
-    n = tokens.groupBy("doc_id").agg(F.count("*").alias("__n"))
-    return tokens.join(n, "doc_id").withColumn("unit", unit_of(F.col("pos"), F.col("__n"), size, min_tail)).drop("__n")
+    return tokens.withColumn("unit", unit_of(F.col("pos"), F.col("n"), size, min_tail))
 
 
 def unit_manifest(with_units: DataFrame) -> DataFrame:
@@ -107,13 +121,11 @@ def hash_sample(rows: DataFrame, key: str, unit: Sequence[str], cap: int, seed:
 
 def phrase_scores(tokens: DataFrame, min_count: int = 10, threshold: float = 10.0) -> DataFrame:
     """(a, b, n, score) of neighbouring tokens that form phrases: (n - min_count) * terms / (n_a * n_b)."""
-    after = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.select("doc_id", "pos", F.col("token").alias("a"), F.lead("token").over(after).alias("b")).filter("b IS NOT NULL")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    terms = tokens.groupBy("token").agg(F.count("*").alias("c"))
-    size = terms.count()
+    pairs = tokens.filter("next IS NOT NULL").groupBy(F.col("token").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    terms = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("c")))
     rows = pairs.join(terms.select(F.col("token").alias("a"), F.col("c").alias("n_a")), "a").join(terms.select(F.col("token").alias("b"), F.col("c").alias("n_b")), "b")
-    score = (F.col("n") - min_count) * F.lit(size) / (F.col("n_a") * F.col("n_b"))
+    rows = rows.join(F.broadcast(terms.agg(F.count("*").alias("__terms"))), F.lit(True))  # one row
+    score = (F.col("n") - min_count) * F.col("__terms") / (F.col("n_a") * F.col("n_b"))
     return rows.select("a", "b", "n", score.alias("score")).filter(F.col("score") > threshold)
 
 
@@ -123,7 +135,7 @@ def merge_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     In a maximal run of neighbouring phrase pairs the greedy choice is every second one, which a row number finds
     without a fold."""
     order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = tokens.withColumn("b", F.lead("token").over(order))
+    rows = tokens.select("doc_id", "pos", "token", F.col("next").alias("b"))
     known = phrases.select(F.col("a").alias("token"), "b", F.lit(True).alias("hit"))
     rows = rows.join(known, ["token", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -131,7 +143,18 @@ def merge_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", F.col("hit") & (F.row_number().over(within) % 2 == 1))
     rows = rows.withColumn("second", F.coalesce(F.lag("first").over(order), F.lit(False))).filter(~F.col("second"))
     merged = F.when(F.col("first"), F.concat_ws("_", "token", "b")).otherwise(F.col("token"))
-    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), merged.alias("token"))
+    rows = rows.select("doc_id", "pos", merged.alias("token"))
+    whole = Window.partitionBy("doc_id")
+    return rows.select("doc_id", F.count("*").over(whole).cast("int").alias("n"), (F.row_number().over(order) - 1).alias("pos"), "token", F.lead("token").over(order).alias("next"))
+
+
+def restopped(tokens: DataFrame, stop: Sequence[str] = (), normal: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Token rows made normal once more after a merge: stop words and repeats of the token before go."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    rows = tokens.select("doc_id", "pos", (normal(F.col("token")) if normal is not None else F.col("token")).alias("token"))
+    rows = rows.filter(~F.col("token").isin(*stop)) if stop else rows
+    rows = rows.withColumn("before", F.lag("token").over(order)).filter("before IS NULL OR before <> token")
+    return rows.select("doc_id", F.count("*").over(Window.partitionBy("doc_id")).cast("int").alias("n"), (F.row_number().over(order) - 1).alias("pos"), "token", F.lead("token").over(order).alias("next"))
 
 
 # --- co-occurrence ------------------------------------------------------------------------

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import text as T
 from inkstone.operators import evidence as E
+from inkstone.storage import checkpointed, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,16 +82,30 @@ theta AS (
          abs(CAST(embedding[t.topic + 1] AS DOUBLE)) / list_sum(list_transform(embedding[1:{TOPICS}], lambda x: abs(CAST(x AS DOUBLE)))) AS w
   FROM embeddings, (SELECT unnest(range({TOPICS})) AS topic) t)"""
 
-#: Tokens as the tokenizer makes them, with equal neighbours collapsed; token_pos counts from 0.
-RAW_TOKENS = r"""
+_LEMMA = """CASE WHEN contains(w, '_') OR length(w) <= 3 OR ends_with(w, 'ss') OR ends_with(w, 'us') OR ends_with(w, 'is') THEN w
+    WHEN ends_with(w, 'ies') AND substr(w, length(w) - 3, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN substr(w, 1, length(w) - 3) || 'y'
+    WHEN ends_with(w, 'ches') OR ends_with(w, 'shes') OR ends_with(w, 'xes') OR ends_with(w, 'zes') OR ends_with(w, 'sses') THEN substr(w, 1, length(w) - 2)
+    WHEN ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END"""
+
+
+def raw_tokens(stop: bool = True, lemma: bool = True) -> str:
+    """Tokens as the tokenizer makes them, before equal neighbours are collapsed."""
+    in_stop = "w NOT IN ('the', 'and', 'that')"
+    found = f"list_filter(regexp_extract_all(t, '[a-z][a-z0-9_]*'), lambda w: length(w) BETWEEN 3 AND 35{f' AND {in_stop}' if stop else ''})"
+    if lemma:
+        found = f"list_transform({found}, lambda w: {_LEMMA})"
+        found = f"list_filter({found}, lambda w: {in_stop})" if stop else found
+    return rf"""
 cleaned AS (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text),
-    'https?://\S+|www\.\S+|\S+@\S+\.\S+|doi:\S+|10\.\d{4,9}/\S+', ' ', 'g'), '[‐-―-]', ' ', 'g'), '[^a-z0-9_\s.]', ' ', 'g') AS t
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
+    'https?://\S+|www\.\S+|\b\S+@\S+\b', ' ', 'g'), '10\.\d{{4,9}}/\S+', ' ', 'g'), '[‐-―-]', ' ', 'g'), '[^a-z0-9_\s.]', ' ', 'g') AS t
   FROM documents),
-found AS (
-  SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[a-z0-9_]+'), lambda w: regexp_extract(w, '^[a-z][a-z0-9_]*')),
-    lambda w: length(w) BETWEEN 3 AND 35 AND w NOT IN ('the', 'and', 'that')) AS w FROM cleaned),
+found AS (SELECT doc_id, {found} AS w FROM cleaned),
 raw_token AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM found)"""
+
+
+RAW_TOKENS = raw_tokens()
+#: The tokens with equal neighbours collapsed; pos counts from 0.
 TOKENS = (
     RAW_TOKENS
     + """,
@@ -100,6 +116,14 @@ token AS (
 )
 
 
+def token_rows(spark: SparkSession, sf_dir: str, reused: bool = True) -> DataFrame:
+    """The documents' tokens; ``reused``: written once, for plans that read them several times."""
+    from inkstone.operators import vocabulary as V
+
+    rows = V.token_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), STOP, lemma=T.noun_lemma())
+    return written(rows, "tokens") if reused else rows
+
+
 def sql_count(term: str, low: str = "low") -> str:
     """Whole-word occurrences of a term in a text whose separators are doubled."""
     words = "[ ]{2}".join(term.split(" "))
@@ -115,16 +139,16 @@ def sql_category(c: str, low: str = "low") -> str:
 
 
 def phi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surrogate topics: sources, as the number in their name, with the words found in two documents or more."""
+    """Surrogate topics: sources, as the number in their name, with the words found in two documents or more. The tokens
+    are made and counted once: a document has one source, so a term's documents are the sum over sources."""
     from inkstone.operators import topics as P
     from inkstone.operators import vocabulary as V
 
-    docs = table(spark, sf_dir, "documents")
-    words = V.token_rows(docs, STOP)
-    keep = words.groupBy("token").agg(F.countDistinct("doc_id").alias("df")).filter("df >= 2").select("token")
     topic = F.regexp_extract("source", r"(\d+)", 1).cast("int")
-    counts = words.join(keep, "token").join(docs.select("doc_id", topic.alias("topic")), "doc_id")
-    return P.normalized_phi(counts.groupBy("topic", F.col("token").alias("term")).agg(F.count("*").alias("n")))
+    words = V.per_document(token_rows(spark, sf_dir, False)).join(table(spark, sf_dir, "documents").select("doc_id", topic.alias("topic")), "doc_id")
+    counts = words.groupBy("topic", "term").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    wide = counts.withColumn("df", F.sum("d").over(Window.partitionBy("term"))).filter("df >= 2")
+    return checkpointed(P.normalized_phi(wide.select("topic", "term", "n")))
 
 
 PHI = (

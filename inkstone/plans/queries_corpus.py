@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
@@ -10,8 +10,9 @@ from inkstone.operators import evidence as E
 from inkstone.operators import pages as G
 from inkstone.operators import relational as R
 from inkstone.operators import vocabulary as V
+from inkstone.storage import written
 from inkstone.plans.catalog import (
-    DIMENSIONS, GROUPS, LEXICON, RAW_TOKENS, RULES, STOP, TOKENS, doubled, query, r6, sql_category, sql_count, table,
+    DIMENSIONS, GROUPS, LEXICON, RAW_TOKENS, RULES, STOP, TOKENS, doubled, query, r6, raw_tokens, sql_category, sql_count, table, token_rows,
 )
 
 # --- evidence -------------------------------------------------------------------------------
@@ -157,14 +158,30 @@ def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RAW_TOKENS}, kept AS (SELECT doc_id, list(token ORDER BY k) AS w FROM raw_token GROUP BY doc_id)
 SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS distinct_n, md5(array_to_string(w, ' ')) AS digest FROM kept""")
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), STOP).alias("w")).filter(F.size("w") > 0)
+    """Lemmas, stop words gone before and after."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), STOP, lemma=T.noun_lemma()).alias("w")).filter(F.size("w") > 0)
     return rows.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("distinct_n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query()
+_FIRST_SQL = "regexp_replace(lower(text), '[^\\x00-\\x7f]', ' ', 'g')"
+for _pattern, _to in (
+    (r"\bof\s+the\b", " of_the "), (r"https?://\S+|www\.\S+", " "), (r"\bdoi\s*:\s*\S+", " "), (r"\b[a-z]\s*/\s?[a-z]\b", " "),
+    (r"\b\d+(?:\.\d+)?\b", " "), (r"[^a-z_\s''-]", " "),
+):
+    _FIRST_SQL = f"regexp_replace({_FIRST_SQL}, '{_pattern}', '{_to}', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all({_FIRST_SQL}, '[a-z][a-z_''-]{{2,}}'), lambda w: trim(w, '_''-')) AS w FROM documents),
+n AS (SELECT doc_id, list_transform(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'that')), lambda x: trim(replace(x, '-', '_'), '_''')) AS w FROM t),
+e AS (SELECT doc_id, list_transform(w, lambda x: CASE x WHEN 'was' THEN 'be' WHEN 'les' THEN 'article' ELSE x END) AS w FROM n),
+k AS (SELECT doc_id, list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'that')) AS w FROM e)
+SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM k""")
 def tokenized_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.lemma_map(T.tokens_with_aliases(F.col("text"), [("of the", "of_the")], STOP), {"was": "be"}).alias("w"))
-    return rows.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+    """The first-generation tokenizer with a repair and two entries; what isn't ASCII is a blank first, as word edges of
+    the two engines differ beyond it."""
+    ascii_only = F.regexp_replace(F.lower("text"), r"[^\x00-\x7f]", " ")
+    words = T.tokens_with_aliases(ascii_only, [(r"\bof\s+the\b", " of_the ")], {"was": "be", "les": "article"}, STOP)
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @query()
@@ -172,17 +189,53 @@ def wrapped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.wrapped(T.preview(F.col("text")), 40), "\n").alias("lines"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(replace(text, chr(173), ''), '-\n', '-' || chr(10), 'g') AS text FROM documents WHERE NOT regexp_matches(text, '-\n')""")
+#: Texts with words broken over line ends and soft hyphens, of which the tables have few.
+_BROKEN = r"regexp_replace(text, '([A-Za-z]{4})([a-z]{4})', '\1-' || chr(10) || '\2' || chr(173), 'g')"
+_JOINED = r"regexp_replace(replace(%s, chr(173), ''), '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g')"
+
+
+@query(f"SELECT doc_id, {_JOINED % 'text'} AS text, md5({_JOINED % _BROKEN}) AS mended FROM documents")
 def joined_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("-\n")).select("doc_id", T.join_hyphens(F.col("text")).alias("text"))
+    broken = F.regexp_replace("text", "([A-Za-z]{4})([a-z]{4})", "$1-\n$2­")
+    return table(spark, sf_dir, "documents").select("doc_id", T.join_hyphens(F.col("text")).alias("text"), F.md5(T.join_hyphens(broken)).alias("mended"))
 
 
-@query(r"""SELECT doc_id, md5(replace(regexp_replace(regexp_replace(lower(text), '(^|[^a-z0-9_])(of the)([^a-z0-9_]|$)', '\1OF_THE\3', 'g'), '(^|[^a-z0-9_])(in the)([^a-z0-9_]|$)', '\1IN_THE\3', 'g'), '#', '#')) AS digest FROM documents WHERE NOT regexp_matches(lower(text), '(of|in) the (of|in) the')""")
+@query(f"SELECT doc_id, md5({_JOINED % 'text'} || 'fi A 1' || chr(8260) || '2') AS digest FROM documents")
+def unicode_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compatibility composition, on texts with a ligature, a wide letter and a fraction put to their end."""
+    text = F.concat("text", F.lit("ﬁ Ａ ½"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_unicode(text)).alias("digest"))
+
+
+_MARKED = r"chr(1) || regexp_replace(lower(text), '([^a-z0-9_])', chr(1) || '\1' || chr(1), 'g') || chr(1)"
+_ALIAS = "replace(%s, chr(1) || '%s' || chr(1) || ' ' || chr(1) || 'the' || chr(1), chr(1) || '%s' || chr(1))"
+
+
+@query(f"SELECT doc_id, md5(replace({_ALIAS % (_ALIAS % (_MARKED, 'of', 'OF_THE'), 'in', 'IN_THE')}, chr(1), '')) AS digest FROM documents")
 def alias_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter(~F.lower("text").rlike("(of|in) the (of|in) the"))
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.md5(R.replace_aliases(F.lower("text"), {"of the": "OF_THE", "in the": "IN_THE"})).alias("digest"))
 
 
+#: Rules and maps for shown terms, each with something in the tables to act on.
+_SHOWN = T.DisplayRules(fragments=["zz"], exact=["license"], noise=["page"], stop=["with", "from"], known=["les"], hidden_single=["token"], canonical={"der": "Der", "license": "licence"})
+_FAMILIES = {"und": "and", "der": "article", "les": "article"}
+
+
+@query(f"""WITH {TOKENS}, term AS (SELECT DISTINCT token AS term, trim(replace(token, '_', ' ')) AS raw FROM token),
+shown AS (SELECT term, raw, CASE raw WHEN 'der' THEN 'Der' WHEN 'license' THEN 'licence' ELSE raw END AS shown FROM term),
+keyed AS (SELECT *, lower(shown) AS key FROM shown)
+SELECT term, shown, CASE key WHEN 'und' THEN 'and' WHEN 'der' THEN 'article' WHEN 'les' THEN 'article' ELSE key END AS family,
+  NOT (key = '' OR contains(raw, 'zz') OR contains(key, 'zz') OR key = 'license' OR raw = 'license' OR list_contains(string_split(key, ' '), 'page') OR list_contains(string_split(raw, ' '), 'page')
+    OR term IN ('with', 'from') OR key IN ('with', 'from') OR len(list_filter(string_split(key, ' '), lambda x: x NOT IN ('with', 'from'))) = 0
+    OR (length(key) <= 3 AND key <> 'les') OR (NOT contains(key, ' ') AND key = 'token')) AS displayable
+FROM keyed""")
+def displayed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = token_rows(spark, sf_dir, False).select(F.col("token").alias("term")).distinct()
+    t = F.col("term")
+    return terms.select("term", T.readable_term(t, _SHOWN.canonical).alias("shown"), T.family_key(t, _SHOWN.canonical, _FAMILIES).alias("family"), T.displayable(t, _SHOWN).alias("displayable"))
+
+
 # --- pages ----------------------------------------------------------------------------------
 
 PAGES = """
@@ -255,7 +308,7 @@ def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.long_documents(G.as_pages(table(spark, sf_dir, "documents")))
 
 
-@query(f"""WITH {RAW_TOKENS.replace(" AND w NOT IN ('the', 'and', 'that')", '')}
+@query(f"""WITH {raw_tokens(False, False)}
 SELECT d.doc_id, count(t.token) AS n_tokens, CASE WHEN count(t.token) < 100 THEN 'error' ELSE 'ok' END AS status FROM documents d LEFT JOIN raw_token t ON t.doc_id = d.doc_id GROUP BY d.doc_id""")
 def token_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.token_gate(table(spark, sf_dir, "documents"))
@@ -266,7 +319,7 @@ def token_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT token AS term, count(*) AS tf, count(DISTINCT doc_id) AS df, round(count(*) / (SELECT count(*) FROM token), 6) AS share FROM token GROUP BY token")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.term_frequency(V.token_rows(table(spark, sf_dir, "documents"), STOP)).withColumn("share", r6(F.col("share")))
+    return V.term_frequency(token_rows(spark, sf_dir, False)).withColumn("share", r6(F.col("share")))
 
 
 _RATES = """
@@ -280,8 +333,7 @@ rate AS (
 
 @query(f"WITH {TOKENS}, {_RATES} SELECT term, total, df, round(per_10k, 6) AS per_10k, round(mean_per_10k, 6) AS mean_per_10k FROM rate")
 def normalized_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = V.normalized_frequency(V.token_rows(docs, STOP), docs.count())
+    rows = V.normalized_frequency(token_rows(spark, sf_dir, False), table(spark, sf_dir, "documents").count())
     return rows.withColumns({c: r6(F.col(c)) for c in ("per_10k", "mean_per_10k")})
 
 
@@ -292,9 +344,8 @@ vocab AS (
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    tokens = V.token_rows(docs, STOP)
-    return tokens, V.vocabulary(tokens, docs.count(), 2, 0.5, 500)
+    tokens = token_rows(spark, sf_dir)
+    return tokens, V.vocabulary(tokens, table(spark, sf_dir, "documents").count(), 2, 0.5, 500)
 
 
 @query(f"WITH {TOKENS}, {_VOCAB} SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, tf, df FROM vocab")
@@ -315,8 +366,7 @@ unit AS (SELECT doc_id, pos, token, CAST(least(raw, last - CASE WHEN last > 0 AN
 
 @query(f"WITH {TOKENS}, {_UNITS} SELECT doc_id, unit, min(pos) AS start_token, max(pos) + 1 AS end_token, count(*) AS tokens FROM unit GROUP BY ALL")
 def unit_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.token_rows(table(spark, sf_dir, "documents"), STOP)
-    return V.unit_manifest(V.units(rows, 100, 30))
+    return V.unit_manifest(V.units(token_rows(spark, sf_dir, False), 100, 30))
 
 
 @query(f"""WITH {TOKENS}, {_UNITS}, {_VOCAB}, v AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id FROM vocab)
@@ -326,7 +376,7 @@ def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bag_of_words(V.units(tokens, 100, 30), vocab)
 
 
-@query(f"""WITH {RAW_TOKENS.replace(" AND w NOT IN ('the', 'and', 'that')", '')},
+@query(f"""WITH {raw_tokens(False, False)},
 w AS (SELECT doc_id, w FROM found WHERE len(w) > 0),
 s AS (SELECT doc_id, w, unnest(range(0, len(w), 80)) AS start FROM w)
 SELECT doc_id, CAST(start // 80 AS INT) AS unit, len(w[start + 1:start + 90]) AS tokens, md5(array_to_string(w[start + 1:start + 90], ' ')) AS digest FROM s WHERE len(w[start + 1:start + 90]) >= 15""")
@@ -357,14 +407,31 @@ phrase AS (
 
 @query(f"WITH {TOKENS}, {_PHRASES} SELECT a, b, n, round(score, 6) AS score FROM phrase WHERE score > 2")
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.token_rows(table(spark, sf_dir, "documents"), STOP)
-    return V.phrase_scores(rows, 5, 2.0).withColumn("score", r6(F.col("score")))
-
-
-@query()
+    return V.phrase_scores(token_rows(spark, sf_dir), 5, 2.0).withColumn("score", r6(F.col("score")))
+
+
+def _phrases(n: int, rows: str) -> str:
+    """The phrases among the tokens of a table, numbered; and that table with them merged."""
+    return f"""
+pair{n} AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM {rows}),
+counted_pair{n} AS (SELECT a, b, count(*) AS n FROM pair{n} WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+single{n} AS (SELECT token, count(*) AS c FROM {rows} GROUP BY token),
+phrase{n} AS (
+  SELECT p.a, p.b, p.n, (p.n - 5) * (SELECT count(*) FROM single{n}) / (x.c * y.c) AS score
+  FROM counted_pair{n} p JOIN single{n} x ON x.token = p.a JOIN single{n} y ON y.token = p.b),
+beside{n} AS (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM {rows}),
+hit{n} AS (SELECT s.*, p.a IS NOT NULL AS hit FROM beside{n} s LEFT JOIN phrase{n} p ON p.a = s.token AND p.b = s.b AND p.score > 2),
+run{n} AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM hit{n}),
+first{n} AS (SELECT *, hit AND row_number() OVER (PARTITION BY doc_id, hit, run ORDER BY pos) % 2 = 1 AS opens FROM run{n}),
+second{n} AS (SELECT *, coalesce(lag(opens) OVER (PARTITION BY doc_id ORDER BY pos), false) AS closes FROM first{n}),
+merged{n} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, CASE WHEN opens THEN token || '_' || b ELSE token END AS token FROM second{n} WHERE NOT closes)"""
+
+
+@query(f"WITH {TOKENS}, {_phrases(1, 'token')}, {_phrases(2, 'merged1')} SELECT token, count(*) AS n FROM merged2 WHERE contains(token, '_') GROUP BY token")
 def merged_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.token_rows(table(spark, sf_dir, "documents"), STOP)
-    bigrams = V.merge_phrases(rows, V.phrase_scores(rows, 5, 2.0))
+    """Two passes: pairs, then triples and fours."""
+    rows = token_rows(spark, sf_dir)
+    bigrams = written(V.merge_phrases(rows, V.phrase_scores(rows, 5, 2.0)), "bigrams")
     merged = V.merge_phrases(bigrams, V.phrase_scores(bigrams, 5, 2.0))
     return merged.filter(F.col("token").contains("_")).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -380,8 +447,7 @@ rated AS (SELECT *, CASE WHEN joint > 0 AND joint < n THEN ln((joint / n) / ((da
 SELECT source, target, joint, round(jaccard, 6) AS jaccard, round(npmi, 6) AS npmi FROM rated WHERE joint >= 3 AND jaccard >= 0.05 AND npmi >= 0.05
 ORDER BY jaccard DESC, joint DESC, source, target LIMIT 150""")
 def keyword_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = V.keyword_network(V.token_rows(docs, STOP), docs.count())
+    rows = V.keyword_network(token_rows(spark, sf_dir), table(spark, sf_dir, "documents").count())
     return rows.withColumns({"jaccard": r6(F.col("jaccard")), "npmi": r6(F.col("npmi"))})
 
 
@@ -390,7 +456,7 @@ top AS (SELECT token FROM token GROUP BY token ORDER BY count(DISTINCT doc_id) D
 has AS (SELECT DISTINCT u.doc_id, u.unit, u.token FROM unit u JOIN top ON top.token = u.token)
 SELECT x.token AS source, y.token AS target, count(*) AS joint FROM has x JOIN has y ON x.doc_id = y.doc_id AND x.unit = y.unit AND x.token < y.token GROUP BY ALL HAVING count(*) >= 2""")
 def unit_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.token_rows(table(spark, sf_dir, "documents"), STOP)
+    rows = token_rows(spark, sf_dir)
     top = V.term_frequency(rows).orderBy(F.desc("df"), "term").limit(30).select("term")
     keyed = V.units(rows, 100, 30).select(F.struct("doc_id", "unit").alias("key"), F.col("token").alias("term"))
     return V.pair_counts(keyed, "key", top).filter("joint >= 2")
@@ -398,8 +464,7 @@ def unit_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def keyword_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    edges = V.keyword_network(V.token_rows(docs, STOP), docs.count()).select("source", "target", "jaccard").collect()  # at most 150 rows
+    edges = V.keyword_network(token_rows(spark, sf_dir), table(spark, sf_dir, "documents").count()).select("source", "target", "jaccard").collect()  # at most 150 rows
     found = V.greedy_communities([tuple(r) for r in edges])
     return spark.createDataFrame(sorted(found.items()), "term string, community int")
 
@@ -435,4 +500,5 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents""")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.withColumn("first_id", F.min("doc_id").over(Window.partitionBy("h"))).drop("h")
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))  # combined before the shuffle, so copies cost a row for each task
+    return docs.join(first, "h").select("doc_id", "first_id")

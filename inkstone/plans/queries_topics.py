@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +13,8 @@ from inkstone.functions import measures as M
 from inkstone.operators import models, topics as P
 from inkstone.operators import relational as R
 from inkstone.operators import vocabulary as V
-from inkstone.plans.catalog import DOC_THETA, PHI, STOP, THETA, document_theta, phi, query, r6, table, theta
+from inkstone.plans.catalog import DOC_THETA, PHI, THETA, TOKENS, document_theta, phi, query, r6, table, theta, token_rows
+from inkstone.storage import checkpointed, written
 
 _TOKEN_WEIGHTED = """
 weighted AS (SELECT doc_id, topic, sum(n * w) / sum(n) AS w FROM theta GROUP BY ALL),
@@ -31,13 +35,15 @@ def theta_equal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {THETA}, {_TOKEN_WEIGHTED},
 best AS (SELECT doc_id, topic FROM doc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, topic) = 1),
 a AS (SELECT topic, avg(w) AS equal_document FROM doc GROUP BY topic),
+chunk AS (SELECT doc_id, topic, avg(w) AS w FROM theta GROUP BY ALL),
+e AS (SELECT topic, avg(w) AS equal_chunk FROM (SELECT topic, w / sum(w) OVER (PARTITION BY doc_id) AS w FROM chunk) GROUP BY topic),
 b AS (SELECT topic, avg(w) AS equal_unit, sum(n * w) / sum(n) AS token_weighted FROM theta GROUP BY topic),
 c AS (SELECT topic, count(*) AS dominant FROM best GROUP BY topic)
-SELECT a.topic, round(equal_document, 6) AS equal_document, round(equal_unit, 6) AS equal_unit, round(token_weighted, 6) AS token_weighted, coalesce(dominant, 0) AS dominant
-FROM a JOIN b ON b.topic = a.topic LEFT JOIN c ON c.topic = a.topic""")
+SELECT a.topic, round(equal_document, 6) AS equal_document, round(equal_chunk, 6) AS equal_chunk, round(equal_unit, 6) AS equal_unit, round(token_weighted, 6) AS token_weighted, coalesce(dominant, 0) AS dominant
+FROM a JOIN b ON b.topic = a.topic JOIN e ON e.topic = a.topic LEFT JOIN c ON c.topic = a.topic""")
 def topic_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.prevalence(theta(spark, sf_dir))
-    return rows.withColumns({c: r6(F.col(c)) for c in ("equal_document", "equal_unit", "token_weighted")})
+    return rows.withColumns({c: r6(F.col(c)) for c in ("equal_document", "equal_chunk", "equal_unit", "token_weighted")})
 
 
 @query(f"WITH {DOC_THETA}, d AS (SELECT doc_id, topic FROM theta QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, topic) = 1) SELECT topic, count(*) AS documents FROM d GROUP BY topic")
@@ -47,7 +53,7 @@ def dominant_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prevalence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.bootstrap_interval(document_theta(spark, sf_dir), 100)
+    return P.bootstrap_interval(document_theta(spark, sf_dir))
 
 
 @query(f"""WITH {DOC_THETA}, s AS (SELECT topic, sum(w) AS s, count(*) AS n FROM theta GROUP BY topic)
@@ -162,12 +168,13 @@ def topic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even against odd sources, matched for least distance."""
     rows = P.topic_distances(phi(spark, sf_dir)).collect()  # topics squared
-    cost = np.ones((10, 10))
-    for r in rows:
-        if r["a"] % 2 != r["b"] % 2:
-            even, odd = sorted((r["a"], r["b"]), key=lambda t: t % 2)
-            cost[even // 2, odd // 2] = r["js"]
-    return spark.createDataFrame([(2 * i, 2 * j + 1, float(cost[i, j])) for i, j in enumerate(P.matched(cost))], "a int, b int, js double")
+    topics = sorted({t for r in rows for t in (r["a"], r["b"])})
+    sides = [[t for t in topics if t % 2 == k] for k in (0, 1)]
+    few, many = sorted(sides, key=len)
+    js = {frozenset((r["a"], r["b"])): r["js"] for r in rows}
+    cost = np.array([[js.get(frozenset((a, b)), 1.0) for b in many] for a in few]).reshape(len(few), len(many))
+    pairs = [(few[i], many[j], float(cost[i, j])) for i, j in enumerate(P.matched(cost))]
+    return spark.createDataFrame([(*sorted((a, b), key=lambda t: t % 2), x) for a, b, x in pairs], "a int, b int, js double")
 
 
 @query()
@@ -237,10 +244,12 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sensitivity_summary(rows, "variant").select("variant", r6(F.col("value_mean")).alias("value_mean"), r6(F.col("value_std")).alias("value_std"))
 
 
-@query()
+_SHIFT = """halves AS (SELECT doc_id, token AS term, count(*) AS n, len(list_filter(range(1, count(*) + 1), lambda i: md5('42|' || i || '|' || doc_id || '|' || token) < '8')) AS observed FROM token GROUP BY doc_id, token)"""
+
+
+@query(f"WITH {TOKENS}, {_SHIFT} SELECT doc_id, sum(n) AS n, sum(observed) AS observed, sum(n - observed) AS target FROM halves GROUP BY doc_id")
 def thinned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.token_rows(table(spark, sf_dir, "documents"), STOP).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    halves = P.thinned(rows, ["doc_id", "token"])
+    halves = P.thinned(V.per_document(token_rows(spark, sf_dir, False)), ["doc_id", "term"])
     return halves.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("observed").alias("observed"), F.sum("target").alias("target"))
 
 
@@ -269,54 +278,98 @@ def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.agreement(rows, ["k"]).withColumn("agree", r6(F.col("agree")))
 
 
-@query("""WITH a AS (SELECT * FROM embeddings WHERE vec_id < 40), d AS (
-  SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS d,
-    list_sum(list_transform(x.embedding, lambda v: CAST(v AS DOUBLE) * v)) AS xx, list_sum(list_transform(y.embedding, lambda v: CAST(v AS DOUBLE) * v)) AS yy FROM a x JOIN a y ON x.label = y.label AND x.vec_id < y.vec_id)
-SELECT a, b, round(d / (sqrt(xx) * sqrt(yy)), 5) AS cosine FROM d""")
+@query("""WITH long AS (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+centre AS (SELECT label, i, avg(v) AS c FROM long GROUP BY ALL),
+d AS (SELECT l.vec_id, sum(l.v * c.c) AS d, sum(l.v * l.v) AS xx, sum(c.c * c.c) AS yy FROM long l JOIN centre c ON c.label = l.label AND c.i = l.i GROUP BY l.vec_id)
+SELECT vec_id, round(d / (sqrt(xx) * sqrt(yy)), 5) AS cosine FROM d""")
 def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one label among a fixture of forty vectors."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 40")
-    x, y = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return x.join(y, "label").filter("a < b").select("a", "b", F.round(M.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+    """Each vector against the mean vector of its label."""
+    e = table(spark, sf_dir, "embeddings")
+    long = e.select("label", F.posexplode("embedding").alias("i", "v"))
+    centre = long.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c"))
+    centre = centre.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
+    return e.join(centre, "label").select("vec_id", F.round(M.cosine(F.col("embedding"), F.col("c")), 5).alias("cosine"))
 
 
 # --- models -------------------------------------------------------------------------------------
 
 
-def _bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    tokens = V.token_rows(docs, STOP)
-    vocab = V.vocabulary(tokens, docs.count(), 5, 0.5, 500)
-    bags = V.bag_of_words(tokens.withColumn("unit", F.lit(0)), vocab)
-    return tokens, vocab, models.vectors(bags, vocab.count()).cache()
+def _units(spark: SparkSession, sf_dir: str, size: int = 400, tail: int = 100) -> tuple[DataFrame, int]:
+    """The corpus as units of ``size`` tokens (None: documents), over the 10,000 most widespread terms of two documents or
+    more; and how many terms there are."""
+    tokens = token_rows(spark, sf_dir)
+    vocab = checkpointed(V.vocabulary(tokens, table(spark, sf_dir, "documents").count(), 2, 1.0, 10_000))
+    with_units = V.units(tokens, size, tail) if size else tokens.withColumn("unit", F.lit(0))
+    return written(models.unit_rows(V.bag_of_words(with_units, vocab)), "units"), vocab.count()
 
 
 @query()
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small fit: every document's weights, which sum to one."""
-    _, _, rows = _bags(spark, sf_dir)
-    model = models.fit(rows, models.TopicSettings(k=5, iterations=3))
-    out = models.infer(model, rows)
-    return out.groupBy("doc_id").agg(F.round(F.sum("w"), 6).alias("mass"), F.count("*").alias("topics"))
+    """Every document's weights of eleven topics, fitted to convergence."""
+    rows, terms = _units(spark, sf_dir)
+    model = models.fit(rows, models.TopicSettings(), terms)
+    return P.token_weighted(models.infer(model, rows))
 
 
 @query()
 def lda_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, rows = _bags(spark, sf_dir)
-    _, trace = models.fit_with_trace(rows, models.TopicSettings(k=4, iterations=4), every=2)
-    return spark.createDataFrame([(t["iteration"], t["perplexity"]) for t in trace], "iteration int, perplexity double")
+    rows, terms = _units(spark, sf_dir)
+    trace = models.fit(rows, models.TopicSettings(), terms).trace
+    return spark.createDataFrame([(t["iteration"], t["perplexity"], t["bound_per_token"]) for t in trace], "iteration int, perplexity double, bound_per_token double")
+
+
+@query()
+def lda_first_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likeliest terms of each topic of the model with an asymmetric prior and a fitted term prior; units of 900
+    tokens would overlap, so documents are the units."""
+    rows, terms = _units(spark, sf_dir, 0)
+    phi_ = models.phi_matrix(models.fit(rows, models.FIRST_GENERATION, terms))
+    top = [(t, int(i), r + 1, float(row[i])) for t, row in enumerate(phi_) for r, i in enumerate(np.argsort(-row, kind="stable")[:10])]
+    return spark.createDataFrame(top, "topic int, term_id int, rank int, p double")
 
 
 @query()
 def lda_seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, rows = _bags(spark, sf_dir)
-    phis = {s: models.phi_matrix(models.fit(rows, models.TopicSettings(k=4, iterations=2, seed=s, asymmetric=s == 3))) for s in (1, 2, 3)}
-    return spark.createDataFrame([tuple(r.values()) for r in models.seed_stability(phis)], "seed_a int, seed_b int, similarity double, jaccard double")
+    """Five seeds, whose models share their passes."""
+    rows, terms = _units(spark, sf_dir)
+    seeds = (11, 42, 97, 2026, 31415)
+    fitted = dict(zip(seeds, models.fit_all(rows, [models.TopicSettings(seed=s) for s in seeds], terms), strict=True))
+    thetas = reduce(DataFrame.union, [P.token_weighted(models.infer(m, rows)).select(F.lit(s).alias("seed"), "doc_id", "topic", "w") for s, m in fitted.items()])
+    pairs, medoid = models.seed_stability({s: models.phi_matrix(m) for s, m in fitted.items()}, thetas)
+    return spark.createDataFrame([(p["seed_a"], p["seed_b"], p["similarity"], p["jaccard"], p["ari"], p["l1"], medoid) for p in pairs], "seed_a int, seed_b int, similarity double, jaccard double, ari double, l1 double, medoid int")
+
+
+def _sensitivity(spark: SparkSession, sf_dir: str) -> tuple[models.TopicModel, list, dict, DataFrame, int]:
+    """The base and its variants, with the updates and seeds of the reference's smoke profile."""
+    s = models.TopicSettings(seed=11, iterations=12, inner=60)
+    rows, terms = _units(spark, sf_dir)
+    base = models.fit(rows, s, terms)
+    theta_ = checkpointed(P.token_weighted(models.infer(base, rows)))
+    whole, small, large = (_units(spark, sf_dir, *size)[0] for size in ((0,), (200, 50), (800, 100)))
+    found = [models.Variant(n, r, r) for n, r in (("whole_document_units", whole), ("chunks_200", small), ("chunks_800", large))]
+    found += [models.Variant("alpha_0_1", rows, rows, {"alpha": 0.1}), models.Variant("eta_0_1", rows, rows, {"eta": 0.1})]
+    runs, phis = models.sensitivity(base, theta_, found, (11, 42), terms)
+    return base, runs, phis, rows, terms
+
+
+@query()
+def lda_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs, _, _, _ = _sensitivity(spark, sf_dir)
+    return spark.createDataFrame([tuple(r.values()) for r in runs], "variant string, seed int, iterations int, converged boolean, similarity double, jaccard double, l1 double, largest_shift double")
+
+
+@query()
+def lda_paired_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants against the base of the same seed."""
+    base, _, phis, rows, terms = _sensitivity(spark, sf_dir)
+    others = models.fit_all(rows, [replace(base.settings, seed=42)], terms)
+    _, summary = models.paired_audit({11: models.phi_matrix(base), 42: models.phi_matrix(others[0])}, phis)
+    return spark.createDataFrame([tuple(r.values()) for r in summary], "variant string, n int, mean_similarity double, min_similarity double, max_similarity double, mean_jaccard double, largest double")
 
 
 @query()
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = V.token_rows(table(spark, sf_dir, "documents"), STOP)
+    tokens = token_rows(spark, sf_dir)
     lists: dict[int, list[str]] = {}
     for r in P.top_terms(phi(spark, sf_dir)).orderBy("topic", "rank").collect():
         lists.setdefault(r["topic"], []).append(r["term"])
@@ -324,12 +377,17 @@ def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, a, b) for t, a, b in zip(lists, v, n, strict=True)], "topic int, c_v double, c_npmi double")
 
 
-@query()
+@query(f"""WITH {PHI}, {_SHIFT}, source AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS topic FROM documents),
+uni AS (SELECT term, sum(n) / (SELECT sum(n) FROM halves) AS u FROM halves GROUP BY term),
+mix AS (SELECT h.doc_id, h.n - h.observed AS n, f.p, u.u FROM halves h JOIN source s ON s.doc_id = h.doc_id JOIN phi f ON f.topic = s.topic AND f.term = h.term JOIN uni u ON u.term = h.term WHERE h.n > h.observed),
+doc AS (SELECT doc_id, sum(n * ln(p)) AS ll, sum(n * ln(u)) AS ul, sum(n) AS n FROM mix GROUP BY doc_id)
+SELECT round(avg(ll / n), 4) AS macro, round(exp(-avg(ll / n)), 4) AS perplexity, round(sum(ll) / sum(n), 4) AS micro, round(avg(ll / n - ul / n), 4) AS gain FROM doc""")
 def completion_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-back halves of the counts scored under the topic of each document's source."""
-    docs = table(spark, sf_dir, "documents")
-    p = phi(spark, sf_dir)
-    counts = V.token_rows(docs, STOP).groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"))
-    target = P.thinned(counts, ["doc_id", "term"]).filter("target > 0").select("doc_id", "term", F.col("target").alias("n"))
-    th = docs.select("doc_id", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("topic"), F.lit(1.0).alias("w"))
-    return P.perplexity(P.completion_score(target, th, p)).select(F.round("perplexity", 4).alias("perplexity"))
+    halves = checkpointed(P.thinned(V.per_document(token_rows(spark, sf_dir, False)), ["doc_id", "term"]))
+    target = halves.filter("target > 0").select("doc_id", "term", F.col("target").alias("n"))
+    th = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("topic"), F.lit(1.0).alias("w"))
+    each = halves.groupBy("term").agg(F.sum("n").alias("n"))
+    uni = each.join(F.broadcast(halves.agg(F.sum("n").alias("all"))), F.lit(True)).select("term", (F.col("n") / F.col("all")).alias("p"))  # one row
+    rows = P.completion_summary(P.completion_score(target, th, phi(spark, sf_dir), uni))
+    return rows.select(*[F.round(c, 4).alias(c) for c in ("macro", "perplexity", "micro", "gain")])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators.relational import IntegrityError
+from inkstone.operators.relational import IntegrityError, numbered
 
 RULER = "=" * 100
 _BOM = "﻿"
@@ -155,14 +155,11 @@ def write_records(docs: DataFrame, path: str) -> None:
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, n, value): a GraphML document's elements in order of part and n; edges are numbered from e1."""
-    from pyspark.sql import Window
-
     attr = lambda names: F.concat(*[F.concat(F.lit(f'<data key="{c}">'), T.xml_escape(T.xml_safe(F.coalesce(F.col(c).cast("string"), F.lit("")))), F.lit("</data>")) for c in names])
     ident = lambda c: T.xml_escape(T.xml_safe(F.col(c)))
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id"))
-    e = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source", "target", "relation"))
-    a = nodes.select(F.lit(1).alias("part"), n.alias("n"), F.concat(F.lit('<node id="'), ident("id"), F.lit('">'), attr([c for c in nodes.columns if c != "id"]), F.lit("</node>")).alias("value"))
-    b = edges.select(F.lit(2).alias("part"), e.alias("n"), F.concat(F.lit('<edge id="e'), e.cast("string"), F.lit('" source="'), ident("source"), F.lit('" target="'), ident("target"), F.lit('">'), attr([c for c in edges.columns if c not in ("source", "target")]), F.lit("</edge>")).alias("value"))
+    a = numbered(nodes, ["id"], "__n").select(F.lit(1).alias("part"), F.col("__n").alias("n"), F.concat(F.lit('<node id="'), ident("id"), F.lit('">'), attr([c for c in nodes.columns if c != "id"]), F.lit("</node>")).alias("value"))
+    e = F.col("__n")
+    b = numbered(edges, ["source", "target", "relation"], "__n").select(F.lit(2).alias("part"), e.alias("n"), F.concat(F.lit('<edge id="e'), e.cast("string"), F.lit('" source="'), ident("source"), F.lit('" target="'), ident("target"), F.lit('">'), attr([c for c in edges.columns if c not in ("source", "target")]), F.lit("</edge>")).alias("value"))
     return a.unionByName(b)
 
 

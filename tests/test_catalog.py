@@ -15,7 +15,7 @@ SLOW = {"lda_topics", "lda_trace", "lda_seed_stability"}
 
 
 def norm(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "~"
     if hasattr(v, "item"):
         v = v.item()
