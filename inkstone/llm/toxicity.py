@@ -60,39 +60,39 @@ class Settings:
     seed: int = 42
 
 
-#: Words of a line beyond which its chain is passed through in pieces side by side, and cells of a block of shorter lines.
-LONG_LINE = 2048
-CELLS = 1 << 20
+#: Cells of a block of lines in training.
+CELLS = 1 << 17
+#: Words whose chains are passed through at a time; a longer line by itself.
+WORDS = 1 << 18
 
 
 def lines_of(text: str) -> list[list[str]]:
-    """The words of each line that has any, each lower-cased by itself."""
-    return [[w.lower() for w in words] for line in text.split("\n") if (words := _WORD.findall(line))]
+    """The words of each line that has any, as they stand; features lower-case each by itself."""
+    return [words for line in text.split("\n") if (words := _WORD.findall(line))]
 
 
-def passed(maps: np.ndarray, start: float) -> np.ndarray:
-    """The values r[t] = (maps[t,1,0] + maps[t,1,1] r) / (maps[t,0,0] + maps[t,0,1] r), r before the first one being
-    ``start``. As such maps compose like matrices, pieces of the chain are composed side by side, their ends are passed
-    through one after the other, and then all pieces side by side from their true beginnings."""
-    n = len(maps)
+def passed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, start: float) -> np.ndarray:
+    """The values r[t] = (c[t] + d[t] r) / (a[t] + b[t] r), r before the first one being ``start``. As such maps compose
+    like matrices, pieces of the chain are composed side by side, their ends are passed through one after the other, and
+    then all pieces side by side from their true beginnings."""
+    n = len(a)
     size = max(1, math.isqrt(n))
     pieces = -(-n // size)
-    whole = np.broadcast_to(np.eye(2), (pieces * size, 2, 2)).copy()
-    whole[:n] = maps
-    whole = whole.reshape(pieces, size, 2, 2)
-    ends = np.broadcast_to(np.eye(2), (pieces, 2, 2))
-    for t in range(size):
-        ends = whole[:, t] @ ends
-        ends = ends / ends.max(axis=(1, 2), keepdims=True)
+    spare = pieces * size - n
+    rows = [np.ascontiguousarray(np.append(x, np.full(spare, fill)).reshape(pieces, size).T) for x, fill in ((a, 1.0), (b, 0.0), (c, 0.0), (d, 1.0))]
+    ea, eb, ec, ed = (row[0] for row in rows)
+    for ta, tb, tc, td in zip(*(row[1:] for row in rows), strict=True):
+        ea, eb, ec, ed = ta * ea + tb * ec, ta * eb + tb * ed, tc * ea + td * ec, tc * eb + td * ed
+        top = np.maximum(np.maximum(ea, eb), np.maximum(ec, ed))
+        ea, eb, ec, ed = ea / top, eb / top, ec / top, ed / top
     begin, r = [], start
-    for (a, b), (c, d) in ends.tolist():
+    for pa_, pb, pc, pd in zip(ea.tolist(), eb.tolist(), ec.tolist(), ed.tolist(), strict=True):
         begin.append(r)
-        r = (c + d * r) / (a + b * r)
-    out, now = np.empty((pieces, size)), np.array(begin)
-    for t in range(size):
-        m = whole[:, t]
-        now = out[:, t] = (m[:, 1, 0] + m[:, 1, 1] * now) / (m[:, 0, 0] + m[:, 0, 1] * now)
-    return out.reshape(-1)[:n]
+        r = (pc + pd * r) / (pa_ + pb * r)
+    out, now = np.empty((size, pieces)), np.array(begin)
+    for t, (ta, tb, tc, td) in enumerate(zip(*rows, strict=True)):
+        now = out[t] = (tc + td * now) / (ta + tb * now)
+    return out.T.reshape(-1)[:n]
 
 
 def marks_of(word: str) -> list[str]:
@@ -118,7 +118,7 @@ class Field:
 
     def features(self, word: str) -> list[int]:
         """The word's feature numbers, from 1; 0 fills what it lacks and has weight zero."""
-        top = len(self.emit) - 1
+        top, word = len(self.emit) - 1, word.lower()
         out = [1 + zlib.crc32(x.encode()) % top for x in (*marks_of(word), f"s{word[-3:]}")]
         return out + [0] * (SLOTS - len(out))
 
@@ -136,43 +136,30 @@ class Field:
         """P(toxic) of every word, lines laid end to end. Forward and backward messages as the odds of the two tags."""
         known, score = self._known.get, self.score
         lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-        flat = np.fromiter((score(w) if (v := known(w)) is None else v for line in lines for w in line), np.float64, int(lengths.sum()))
-        out = np.zeros(len(flat))
+        flat = np.array([score(w) if (v := known(w)) is None else v for line in lines for w in line], np.float64)
         starts = np.cumsum(lengths) - lengths
-        order = np.argsort(lengths, kind="stable")
-        short = int((lengths <= LONG_LINE).sum())
+        out, k = [], 0
+        while k < len(lines):
+            end = max(k + 1, int(np.searchsorted(starts + lengths, starts[k] + WORDS, side="right")))
+            a, b = int(starts[k]), int(starts[end - 1] + lengths[end - 1])
+            out.append(self._chains(flat[a:b], starts[k:end] - a))
+            k = end
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _chains(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """P(toxic) of every word of lines laid end to end, as one chain each way: at a line's start, and coming back at its
+        end, the map does not depend on what was before."""
         (m00, m01), (m10, m11) = np.exp(self.move).tolist()
-        k = 0
-        while k < short:
-            count = max(1, CELLS // int(lengths[order[min(k + 1023, short - 1)]]))
-            pick = order[k : min(k + 1024, k + count, short)]
-            k += len(pick)
-            size, width = lengths[pick], int(lengths[pick].max())
-            inside = np.arange(width)[:, None] < size
-            odds = np.ones((width, len(pick)))
-            at = (starts[pick] + np.arange(width)[:, None])[inside]
-            odds[inside] = np.exp(np.clip(flat[at], -300, 300))
-            ahead = np.empty_like(odds)
-            ahead[0] = odds[0] * math.exp(self.first)
-            for t in range(1, width):
-                ahead[t] = odds[t] * (m01 + ahead[t - 1] * m11) / (m00 + ahead[t - 1] * m10)
-            back = np.ones_like(odds)
-            for t in range(width - 2, -1, -1):
-                r = odds[t + 1] * back[t + 1]
-                back[t] = np.where(t + 1 < size, (m10 + m11 * r) / (m00 + m01 * r), 1.0)
-            r = ahead * back
-            out[at] = (r / (1 + r))[inside]
-        for i in order[short:].tolist():
-            a, b = int(starts[i]), int(starts[i] + lengths[i])
-            odds = np.exp(np.clip(flat[a:b], -300, 300))
-            maps = np.empty((len(odds) - 1, 2, 2))
-            maps[:, 0, 0], maps[:, 0, 1], maps[:, 1, 0], maps[:, 1, 1] = m00, m10, odds[1:] * m01, odds[1:] * m11
-            first = odds[0] * math.exp(self.first)
-            ahead = np.concatenate(([first], passed(maps, first)))
-            maps[:, 0, 1], maps[:, 1, 0], maps[:, 1, 1] = odds[1:] * m01, m10, odds[1:] * m11
-            r = ahead * np.concatenate((passed(maps[::-1], 1.0)[::-1], [1.0]))
-            out[a:b] = r / (1 + r)
-        return out
+        odds = np.exp(np.clip(scores, -300, 300))
+        a, b, c, d = np.full(len(odds), m00), np.full(len(odds), m10), odds * m01, odds * m11
+        a[starts], b[starts], c[starts], d[starts] = 1.0, 0.0, odds[starts] * math.exp(self.first), 0.0
+        ahead = passed(a, b, c, d, 0.0)
+        ends = np.append(starts[1:], len(odds)) - 1
+        after = np.append(odds[1:], 1.0)
+        a, b, c, d = np.full(len(odds), m00), after * m01, np.full(len(odds), m10), after * m11
+        a[ends], b[ends], c[ends], d[ends] = 1.0, 0.0, 1.0, 0.0
+        r = ahead * passed(a[::-1], b[::-1], c[::-1], d[::-1], 1.0)[::-1]
+        return r / (1 + r)
 
     def marginals(self, unary: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For training: forward-backward in logarithms over rows of emissions [lines, words]. P(toxic) of each word,
@@ -282,7 +269,7 @@ def trained(rows: list[tuple[str, bool]], settings: Settings = Settings()) -> Fi
     marked: dict[str, bool] = {}
     for text, y in rows:
         for words in lines_of(text):
-            tags = [y and (marked[w] if w in marked else marked.setdefault(w, not marks.isdisjoint(marks_of(w)))) for w in words]
+            tags = [y and (marked[w] if w in marked else marked.setdefault(w, not marks.isdisjoint(marks_of(w.lower())))) for w in words]
             (hot if any(tags) else cold).append((words, tags))
     rng = np.random.default_rng(settings.seed)
     cold = [cold[i] for i in sorted(rng.permutation(len(cold))[: settings.clean_lines * len(hot)])]
@@ -297,7 +284,7 @@ def _fit(field: Field, lines: list[tuple[list[str], list[bool]]], settings: Sett
     blocks = []
     k = 0
     while k < len(lines):
-        part = lines[k : k + max(1, min(512, CELLS // 8 // len(lines[min(k + 511, len(lines) - 1)][0])))]
+        part = lines[k : k + max(1, min(512, CELLS // len(lines[min(k + 511, len(lines) - 1)][0])))]
         k += len(part)
         lengths = np.array([len(w) for w, _ in part])
         width = int(lengths.max())
