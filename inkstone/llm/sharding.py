@@ -17,13 +17,15 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import checkpointed, running_offsets, tune
+from inkstone.llm.common import ARROW_ROWS, checkpointed, running_offsets, tune
 
 LAW = "rows"
 SEED = 42
@@ -77,14 +79,18 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: in
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     rows = scattered(rows, buckets, seed, n)
 
-    def shuffle(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        t = t.take(pa.compute.sort_indices(t.select(["h", "doc_id"]), sort_keys=[("h", "ascending"), ("doc_id", "ascending")]))
-        number = t.column("bucket")[0].as_py()
-        t = t.take(pa.array(fisher_yates(t.num_rows, (seed, number))))
-        return t.select(["doc_id", "text", "bucket"]).append_column("place", pa.array(np.arange(t.num_rows), pa.int64()))
-
-    shuffled = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shuffle, "doc_id long, text string, bucket long, place long")
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)  # one bucket
+            t = t.take(pa.compute.sort_indices(t.select(["h", "doc_id"]), sort_keys=[("h", "ascending"), ("doc_id", "ascending")]))
+            number = t.column("bucket")[0].as_py()
+            t = t.take(pa.array(fisher_yates(t.num_rows, (seed, number))))
+            yield from t.select(["doc_id", "text", "bucket"]).append_column("place", pa.array(np.arange(t.num_rows), pa.int64())).to_batches(ARROW_ROWS)
+
+    # a task is a bucket: the exchange sends each to the partition of its number
+    dealt = rows.repartitionById(buckets, F.col("bucket").cast("int")).select("doc_id", "text", "h", "bucket")
+    shuffled = dealt.mapInArrow(shuffle, "doc_id long, text string, bucket long, place long")
     before = running_offsets(rows.withColumn("all", F.lit(0)), ["all"], "bucket", F.lit(1), "before").select("bucket", "before")  # a row for each bucket
     at = F.col("place") + F.col("before")
     return shuffled.join(F.broadcast(before) if buckets <= 100_000 else before, "bucket").select(
