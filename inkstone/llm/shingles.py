@@ -41,7 +41,8 @@ SIMILARITY = 0.8
 SEED = 42
 #: MinHash values of a band, and bands.
 WIDTH, BANDS = 7, 36
-#: Texts of one side of a comparison block.
+#: Texts that one piece compares with their hub, and texts of one side of a comparison block.
+PIECE = 64
 BLOCK = 512
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDTH * BANDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,7 +107,7 @@ def hubs(classes: DataFrame, keys: DataFrame) -> DataFrame:
     return by_bits.unionByName(by_bands).select("hub", "node").distinct()
 
 
-def starred(pairs: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def starred(pairs: DataFrame, texts: DataFrame, block: int = PIECE) -> DataFrame:
     """The pairs (hub, node) that link. A hub's members are dealt into pieces, each of which gets the hub's text."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("pieces"))
     members = salted_join(pairs, sizes, ["hub"], "inner", spread=F.xxhash64("node"))
@@ -210,7 +211,7 @@ def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     needed = keys.select("node").union(pairs.select("node")).union(pairs.select("hub")).distinct()
     places = checkpointed(needed.join(classes.select("node", "first"), "node"))
     texts = written(texts_of(docs, places), "near-texts")
-    roots = checkpointed(rooted(classes.select("node", "first", F.col("node").alias("root")), "root", starred(pairs, texts, block)))
+    roots = checkpointed(rooted(classes.select("node", "first", F.col("node").alias("root")), "root", starred(pairs, texts, min(block, PIECE))))
     members = keys.select("key", "node").join(roots.select("node", "root"), "node")
     roots = rooted(roots, "root", crossed(checkpointed(members), texts, block))
     return simhash.rows_of(docs, roots.groupBy("root").agg(F.min("first").alias("first")).select("first"))
