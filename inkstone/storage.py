@@ -83,6 +83,8 @@ _TASK_BYTES = 128 << 20
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many tasks as there are cores, where its input is so small that its files may give fewer (a table of
     one row group is one task); else unchanged. For narrow work that is dear for each row."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * _TASK_BYTES else df
