@@ -13,15 +13,16 @@ Null, repeated-row and skew rules that hold for every operator here:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstone.storage import checkpointed, given_up, shared_folder, written
+
+__all__ = ["checkpointed", "given_up", "shared_folder", "written"]
+
 #: Rows in an Arrow batch, so that a batch of long texts stays in tens of MB.
 ARROW_ROWS = 2000
 #: A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are hot.
@@ -29,9 +30,6 @@ HOT_SHARE = 500
 #: Tasks over which one hot key is spread.
 HOT_SALTS = 64
 
-#: What this process wrote to the shared folder, by path; deleted when given up or at exit.
-_owned: dict[str, tuple[object, object]] = {}
-
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that reach Python workers; a smaller bound of the session's stays."""
@@ -67,65 +65,6 @@ def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
-def _own(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _owned[path] = (jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and driver and executors
-    are one process, as in tests, an own folder; on a cluster that is an error."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if not folder:
-        if current.isDefined():
-            return current.get()
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="inkstone-")
-    if not current.isDefined():
-        sc.setCheckpointDir(folder)
-        _own(spark, sc._jsc.sc().getCheckpointDir().get())  # the context's own subfolder
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the shared folder and cut from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _drop_owned() -> None:
-    for fs, path in _owned.values():
-        try:
-            fs.delete(path, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            pass
-
-
-atexit.register(_drop_owned)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a compressed Parquet table in the shared folder, read back; deleted by ``given_up`` or at exit."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _own(spark, path)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["_written_to"] = path
-    return out
-
-
-def given_up(table: DataFrame) -> None:
-    """Deletes a table of ``written`` that no later step reads; other tables are left alone."""
-    path = table.__dict__.get("_written_to")
-    if path in _owned:
-        fs, jpath = _owned.pop(path)
-        fs.delete(jpath, True)
-
-
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -40,8 +40,6 @@ KEPT_LENGTH = 64
 #: Characters on which all pattern engines agree: printable ASCII, tab, line ends, Latin letters and signs.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 _NEVER = 1 << 60
-#: Bytes of a prefix that are kept as it grows: as many as the longest token has, less one.
-LONGEST = 255
 _BYTES = [bytes((k,)) for k in range(256)]
 
 
@@ -78,7 +76,7 @@ class Codec:
         for b in self.ids:
             if len(b) > 2:
                 sizes.setdefault(b[-3:], set()).add(len(b))
-        assert max(map(len, self.ids)) <= LONGEST
+        self.longest = max(map(len, self.ids))
         self.sizes = {tail: sorted(n, reverse=True) for tail, n in sizes.items()}
         self.merge: dict[tuple[int, int], int] = {}  # rank of the merge of two tokens
         self.parts: dict[int, tuple[int, int, int]] = {}  # a merged token's two parts and rank
@@ -151,6 +149,7 @@ class Codec:
             ends[node] = word
         out: dict[bytes, list[int]] = {b"": []} if ends[0] is not None else {}
         ids, token_bytes, beside, sizes = self.ids, self.bytes, self.beside, self.sizes.get
+        reach = max(2, self.longest - 1)  # bytes of a prefix that are kept as it grows
         known = self._beside.get
         last: list[int] = [-1]  # by depth: the last token of the prefix
         stack = [(down, bytes((byte,)), 1) for byte, down in child[0].items()]
@@ -177,7 +176,7 @@ class Codec:
                     at -= len(token_bytes[last[at]])
                 out[ends[node]] = found[::-1]
             for byte, down in child[node].items():
-                stack.append((down, path[-LONGEST:] + _BYTES[byte], depth + 1))
+                stack.append((down, path[-reach:] + _BYTES[byte], depth + 1))
         return out
 
     # --- texts --------------------------------------------------------------------------
