@@ -43,5 +43,5 @@ def test_query_equals_the_library(documents, texts):
 def test_odd_and_empty_tables(odd_docs, no_docs):
     tokens = X.encoded(odd_docs)
     back = {r["doc_id"]: r["text"] for r in X.decoded(tokens).collect()}
-    assert back == {r["doc_id"]: r["text"] or "" for r in odd_docs.collect()}
+    assert back == {r["doc_id"]: r[1] or "" for r in odd_docs.collect()}
     assert X.round_trip(no_docs).count() == 0 and X.round_trip(odd_docs).count() == odd_docs.count()

@@ -75,7 +75,7 @@ def test_all_ids_are_packed_once_with_little_padding(documents, texts):
 
 def test_odd_and_empty_tables(odd_docs, no_docs):
     alone = odd_docs.dropDuplicates(["doc_id"])
-    checked(X.digest_columns(X.packed(alone)).collect(), {r["doc_id"]: r["text"] for r in alone.collect()})
+    checked(X.digest_columns(X.packed(alone)).collect(), {r["doc_id"]: r[1] for r in alone.collect()})
     assert X.packed(no_docs).count() == 0
     twice = odd_docs.filter("doc_id = 3")
     assert X.packed(twice).count() == 2
