@@ -200,6 +200,7 @@ def tokens_with_aliases(text: Column, repairs: Sequence[tuple[str, str]] = (), w
     """The first-generation tokenizer: ``repairs`` (pattern, replacement) in list order; addresses, lone letters over
     letters and numbers go; words of letters with apostrophes, hyphens and underscores inside; each word, its hyphens
     as underscores, becomes its entry in ``words`` or its lemma, or that one's entry; stop words go before and after."""
+    # fixed values: the patterns of the first-generation tokenizer
     t = F.lower(text)
     for pattern, to in repairs:
         t = F.regexp_replace(t, pattern, to)
@@ -276,6 +277,7 @@ class DisplayRules:
     noise: Sequence[str] = ()
     stop: Sequence[str] = ()
     short: int = 3
+    #: Short terms that are shown.
     known: Sequence[str] = ("nft", "defi", "llm", "dao", "vr", "ar", "ai", "iot")
     hidden_single: Sequence[str] = ()
     single: Sequence[str] = ()

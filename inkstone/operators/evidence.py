@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators.relational import least_of, numbered
+from inkstone.operators.relational import IntegrityError, least_of, numbered
 from inkstone.storage import spread
 
 Lexicon = Mapping[str, Sequence[str]]
@@ -26,6 +26,7 @@ class Rules:
     """How counts become scores and tiers. ``weights``: of a category's hits in a sentence, 2 if not named;
     ``pairs``: categories that earn a bonus when both hit; ``primary``: two categories and their least totals."""
 
+    # The weights, thresholds and lengths of the rules.
     weights: Mapping[str, int] = field(default_factory=dict)
     pairs: Sequence[tuple[str, str]] = ()
     bonus: int = 3
@@ -178,3 +179,16 @@ def prompts(batched: DataFrame, text: str, instruction: str) -> DataFrame:
     rows = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col(text).alias("t")))).alias("m"))
     prompt = F.concat(F.lit(instruction + "\n\n"), F.array_join(F.transform("m", lambda x: x["t"]), "\n\n"))
     return rows.select("batch", F.transform("m", lambda x: x["doc_id"]).alias("members"), prompt.alias("prompt")).withColumn("request_sha256", F.sha2("prompt", 256))
+
+
+def synthesis(responses: DataFrame, statistics: DataFrame, instruction: str, most: int = 1000) -> DataFrame:
+    """(prompt, request_sha256): one prompt from the batches' responses (batch, response) in order, below an instruction and
+    the corpus' statistics (one row). More than ``most`` batches are an error: they would be one text."""
+    if responses.limit(most + 1).count() > most:
+        raise IntegrityError(f"more than {most} batches for one prompt")
+    numbers = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in statistics.columns])
+    part = F.concat(F.lit("Batch "), F.col("batch").cast("string"), F.lit("\n"), F.col("response"))
+    parts = responses.agg(F.array_sort(F.collect_list(F.struct("batch", part.alias("p")))).alias("m"))  # at most ``most``
+    text = F.concat_ws("\n\n", F.lit(instruction), F.col("numbers"), F.array_join(F.transform("m", lambda x: x["p"]), "\n\n"))
+    rows = parts.join(F.broadcast(statistics.select(numbers.alias("numbers"))), F.lit(True))  # one row each
+    return rows.select(text.alias("prompt")).withColumn("request_sha256", F.sha2("prompt", 256))

@@ -293,6 +293,32 @@ def infer(model: TopicModel, rows: DataFrame) -> DataFrame:
     return P.long_theta(rows.select("doc_id", "unit", "terms", "counts").mapInArrow(run, f"{kinds}, n double, theta array<double>"), "theta")
 
 
+def completion(models: Sequence[TopicModel], unigram: np.ndarray, rows: DataFrame) -> DataFrame:
+    """(m, doc_id, loglik, unigram, tokens) for each model: the target halves of units (doc_id, unit, terms, observed, target)
+    scored under the topic weights inferred from their observed halves, and under a unigram (a probability for each
+    term), summed over a document's units."""
+    sent = rows.sparkSession.sparkContext.broadcast(([(_sent(m), phi_matrix(m).T.copy()) for m in models], np.log(unigram)))  # terms by topics for each model
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, base = sent.value
+        for b in batches:
+            kept, terms, seen, starts = _flat(b, 1, 2)
+            if not len(kept):
+                continue
+            target, docs = b.column(3).flatten().to_numpy(), b.column(0).take(pa.array(kept))
+            unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+            for i, (m, phi) in enumerate(own):
+                gamma = unit_weights(m, terms, seen, starts)[0]
+                theta = gamma / gamma.sum(axis=1, keepdims=True)
+                p = np.maximum(np.einsum("ij,ij->i", theta[unit], phi[terms]), 1e-300)
+                parts = [np.add.reduceat(target * x, starts) for x in (np.log(p), base[terms], 1.0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), i, np.int32)), docs, *map(pa.array, parts)], ["m", "doc_id", "loglik", "unigram", "tokens"])
+
+    found = rows.select("doc_id", "terms", "observed", "target").mapInArrow(run, f"m int, doc_id {kind}, loglik double, unigram double, tokens double")
+    return found.groupBy("m", "doc_id").agg(*[F.sum(c).alias(c) for c in ("loglik", "unigram", "tokens")])
+
+
 def phi_matrix(model: TopicModel) -> np.ndarray:
     """Topics by terms, rows that sum to 1."""
     return model.components / model.components.sum(axis=1, keepdims=True)

@@ -54,9 +54,13 @@ def without_margins(pages: DataFrame, **limits) -> DataFrame:
     return as_lines(pages).join(gone, ["doc_id", "line"], "left_anti").filter(~F.col("line").rlike(r"^\d{1,5}$")).select("doc_id", "page", "line_no", "line")
 
 
+# The numbering that may stand before a heading.
+_NUMBERING = r"^[\dIVXivx.\s]+"
+
+
 def heading_key(line: Column) -> Column:
     """A heading without numbering, white space and a colon at its end."""
-    bare = F.regexp_replace(F.trim(line), r"^[\dIVXivx.\s]+", "")
+    bare = F.regexp_replace(F.trim(line), _NUMBERING, "")
     return F.rtrim(F.lower(F.regexp_replace(bare, r"\s+", "")), F.lit(":"))
 
 
@@ -83,9 +87,12 @@ def reference_start(text: Column, headings: Sequence[str], fraction: float = 0.4
     return F.aggregate(lines, start, step, lambda a: a["cut"])
 
 
-def low_text_flags(docs: DataFrame, words: int = 30, page_chars: int = 100, doc_chars: int = 1000) -> DataFrame:
+def low_text_flags(docs: DataFrame, words: int = 30, page_chars: int = 100, doc_chars: int = 1000, images: Column | None = None, image_share: float = 0.5) -> DataFrame:
+    """Whether a text has few words - with ``images``, the share of its area that is pictures, only where that is
+    ``image_share`` or more -, and whether it is a short page or document."""
     n = T.count_words(F.col("text"))
-    return docs.select("doc_id", (n < words).alias("few_words"), (F.length("text") < page_chars).alias("short_page"), (F.length("text") < doc_chars).alias("short_document"))
+    few = n < words if images is None else (n < words) & (images >= image_share)
+    return docs.select("doc_id", few.alias("few_words"), (F.length("text") < page_chars).alias("short_page"), (F.length("text") < doc_chars).alias("short_document"))
 
 
 def long_documents(pages: DataFrame, quantile: float = 0.9) -> DataFrame:

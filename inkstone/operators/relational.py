@@ -95,6 +95,7 @@ def containment(passages: DataFrame, docs: DataFrame, words: int = 8, short: int
     rows = texts.select("doc_id", split(F.col("text")).alias("w"))
     starts = lambda size, n, first: F.when(size >= n, F.sequence(F.lit(first), size - n + first)).otherwise(F.array().cast("array<int>"))
     window = lambda n: lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")).alias("k"))
+    piece = lambda n: lambda i: F.substr("text", i, F.lit(n))
     out = []
     if lengths:
         windows = F.array_distinct(F.concat(*[F.transform(starts(F.size("w"), n, 0), window(n)) for n in lengths]))
@@ -110,7 +111,7 @@ def containment(passages: DataFrame, docs: DataFrame, words: int = 8, short: int
     elif distinct:
         sizes = sorted(r["n"] for r in bare.select(F.length("passage").alias("n")).distinct().collect())
         for n in sizes:
-            pieces = F.array_distinct(F.transform(starts(F.length("text"), n, 1), lambda i, n=n: F.substr("text", i, F.lit(n))))
+            pieces = F.array_distinct(F.transform(starts(F.length("text"), n, 1), piece(n)))
             held = texts.select("doc_id", F.explode(pieces).alias("passage"))
             out.append(held.join(bare.filter(F.length("passage") == n), "passage").select("item_id", "doc_id"))
     if not out:

@@ -144,13 +144,18 @@ def background(phi: DataFrame, weights: DataFrame) -> DataFrame:
     return phi.join(F.broadcast(weights), "topic").groupBy("term").agg(F.sum(F.col("p") * F.col("weight")).alias("bg"))
 
 
+# The weights of the display score and of the first generation's score, and what a phrase adds to each.
+P_WEIGHT, LIFT_WEIGHT, PHRASE_BONUS = 0.6, 0.4, 0.1
+PLAIN_WEIGHT, EXCLUSIVE_WEIGHT, PHRASE_FACTOR = 0.35, 0.65, 1.15
+
+
 def term_table(phi: DataFrame, weights: DataFrame, hidden: Sequence[str] = (), pool: int = 100, shown: int = 10) -> DataFrame:
     """The ``pool`` likeliest terms of each topic with exclusivity, lift, display score and display rank; hidden terms
     are scored but not ranked."""
     wide = phi.join(background(phi, weights), "term").withColumn("exclusivity", F.col("p") / F.sum("p").over(Window.partitionBy("term")))
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("p"), "term"))
     rows = wide.withColumn("raw_rank", rank).filter(F.col("raw_rank") <= pool).withColumn("lift", F.col("p") / F.col("bg"))
-    score = 0.6 * F.log("p") + 0.4 * F.log("lift") + F.when(F.col("term").contains("_"), 0.1).otherwise(0.0)
+    score = P_WEIGHT * F.log("p") + LIFT_WEIGHT * F.log("lift") + F.when(F.col("term").contains("_"), PHRASE_BONUS).otherwise(0.0)
     rows = rows.withColumns({"score": score, "hidden": F.col("term").isin(*hidden) if hidden else F.lit(False)})
     place = F.row_number().over(Window.partitionBy("topic", "hidden").orderBy(F.desc(F.round("score", 9)), "term"))
     return rows.withColumn("display_rank", F.when(~F.col("hidden") & (place <= shown), place)).select("topic", "term", "raw_rank", "p", "exclusivity", "lift", "score", "hidden", "display_rank")
@@ -159,7 +164,7 @@ def term_table(phi: DataFrame, weights: DataFrame, hidden: Sequence[str] = (), p
 def exclusive_score(phi: DataFrame) -> DataFrame:
     """The first-generation score: probability by exclusivity, phrases favoured."""
     rows = phi.withColumn("exclusivity", F.col("p") / F.sum("p").over(Window.partitionBy("term")))
-    score = F.col("p") * (0.35 + 0.65 * F.col("exclusivity")) * F.when(F.col("term").contains("_"), 1.15).otherwise(1.0)
+    score = F.col("p") * (PLAIN_WEIGHT + EXCLUSIVE_WEIGHT * F.col("exclusivity")) * F.when(F.col("term").contains("_"), PHRASE_FACTOR).otherwise(1.0)
     return rows.withColumn("score", score)
 
 
@@ -361,16 +366,21 @@ def perplexity(scores: DataFrame) -> DataFrame:
     return scores.agg(F.exp(-F.avg(F.col("loglik") / F.col("tokens"))).alias("perplexity"))
 
 
-def completion_summary(scores: DataFrame) -> DataFrame:
-    """One row from ``completion_score`` with a unigram: macro and micro log likelihood per token, their total, the
+def completion_by(scores: DataFrame, *by: str) -> DataFrame:
+    """From ``completion_score`` with a unigram, for each group: macro and micro log likelihood per token, their total, the
     perplexity, and the mean gain per token over the unigram."""
     per = F.col("loglik") / F.col("tokens")
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         F.avg(per).alias("macro"), F.exp(-F.avg(per)).alias("perplexity"), F.sum("loglik").alias("total"),
         (F.sum("loglik") / F.sum("tokens")).alias("micro"), F.avg(per - F.col("unigram") / F.col("tokens")).alias("gain"),
     )
 
 
+def completion_summary(scores: DataFrame) -> DataFrame:
+    """``completion_by`` over all documents: one row."""
+    return completion_by(scores)
+
+
 # --- sensitivity ------------------------------------------------------------------------------
 
 

@@ -243,18 +243,96 @@ def classified_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.classified(edges, strongest, decisions)
 
 
-_CHECKS = ("node ids are unique", "nodes have labels", "edge keys are unique", "no edge is a loop", "edges end at nodes", "weights are positive", "edges state their origin", "relations join their types")
-
-
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0 AS failures" for c in _CHECKS))
+#: The graph with faults of each kind put in: a second node for each category, without a label; loops; anchors that end
+#: nowhere and weigh nothing; memberships twice, without an origin.
+_FAULTY = """
+node2 AS (SELECT id, label, type FROM node UNION ALL SELECT id, '', type FROM node WHERE type = 'category'),
+edge2 AS (
+  SELECT source, target, relation, origin, weight FROM edge
+  UNION ALL SELECT id, id, 'mentions', 'rule', 1.0 FROM node WHERE type = 'group'
+  UNION ALL SELECT source, 'GONE', relation, origin, 0.0 FROM edge WHERE relation = 'anchored_by'
+  UNION ALL SELECT source, target, relation, '', weight FROM edge WHERE relation = 'member_of'),
+typed AS (SELECT e.relation, a.type AS s, b.type AS t FROM edge2 e LEFT JOIN node2 a ON a.id = e.source LEFT JOIN node2 b ON b.id = e.target)"""
+_TYPES = " OR ".join(f"(relation = '{r}' AND s = '{a}' AND t = '{b}')" for r, (a, b) in RELATIONS.items())
+
+
+@query(f"""WITH {GRAPH}, {_FAULTY}
+SELECT 'node ids are unique' AS "check", (SELECT count(*) FROM (SELECT id FROM node2 GROUP BY id HAVING count(*) > 1)) AS failures
+UNION ALL SELECT 'nodes have labels', (SELECT count(*) FROM node2 WHERE label IS NULL OR trim(label) = '')
+UNION ALL SELECT 'edge keys are unique', (SELECT count(*) FROM (SELECT source FROM edge2 GROUP BY source, target, relation HAVING count(*) > 1))
+UNION ALL SELECT 'no edge is a loop', (SELECT count(*) FROM edge2 WHERE source = target)
+UNION ALL SELECT 'edges end at nodes', (SELECT count(*) FROM (SELECT source AS id FROM edge2 UNION SELECT target FROM edge2) WHERE id NOT IN (SELECT id FROM node2))
+UNION ALL SELECT 'weights are positive', (SELECT count(*) FROM edge2 WHERE weight IS NULL OR weight <= 0)
+UNION ALL SELECT 'edges state their origin', (SELECT count(*) FROM edge2 WHERE origin IS NULL OR origin = '')
+UNION ALL SELECT 'relations join their types', (SELECT count(*) FROM typed WHERE NOT coalesce({_TYPES}, false))""")
 def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = evidence_graph(spark, sf_dir)
-    return H.validation(H.checkpointed(nodes), H.checkpointed(edges), RELATIONS)
+    """Each check on a graph with faults for it to find."""
+    nodes, edges = map(H.checkpointed, evidence_graph(spark, sf_dir))
+    again = nodes.filter("type = 'category'").withColumn("label", F.lit(""))
+    loops = nodes.filter("type = 'group'").select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("mentions").alias("relation"), F.lit("rule").alias("origin"), F.lit(1.0).alias("weight"))
+    gone = edges.filter("relation = 'anchored_by'").withColumns({"target": F.lit("GONE"), "weight": F.lit(0.0)})
+    twice = edges.filter("relation = 'member_of'").withColumn("origin", F.lit(""))
+    return H.validation(nodes.unionByName(again), H.union_all([edges, loops, gone, twice]), RELATIONS)
 
 
-@query("SELECT 'nodes' AS name, true AS agree UNION ALL SELECT 'edges', true")
+@query(f"WITH {GRAPH} SELECT 'nodes' AS name, (SELECT count(*) FROM node) AS rows, true AS agree UNION ALL SELECT 'edges', (SELECT count(*) FROM edge), true UNION ALL SELECT 'counted', 1, false")
 def graph_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.reruns_agree(lambda: evidence_graph(spark, sf_dir), ["nodes", "edges"])
+    """Two builds of the graph, and a table that differs between them."""
+    runs = iter(range(2))
+
+    def build() -> list[DataFrame]:
+        return [*evidence_graph(spark, sf_dir), spark.createDataFrame([(next(runs),)], "run int")]
+
+    return H.reruns_agree(build, ["nodes", "edges", "counted"])
+
+
+#: A small model of concepts: threats are the keyword groups, topics the groups of languages.
+CONCEPTS = H.Concepts(
+    threats=[H.Threat("GA", "first", "LY_A", "SG_A", ["IN_A", "IN_B"]), H.Threat("GB", "second", "LY_B", "SG_A", ["IN_B"]), H.Threat("GC", "third", "LY_B", "SG_B", ["IN_A"]), H.Threat("GD", "fourth", "LY_H", "SG_B", ["IN_C", "IN_A"])],
+    layers=[("LY_A", "layer a"), ("LY_B", "layer b"), ("LY_H", "hub")], signals=[("SG_A", "signal a"), ("SG_B", "signal b")],
+    interventions=[("IN_A", "control a"), ("IN_B", "control b"), ("IN_C", "control c")], hub="LY_H",
+    topics=[("T01", "one", 60.0, 3), ("T02", "two", 40.0, 2), ("T03", "three", 0.0, 0)],
+)
+_DECISIONS = [("T01", "GA", True, "perception", "0; 1"), ("T01", "GB", True, "", "1"), ("T02", "GC", True, "potential", "0"), ("T02", "GA", False, "", "")]
+
+
+def concept_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and decisions."""
+    docs = table(spark, sf_dir, "documents")
+    scored = H.checkpointed(E.scores(docs, LEXICON, RULES))
+    matches = H.checkpointed(H.top_groups(scored, H.keyword_matches(docs, GROUPS, F.col("text")), DIMENSIONS))
+    decisions = spark.createDataFrame(_DECISIONS, "topic string, target string, retained boolean, qualifiers string, doc_ids string")
+    return *map(H.checkpointed, H.concept_graph(scored, matches, list(LEXICON), CONCEPTS, decisions)), decisions
+
+
+_FIXED_SQL = " UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, '{r}' AS relation, {w}::DOUBLE AS weight" for a, b, r, w in CONCEPTS.fixed_edges())
+CONCEPT_EDGES = f"""{SCORED}, {GROUPED}, cdim AS ({_DIMS}),
+concept AS (
+  SELECT source, target, relation, weight, 'fixed' AS origin FROM ({_FIXED_SQL})
+  UNION ALL SELECT * FROM (VALUES {', '.join(f"('{t}', '{g}', 'topic-threat', 1.0::DOUBLE, 'reviewed')" for t, g, kept, _, _ in _DECISIONS if kept)})
+  UNION ALL SELECT 'DOC_' || doc_id, 'DIM_' || c, 'document-supports-evidence-dimension', round(1 + n / (SELECT greatest(max(n), 1) FROM cdim) * 8, 4), 'rule' FROM cdim
+  UNION ALL SELECT 'DOC_' || doc_id, "group", 'document-keyword-matches-threat', 1.0 + n, 'rule' FROM grouped
+  UNION ALL SELECT 'DOC_' || g.doc_id, g."group", 'high-score-keyword-anchor', 4.0, 'rule' FROM grouped g JOIN scored s ON s.doc_id = g.doc_id
+    WHERE g.rank = 1 AND s.total >= 0.55 * (SELECT greatest(max(total), 1) FROM scored))"""
+
+
+@query(f"WITH {CONCEPT_EDGES} SELECT source, target, relation, origin, weight FROM concept")
+def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concept_graph(spark, sf_dir)[1].select("source", "target", "relation", "origin", "weight")
+
+
+@query(f"""WITH {CONCEPT_EDGES}, name AS (SELECT * FROM (VALUES {', '.join(f"('{t.id}', '{t.label}', '{dict(CONCEPTS.layers)[t.layer]}', '{dict(CONCEPTS.signals)[t.signal]}', '{'; '.join(dict(CONCEPTS.interventions)[i] for i in t.interventions)}')" for t in CONCEPTS.threats)}) v(id, threat, layer, signal, interventions))
+SELECT threat, layer, signal, interventions, (SELECT count(*) FROM concept c WHERE c.target = name.id AND c.relation IN ('document-keyword-matches-threat', 'high-score-keyword-anchor')) AS documents,
+  coalesce((SELECT string_agg(DISTINCT source, '; ' ORDER BY source) FROM concept c WHERE c.target = name.id AND c.relation = 'topic-threat'), '') AS topics FROM name""")
+def threat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.threat_matrix(concept_graph(spark, sf_dir)[1], CONCEPTS)
+
+
+@query()
+def concept_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of the concept graph as it is built; a test gives each a graph to fail on."""
+    nodes, edges, decisions = concept_graph(spark, sf_dir)
+    return H.concept_validation(nodes, edges, CONCEPTS, decisions, table(spark, sf_dir, "documents").select("doc_id"), list(LEXICON), ["T03"])
 
 
 @query("""WITH RECURSIVE line AS (SELECT doc_id, string_split(text, chr(10))[1] AS a, string_split(text, chr(10))[-1] AS b FROM documents),

@@ -6,18 +6,24 @@ knows will do.
 
 from __future__ import annotations
 
+import hashlib
+import importlib.metadata
+import importlib.util
 import json
 import platform
 import sys
+import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators.relational import IntegrityError, numbered
+from inkstone.operators.relational import IntegrityError, numbered, require_unique
 
 RULER = "=" * 100
 _BOM = "﻿"
@@ -35,20 +41,36 @@ def binary_corpus(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]")
     return rows.orderBy(F.lower("path"))
 
 
-def extracted(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page, text, error): pages that ``extract`` finds in each file; a file it fails on gives one error row."""
+def extracted(files: DataFrame, extract: Callable[[bytes], list[str]] | Sequence[Callable[[bytes], list[str]]], ocr: Callable[[bytes], list[str]] | None = None, least: int = 30) -> DataFrame:
+    """(path, page, text, error, by): the pages of each file. Extractors are tried in order until one finds ``least`` words;
+    else the one that found most counts, and after it ``ocr``, if given. ``by`` is the place of the one that counted, -1
+    for ``ocr``. A file on which all fail gives one row with their errors; one that only some fail on gives its pages."""
+    chain = [extract] if callable(extract) else list(extract)
+    tried = [*enumerate(chain), *([(-1, ocr)] if ocr is not None else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    out += [(path, i, page, None) for i, page in enumerate(extract(bytes(content)), 1)]
-                except Exception as e:  # noqa: BLE001  reported as a row
-                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "Int64"})
+                best, errors = None, []
+                for by, f in tried:
+                    try:
+                        pages = f(bytes(content))
+                    except Exception as e:  # noqa: BLE001  reported as a row
+                        errors.append(f"{type(e).__name__}: {e}")
+                        continue
+                    words = sum(len(p.split()) for p in pages)
+                    if best is None or words > best[0]:
+                        best = (words, by, pages)
+                    if words >= least:
+                        break
+                if best is None:
+                    out.append((path, None, None, "; ".join(errors), None))
+                else:
+                    out += [(path, i, page, None, best[1]) for i, page in enumerate(best[2], 1)]
+            yield pd.DataFrame(out, columns=["path", "page", "text", "error", "by"]).astype({"page": "Int64", "by": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, page long, text string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, page long, text string, error string, by long")
 
 
 def json_lines(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
@@ -130,8 +152,10 @@ def record_text(docs: DataFrame) -> DataFrame:
 
 
 def checked_record_text(docs: DataFrame, expected: DataFrame) -> DataFrame:
-    """``record_text``, or an error: ids must be just those of ``expected`` (doc_id, pages), pages equal, and no body
-    line may look like a record's start."""
+    """``record_text``, or an error: ids must be just those of ``expected`` (doc_id, pages and, if it has them, words), each
+    once, pages and words equal, and no body line may look like a record's start."""
+    require_unique(docs, ["doc_id"])
+    require_unique(expected, ["doc_id"])
     ids = docs.select("doc_id")
     for a, b, name in ((ids, expected, "not expected"), (expected.select("doc_id"), ids, "missing")):
         odd = a.join(b.select("doc_id"), "doc_id", "left_anti").limit(5).collect()
@@ -139,7 +163,11 @@ def checked_record_text(docs: DataFrame, expected: DataFrame) -> DataFrame:
             raise IntegrityError(f"documents {name}: {[r[0] for r in odd]}")
     wrong = docs.join(expected.select("doc_id", F.col("pages").alias("__p")), "doc_id").filter(~F.col("pages").eqNullSafe(F.col("__p")))
     marked = docs.filter(F.col("text").rlike(r"(?m)^DOC_ID:"))
-    for rows, name in ((wrong, "other page counts"), (marked, "body lines that start a record")):
+    found = [(wrong, "other page counts"), (marked, "body lines that start a record")]
+    if "words" in expected.columns:
+        both = docs.join(expected.select("doc_id", F.col("words").alias("__w")), "doc_id")
+        found.append((both.filter(~T.count_words(F.coalesce("text", F.lit(""))).eqNullSafe(F.col("__w"))), "other word counts"))
+    for rows, name in found:
         odd = rows.select("doc_id").limit(5).collect()
         if odd:
             raise IntegrityError(f"documents with {name}: {[r[0] for r in odd]}")
@@ -185,10 +213,61 @@ def package_manifest(spark: SparkSession, path: str, private: Sequence[str] = ()
     return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def run_record(spark: SparkSession, config: Mapping) -> DataFrame:
-    """One row about a run: settings, versions, a number of its own and a digest of the settings."""
-    text = json.dumps(dict(config), sort_keys=True, default=str)
-    return spark.createDataFrame([(uuid.uuid4().hex, text, sys.version.split()[0], spark.version, platform.system())], "run string, config string, python string, spark string, system string").withColumn("digest", F.sha2("config", 256))
+def code_digest(package: str = "inkstone") -> str:
+    """SHA-256 of a package's own source, module by module in order of their names."""
+    spec = importlib.util.find_spec(package)
+    whole = hashlib.sha256()
+    for folder in spec.submodule_search_locations or []:
+        for path in sorted(Path(folder).rglob("*.py")):
+            whole.update(str(path.relative_to(folder)).encode() + b"\0" + path.read_bytes() + b"\0")
+    return whole.hexdigest()
+
+
+def versions(packages: Sequence[str] = ("pyspark", "pyarrow", "numpy", "pandas")) -> dict[str, str]:
+    """Of the packages that are installed."""
+    out = {}
+    for name in packages:
+        try:
+            out[name] = importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            continue
+    return out
+
+
+def run_record(spark: SparkSession, config: Mapping, timings: Mapping[str, float] | None = None) -> DataFrame:
+    """One row about a run: a number of its own; settings and a digest of them, the packages and the code, which stays the
+    same while nothing that matters changes; versions, host, and the seconds of its steps."""
+    text, packages, code = json.dumps(dict(config), sort_keys=True, default=str), versions(), code_digest()
+    digest = hashlib.sha256(json.dumps([text, packages, code]).encode()).hexdigest()
+    row = (
+        uuid.uuid4().hex, text, digest, code, json.dumps(packages, sort_keys=True), sys.version.split()[0], spark.version, platform.platform(), platform.node(),
+        json.dumps(dict(timings or {}), sort_keys=True),
+    )
+    names = ("run", "config", "digest", "code", "packages", "python", "spark", "system", "host", "timings")
+    return spark.createDataFrame([row], ", ".join(f"{n} string" for n in names))
+
+
+def report(title: str, facts: Mapping[str, object], tables: Mapping[str, DataFrame], prose: Sequence[str] = (), limit: int = 50) -> str:
+    """A Markdown report: facts as a list, paragraphs, and each table's first ``limit`` rows."""
+    cell = lambda v: ("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    out = [f"# {title}", "", *[f"* {k}: {cell(v)}" for k, v in facts.items()], ""]
+    for paragraph in prose:
+        out += [paragraph, ""]
+    for name, rows in tables.items():
+        out += [f"## {name}", "", f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns)]
+        out += [f"| {' | '.join(map(cell, r))} |" for r in rows.limit(limit).collect()]
+        out.append("")
+    return "\n".join(out)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text as one file, on any file system that Spark knows."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def worksheets(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,25 +280,57 @@ def worksheets(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- a text generator -----------------------------------------------------------------------
 
 
-def generated(requests: DataFrame, generate: Callable[[str], dict], retries: int = 2) -> DataFrame:
-    """(batch, request_sha256, done, done_reason, response): each prompt through ``generate``, which gives a mapping of
-    the last three; an error after all tries gives done false and the error as reason."""
+def generated(requests: DataFrame, generate: Callable[[str], dict], retries: int = 2, wait: float = 5.0, limit: float = 900.0) -> DataFrame:
+    """(batch, request_sha256, done, done_reason, response, attempts): each prompt through ``generate``, which gives a
+    mapping of the three before. A try that fails or takes longer than ``limit`` seconds is followed by another after
+    ``wait`` seconds and as many more each time; an error after all tries gives done false and the error as reason."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for batch, sha, prompt in zip(b["batch"], b["request_sha256"], b["prompt"], strict=True):
                 got: dict = {}
-                for _ in range(retries + 1):
+                for attempt in range(retries + 1):
+                    if attempt:
+                        time.sleep(wait * attempt)
+                    pool = ThreadPoolExecutor(1)
                     try:
-                        got = generate(prompt)
+                        got = pool.submit(generate, prompt).result(timeout=limit)
                         break
+                    except TimeoutError:
+                        got = {"done": False, "done_reason": f"no answer in {limit:g} s", "response": ""}
                     except Exception as e:  # noqa: BLE001  reported as a row
                         got = {"done": False, "done_reason": f"{type(e).__name__}: {e}", "response": ""}
-                out.append((batch, sha, bool(got["done"]), got["done_reason"], got["response"]))
-            yield pd.DataFrame(out, columns=["batch", "request_sha256", "done", "done_reason", "response"])
+                    finally:
+                        pool.shutdown(wait=False, cancel_futures=True)
+                out.append((batch, sha, bool(got["done"]), got["done_reason"], got["response"], attempt + 1))
+            yield pd.DataFrame(out, columns=["batch", "request_sha256", "done", "done_reason", "response", "attempts"])
 
-    return requests.select("batch", "request_sha256", "prompt").mapInPandas(run, "batch long, request_sha256 string, done boolean, done_reason string, response string")
+    return requests.select("batch", "request_sha256", "prompt").mapInPandas(run, "batch long, request_sha256 string, done boolean, done_reason string, response string, attempts int")
+
+
+def fit_check(requests: DataFrame, answer: int, context: int, largest_ratio: float | None = None) -> DataFrame:
+    """(batch, characters, tokens, fits): whether a prompt and an answer of so many tokens fit the context, by the largest
+    observed ratio of tokens to characters, or the usual upper estimate."""
+    tokens = T.fitted_budget(F.col("prompt"), F.lit(largest_ratio).cast("double"))
+    return requests.select("batch", F.length("prompt").alias("characters"), tokens.alias("tokens"), (tokens + answer <= context).alias("fits"))
+
+
+def observed_ratio(responses: DataFrame) -> float | None:
+    """The largest ratio of tokens to characters in (prompt, prompt_tokens) rows; fewer than one token for eight characters
+    is no count of the whole prompt and is left out."""
+    ratio = F.col("prompt_tokens") / F.length("prompt")
+    return responses.filter((F.length("prompt") > 0) & (ratio >= 1 / 8)).agg(F.max(ratio)).first()[0]
+
+
+def coverage_gate(batched: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row (documents, missing, repeated, foreign, covered): whether each document stands in just one batch."""
+    n = batched.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = documents.select("doc_id", F.lit(1).alias("due")).join(n, "doc_id", "full_outer")
+    rows = rows.agg(
+        F.count("due").alias("documents"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("due").isNull()).alias("foreign"),
+    )
+    return rows.withColumn("covered", (F.col("missing") == 0) & (F.col("repeated") == 0) & (F.col("foreign") == 0))
 
 
 def outstanding(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -242,8 +353,14 @@ def response_audit(responses: DataFrame, members: DataFrame, pattern: str = r"\b
     return rows.select("batch", F.size(F.array_intersect(named, own)).alias("own"), F.size(F.array_except(named, own)).alias("foreign"), T.count_words(F.col("response")).alias("words"))
 
 
-def identity_gate(found: Mapping[str, str], recorded: Mapping[str, str]) -> None:
-    """Stops if a model's tag or digests differ from those on record."""
-    wrong = [k for k, v in recorded.items() if not str(found.get(k, "")).startswith(str(v))]
+def identity_gate(found: Mapping[str, object], recorded: Mapping[str, str], prefixes: Sequence[str] = ("digest",)) -> None:
+    """Stops if a model differs from the one on record: a field named in ``prefixes`` must begin with the recorded value, a
+    list must hold it, any other field must equal it."""
+    wrong = []
+    for k, v in recorded.items():
+        have = found.get(k)
+        same = v in have if isinstance(have, (list, tuple, set)) else str(have or "").startswith(v) and bool(v) if k in prefixes else have == v
+        if not same:
+            wrong.append(k)
     if wrong:
         raise IntegrityError(f"the model differs from the one on record in {wrong}")

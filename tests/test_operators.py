@@ -65,8 +65,11 @@ def test_invariants_raise(spark):
         R.cohen_kappa(spark.createDataFrame([(1, None)], "x int, y int"))
     with pytest.raises(R.IntegrityError):
         R.require_columns(once, ["absent"])
-    with pytest.raises(R.IntegrityError):
-        IO.identity_gate({"tag": "a"}, {"tag": "b"})
+    on_record = {"tag": "m:7b", "digest": "abc", "layers": "sha256:1"}
+    IO.identity_gate({"tag": "m:7b", "digest": "abcdef", "layers": ["sha256:0", "sha256:1"]}, on_record)
+    for found in ({"tag": "m:7", "digest": "abcdef", "layers": ["sha256:1"]}, {"tag": "m:7b", "digest": "ab", "layers": ["sha256:1"]}, {"tag": "m:7b", "digest": "abc", "layers": []}, {"tag": "m:7b"}):
+        with pytest.raises(R.IntegrityError):
+            IO.identity_gate(found, on_record)
 
 
 def test_reference_heading_keys(spark):
@@ -96,9 +99,13 @@ def test_similar_pairs_equal_brute_force(spark):
 
 def test_phrase_merge_is_greedy_from_the_left(spark):
     words = ["a", "b", "c", "x", "a", "b"]
-    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "doc_id long, pos int, token string")
+    rows = [(1, len(words), i, w, x) for i, (w, x) in enumerate(zip(words, [*words[1:], None], strict=True))]
+    tokens = spark.createDataFrame(rows, "doc_id long, n int, pos int, token string, next string")
     phrases = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
-    assert [r["token"] for r in V.merge_phrases(tokens, phrases).orderBy("pos").collect()] == ["a_b", "c", "x", "a_b"]
+    merged = V.merge_phrases(tokens, phrases)
+    assert [(r["n"], r["token"], r["next"]) for r in merged.orderBy("pos").collect()] == [(4, "a_b", "c"), (4, "c", "x"), (4, "x", "a_b"), (4, "a_b", None)]
+    again = V.restopped(merged, ["x", "c"])
+    assert [(r["n"], r["pos"], r["token"], r["next"]) for r in again.collect()] == [(1, 0, "a_b", None)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -135,7 +142,8 @@ def test_generation_retries_and_audit(spark):
             raise RuntimeError("no")
         return {"done": True, "done_reason": "stop", "response": "names 1 and 99"}
 
-    got = IO.generated(req, stub)
+    got = IO.generated(req, stub, wait=0.01)
+    assert {r["batch"]: r["attempts"] for r in got.collect()} == {0: 1, 1: 3}
     assert tuple(IO.completion_gate(req, got).first()) == (2, 1, False)
     audit = IO.response_audit(got.filter("done"), spark.createDataFrame([(0, [1, 2])], "batch long, members array<long>")).first()
     assert (audit["own"], audit["foreign"], audit["words"]) == (1, 1, 4)
@@ -159,3 +167,170 @@ def test_evenly_spaced_and_final_candidates(spark):
     assert [r["i"] for r in V.evenly_spaced(rows, "k", "i", 5).orderBy("i").collect()] == [0, 2, 5, 7, 10]
     assert P.final_candidates(11, range(2, 13)) == [7, 8, 10, 11, 12]
     assert P.unique_keywords([(0, "a", 2.0), (0, "b", 1.0), (1, "a", 3.0), (1, "c", 0.5)], 1) == [(0, "a"), (1, "c")]
+
+
+def containing(passages, docs):
+    return sorted((i, d) for i, p in passages for d, t in docs if p is not None and t is not None and p in t)
+
+
+def test_containment_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "ee", "longer", "words"]
+    docs = [(d, " ".join(rng.choice(words, rng.integers(0, 40)))) for d in range(60)] + [(98, None), (99, ""), (97, '("aa bb cc", said\n\tdd  ee.')]
+    passages = []
+    for i in range(80):  # pieces that start and end anywhere
+        text = docs[int(rng.integers(0, 60))][1]
+        a = int(rng.integers(0, max(1, len(text))))
+        passages.append((i, text[a : a + int(rng.integers(0, 60))]))
+    passages += [(100, None), (101, ""), (102, "aa"), (103, "bb cc"), (104, "a bb cc dd e"), (105, "cc\", said\n\tdd"), (106, " "), (107, "aa bb cc"), (107, "aa bb cc")]
+    p, t = spark.createDataFrame(passages, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(set(containing(passages, docs)))
+    assert sorted(map(tuple, R.containment(p, t).collect())) == want
+    assert sorted(map(tuple, R.containment(p, t, words=2, short=1).collect())) == want
+    assert R.containment(p.limit(0), t).count() == 0 and R.containment(p, t.limit(0)).count() == 0
+
+
+def test_aliases_are_replaced_once_and_longest_first(spark):
+    to = {"of the": "OF_THE", "of": "x", "the cat": "y", "a.b": "of"}
+    rows = spark.createDataFrame([("of the of the cat; often of_the a.b aXb \ue000 of",), (None,), ("",)], "t string")
+    got = [r[0] for r in rows.select(R.replace_aliases(F.col("t"), to)).collect()]
+    assert got == ["OF_THE OF_THE cat; often of_the of aXb \ue000 x", None, ""]
+
+
+def test_tokenizers(spark):
+    text = "The Cats, 2nd wives! www.x.org/y a@b.org re-use the theories bus cat cats 10.1234/ab the_cats 3dprint"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = [r[0] for r in rows.select(T.tokens(F.col("t"), ["the", "bus", "cat"], lemma=T.noun_lemma())).collect()]
+    assert got == [["wive", "use", "theory", "the_cats", "dprint"], None, []]
+    plain = rows.select(T.tokens(F.col("t"), ["the"], aliases={"cats": "felines"})).first()[0]
+    assert plain == ["felines", "wives", "use", "theories", "bus", "cat", "felines", "the_cats", "dprint"]
+    first = T.tokens_with_aliases(F.col("t"), [(r"\\bn[ -]?f[ -]?ts?\\b".replace("\\\\", "\\"), " nft ")], {"e_mail": "email"}, ["the"], lemma=T.noun_lemma())
+    rows = spark.createDataFrame([("The NFTs, e-mail and/or a / b 12.5 doi: 10.1/x state-of-the-art 'tis -- ab",)], "t string")
+    assert rows.select(first).first()[0] == ["nft", "email", "and", "state_of_the_art", "tis"]
+
+
+def test_unicode_and_broken_words(spark):
+    rows = spark.createDataFrame([("ﬁnan-\n  cial Ｃrime soft\u00adhyphen A-\nB x1-\ny",), (None,), ("plain",)], "t string")
+    got = [r[0] for r in rows.select(T.clean_unicode(F.col("t"))).collect()]
+    assert got == ["financial Crime softhyphen A-\nB x1-\ny", None, "plain"]
+
+
+def test_shown_terms(spark):
+    rules = T.DisplayRules(fragments=["xx"], exact=["gone"], noise=["noise"], stop=["and", "of"], hidden_single=["alone"], single=["nft", "alone", "kept"], canonical={"nfts": "NFT", "smart contract": "smart contracts"})
+    terms = ["nfts", "kept", "other", "alone", "smart_contract", "a_xx_b", "gone", "some_noise", "and_of", "ab", "vr_set", "", None]
+    rows = spark.createDataFrame([(t,) for t in terms], "t string")
+    got = [r[0] for r in rows.select(T.displayable(F.col("t"), rules)).collect()]
+    assert got == [True, True, False, False, True, False, False, False, False, False, True, False, False]
+    keys = rows.select(T.readable_term(F.col("t"), rules.canonical), T.family_key(F.col("t"), rules.canonical, {"smart contracts": "contract"})).collect()
+    assert tuple(keys[0]) == ("NFT", "nft") and tuple(keys[4]) == ("smart contracts", "contract") and tuple(keys[10]) == ("vr set", "vr set")
+
+
+def test_wrapped_lines_and_unique_keywords_equal_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("w" * int(n) for n in rng.integers(1, 14, rng.integers(0, 30))) for _ in range(40)]
+
+    def plain(t, width):
+        lines = []
+        for w in t.split():
+            if lines and len(lines[-1]) + 1 + len(w) <= width:
+                lines[-1] += " " + w
+            else:
+                lines.append(w)
+        return lines
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(T.wrapped(F.col("t"), 20)).collect()] == [plain(t, 20) for t in texts]
+
+
+def test_kappa_and_agreement_equal_plain_counts(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 4, 200), rng.integers(0, 4, 200)
+    rows = spark.createDataFrame([(int(a), int(b), int(a) % 2) for a, b in zip(x, y, strict=True)], "x int, y int, k int")
+    for quadratic in (False, True):
+        d = (np.arange(4)[:, None] - np.arange(4)) ** 2 if quadratic else 1 - np.eye(4)
+        o = np.zeros((4, 4))
+        np.add.at(o, (x, y), 1)
+        due = np.outer(o.sum(axis=1), o.sum(axis=0)) / 200
+        assert np.isclose(R.cohen_kappa(rows, quadratic).first()[0], 1 - (d * o).sum() / (d * due).sum())
+    got = {r["k"]: (r["n"], r["agree"]) for r in R.agreement(rows, ["k"]).collect()}
+    assert got[None] == (200, float((x == y).mean())) and np.isclose(got[1][1], (x == y)[x % 2 == 1].mean())
+
+
+def test_numbered_rows_and_least_values(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, i % 3) for i in range(1000)], "v int, g int").repartition(7)
+    got = {r["v"]: r["place"] for r in R.numbered(rows, ["v"], "place", 0).collect()}
+    assert got == {i: i for i in range(1000)}
+    least = {r["g"]: r["low"] for r in R.least_of(rows, ["g"], "v", 4, "low").collect()}
+    assert least == {g: sorted(i * 7919 % 1000 for i in range(1000) if i % 3 == g)[:4] for g in range(3)}
+    assert R.numbered(rows.limit(0), ["v"], "place").count() == 0
+
+
+def test_generator_limits_and_gates(spark):
+    import time
+
+    req = spark.createDataFrame([(0, "s", "x" * 100)], "batch long, request_sha256 string, prompt string")
+    slow = IO.generated(req, lambda p: time.sleep(3), retries=1, wait=0.01, limit=0.05).first()
+    assert (slow["done"], slow["attempts"]) == (False, 2) and slow["done_reason"].startswith("no answer")
+    assert tuple(IO.fit_check(req, 10, 50).first()) == (0, 100, 36, True) and not IO.fit_check(req, 10, 50, 0.5).first()["fits"]
+    seen = spark.createDataFrame([("x" * 100, 30), ("x" * 100, 5), ("", 3)], "prompt string, prompt_tokens int")
+    assert IO.observed_ratio(seen) == 0.3 and IO.observed_ratio(seen.limit(0)) is None
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    batched = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 9)], "batch long, doc_id long")
+    assert tuple(IO.coverage_gate(batched, docs).first()) == (5, 3, 1, 1, False)
+    assert IO.coverage_gate(docs.withColumn("batch", F.lit(0)), docs).first()["covered"]
+
+
+def test_record_text_checks_words(spark):
+    docs = spark.createDataFrame([(1, "f", 2, "two words"), (2, "g", 1, "")], "doc_id long, filename string, pages int, text string")
+    due = spark.createDataFrame([(1, 2, 2), (2, 1, 0)], "doc_id long, pages int, words int")
+    assert IO.checked_record_text(docs, due).count() == 1
+    for wrong in (due.withColumn("words", F.lit(2)), due.withColumn("pages", F.lit(1)), due.union(due)):
+        with pytest.raises(R.IntegrityError):
+            IO.checked_record_text(docs, wrong)
+
+
+def test_extractors_are_tried_in_order(spark):
+    files = spark.createDataFrame([("a", bytearray(b"one two three four")), ("b", bytearray(b"few")), ("c", bytearray(b"bad")), ("d", bytearray(b"scan"))], "path string, content binary")
+
+    def first(content):
+        if content in (b"bad", b"scan"):
+            raise ValueError("unreadable")
+        return [content.decode()]
+
+    def second(content):
+        if content == b"bad":
+            raise OSError("gone")
+        return [content.decode(), "more"]
+
+    rows = [tuple(r) for r in IO.extracted(files, [first, second], least=3).orderBy("path", "page").collect()]
+    assert rows == [("a", 1, "one two three four", None, 0), ("b", 1, "few", None, 1), ("b", 2, "more", None, 1), ("c", None, None, "ValueError: unreadable; OSError: gone", None), ("d", 1, "scan", None, 1), ("d", 2, "more", None, 1)]
+    seen = IO.extracted(files.filter("path = 'd'"), first, ocr=lambda c: ["read by eye and more"], least=3).first()
+    assert (seen["text"], seen["by"]) == ("read by eye and more", -1)
+
+
+def test_synthesis_prompt(spark):
+    responses = spark.createDataFrame([(1, "second"), (0, "first")], "batch long, response string")
+    stats = spark.createDataFrame([(3, 7)], "documents long, n_a long")
+    got = E.synthesis(responses, stats, "Write.").first()
+    assert got["prompt"] == "Write.\n\ndocuments: 3\nn_a: 7\n\nBatch 0\nfirst\n\nBatch 1\nsecond"
+    with pytest.raises(R.IntegrityError):
+        E.synthesis(responses, stats, "Write.", most=1)
+
+
+def test_groups_without_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 9)))) for _ in range(120)]
+    texts = []
+    for _ in range(6):
+        own = list(rng.choice(words, 60))
+        for step in range(12):  # copies, each further from the first
+            texts.append(" ".join(own))
+            own[int(rng.integers(0, 60))] = str(rng.choice(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = [(r["a"], r["b"]) for r in S.similar_pairs(docs, 0.93, min_df=1).collect()]
+    root = list(range(len(texts)))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    got = dict(S.near_duplicate_groups(docs, 0.93, min_df=1).collect())
+    assert [got[i] for i in range(len(texts))] == root and 6 <= len(set(root)) < len(texts)
