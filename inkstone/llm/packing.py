@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +40,8 @@ GRAIN = 16
 #: Least share of a sequence that a pattern must fill.
 MIN_FILL = 0.98
 KEPT_WORDS = 400_000
+#: Bytes of text that are encoded together; a longer text by itself.
+TOGETHER = 8 << 20
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Characters whose lower case, normal form and class are the same to all libraries, and stay single.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-įĲ-ňŊ-ž]+")
@@ -46,6 +50,20 @@ _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-įĲ-ňŊ-ž]+")
 # --- tokens -------------------------------------------------------------------------------
 
 
+class Kept(dict):
+    """Words and their ids, made when first asked for; long words are made each time."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(word) <= 256:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of a word-level BPE tokenizer (lower case, word ends, white space dropped). No token spans white
     space, so texts are cut at blanks and line ends, and the ids of words are kept."""
@@ -63,41 +81,49 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(own)]
         self.letters = {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
         self.pieces_of = regex.compile(_PIECE).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(self.word), Kept(self.piece)
 
     def piece(self, s: str) -> bytes:
         mapped = s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(mapped)])
+        ids = [t.id for t in self.tokenize(mapped)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def word(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return self.pieces[w.lower()]  # one piece
         if not w:
             return b""
+        if w[-1] in ".,;:!?" and w.isascii() and w[:-1].isalpha():
+            return self.pieces[w[:-1].lower()] + self.pieces[w[-1]]
         if not _PLAIN.fullmatch(w) or "<|" in w and any(s in w for s in self.special):
             return np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces, out = self.pieces, []
-        for s in self.pieces_of(w.lower()):
-            ids = pieces.get(s)
-            if ids is None:
-                if len(pieces) > KEPT_WORDS:
-                    pieces.clear()
-                ids = pieces[s] = self.piece(s)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(w.lower())))
 
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        kept = self.words
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = self.word(w)
-        out = b"".join(map(kept.__getitem__, words))
-        for w in words if len(words) < 64 else ():
-            if len(w) > 256:
-                kept.pop(w, None)
-        return out
+        for kept in (self.words, self.pieces):
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+    def encode_batch(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids laid end to end, each text's followed by ``end``, and where each text begins (and the last one
+        ends). Each distinct word of the batch is looked up once, and its ids are copied to its places."""
+        for kept in (self.words, self.pieces):
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        known = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        data, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        own = size[place]
+        after = np.cumsum(own)
+        ids = data[np.repeat(first[place] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
+        ends = np.concatenate(([0], after))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
 
 
 @lru_cache(maxsize=2)
@@ -117,13 +143,18 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = encoder(path or vocabulary()), TaskContext.get().partitionId() << 40
+        encode, uid = encoder(path or vocabulary()).encode_batch, TaskContext.get().partitionId() << 40
         for b in batches:
-            ids = [encode(t.as_py() or "") + END.to_bytes(4, "little") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(uid, uid + len(ids)), pa.int64()), b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-            ], ["uid", "doc_id", "n", "ids"])
-            uid += len(ids)
+            texts = pc.fill_null(b.column(1), "")
+            bounds = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(bounds)) + 1).tolist(), b.num_rows]
+            for k, m in zip(cuts, cuts[1:], strict=False):
+                if m == k:
+                    continue
+                ids, at = encode(texts.slice(k, m - k), END)
+                packed = pa.Array.from_buffers(pa.large_binary(), m - k, [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m - k)), b.column(0).slice(k, m - k), pa.array(np.diff(at)), packed], ["uid", "doc_id", "n", "ids"])
+                uid += m - k
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "uid long, doc_id long, n long, ids binary")
