@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import encoding, langid, lines, neighbours, packing, quality, secrets, sharding, simhash, toxicity
+from inkstone.llm import bestfit, encoding, langid, lines, middle, neighbours, packing, quality, runs, secrets, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scanned(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest_columns(middle.transformed(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_columns(runs.repeated(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.digest_columns(bestfit.packed(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_packing, op4_line_dedup, op5_bpe, op6_neighbours, op7_sharding, op8_quality, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_simhash, op3_packing, op4_line_dedup, op5_bpe, op6_neighbours, op7_sharding, op8_quality, op9_toxicity, op10_secrets,
+        op11_fill_middle, op12_periodic_runs, op13_best_fit,
+    )}
 
 
 #: Line dedup: windows of two lines and lines of 50 words, the earliest place of each kept.
@@ -101,5 +116,24 @@ FROM documents d LEFT JOIN counts c ON c.doc_id = d.doc_id LEFT JOIN kept t ON t
 """
 
 
+#: Fill-in-middle: two cuts drawn from the id's hash, and the parts in the order of the form.
+FILL_MIDDLE = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+number AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM drawn),
+formed AS (
+  SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM number),
+part AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM part
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP}
+    return {"op4_line_dedup": LINE_DEDUP, "op11_fill_middle": FILL_MIDDLE}
