@@ -174,7 +174,7 @@ def validation(nodes: DataFrame, edges: DataFrame, relations: Mapping[str, tuple
         allowed = allowed | ((F.col("relation") == name) & (F.col("source_type") == a) & (F.col("target_type") == b))
     count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
     return union_all([
-        count("node ids are unique", nodes.groupBy("id").count().filter("count > 1")),
+        count("node ids are unique", duplicate_ids(nodes)),
         count("nodes have labels", nodes.filter("label IS NULL OR trim(label) = ''")),
         count("edge keys are unique", duplicate_keys(edges)),
         count("no edge is a loop", edges.filter("source = target")),
@@ -221,7 +221,8 @@ class Concepts:
         return out + [(self.hub, i, "converted-into-control", 1.0) for i, _ in self.interventions]
 
 
-#: The types that each relation of a concept graph may join.
+#: The types that each relation of a concept graph may join; names of relations, and the weights and the anchor share used
+#: here, are fixed values.
 CONCEPT_RELATIONS = {
     "topic-threat": ("topic", "threat"), "threat-operates-through-layer": ("threat", "layer"), "modelled-by-signal": ("threat", "signal"),
     "intervention-point": ("threat", "intervention"), "feeds-detection-and-intervention": ("layer", "layer"), "analytical-signal": ("signal", "layer"),
@@ -345,11 +346,29 @@ def _unlike(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def export_validation(nodes: DataFrame, edges: DataFrame, other_nodes: DataFrame, other_edges: DataFrame, name: str) -> DataFrame:
-    """(check, failures): whether an exported graph, read back, has the same nodes and edges, each as often."""
-    key = ["source", "target", "relation"]
+    """(check, failures): whether an exported graph, read back, has the same nodes and edges, each as often, as many of
+    each origin, and the same attributes. An empty text counts as none, and numbers as their text."""
+    key, ends = ["source", "target", "relation"], ["source", "target"]
     differ = lambda a, b, c: a.select(*c).exceptAll(b.select(*c)).unionAll(b.select(*c).exceptAll(a.select(*c)))
     count = lambda what, df: df.agg(F.lit(f"{name}: {what}").alias("check"), F.count("*").alias("failures"))
-    return union_all([count("nodes agree", differ(nodes, other_nodes, ["id"])), count("edges agree", differ(edges, other_edges, key))])
+    plain = lambda df, c: df.select(*[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in c])
+    same = lambda what, a, b, c: count(what, differ(plain(a, c), plain(b, c), c))
+    known = lambda a, b: [c for c in a.columns if c in b.columns]
+    lost = lambda a, b: nodes.sparkSession.createDataFrame([(c,) for c in a.columns if c not in b.columns], "c string")
+    origins = lambda df: df.groupBy("origin").agg(F.count("*").alias("n"))
+    return union_all([
+        count("nodes agree", differ(nodes, other_nodes, ["id"])), count("edges agree", differ(edges, other_edges, key)),
+        count("ends of edges are nodes", dangling(other_nodes, other_edges)), count("node ids are unique", duplicate_ids(other_nodes)), count("edge keys are unique", duplicate_keys(other_edges)),
+        count("origins agree", differ(origins(edges), origins(other_edges), ["origin", "n"])),
+        same("node attributes agree", nodes, other_nodes, known(nodes, other_nodes)), same("edge attributes agree", edges, other_edges, known(edges, other_edges)),
+        count("no node attribute is missing", lost(nodes, other_nodes)), count("no edge attribute is missing", lost(edges, other_edges)),
+        count("numbers of nodes and edges agree", nodes.agg(F.count("*").alias("n")).join(other_nodes.agg(F.count("*").alias("m")), F.lit(True)).filter("n <> m").select("n").union(
+            edges.select(*ends).agg(F.count("*").alias("n")).join(other_edges.agg(F.count("*").alias("m")), F.lit(True)).filter("n <> m").select("n"))),
+    ])
+
+
+def duplicate_ids(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def content_hash(rows: DataFrame, name: str) -> DataFrame:

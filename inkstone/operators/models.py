@@ -13,6 +13,7 @@ not depend on how rows are partitioned, but for rounding in the order of sums.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -239,9 +240,10 @@ def _scalar_newton(eta: float, k: int, v: int, logs: float) -> float:
     return eta
 
 
-def fit_all(rows: DataFrame, settings: Sequence[TopicSettings], terms: int) -> list[TopicModel]:
+def fit_all(rows: DataFrame, settings: Sequence[TopicSettings], terms: int, done: Callable[[int, TopicModel], None] | None = None) -> list[TopicModel]:
     """A model of the units (``unit_rows``) for each of ``settings``. The bound of a model's topics comes with the pass
-    that updates them next, so the trace costs no pass of its own; models that are done leave the passes."""
+    that updates them next, so the trace costs no pass of its own; models that are done leave the passes, and are given to
+    ``done`` with their number."""
     models = [initial(s, terms) for s in settings]
     live = list(range(len(models)))
     updates = [0] * len(models)
@@ -258,6 +260,8 @@ def fit_all(rows: DataFrame, settings: Sequence[TopicSettings], terms: int) -> l
                 m.converged = len(m.trace) > 1 and abs(m.trace[-2]["perplexity"] - m.trace[-1]["perplexity"]) < s.tolerance
             if m.converged or updates[i] >= s.iterations or not tokens:
                 live.remove(i)
+                if done is not None:
+                    done(i, m)
                 continue
             if s.learn_alpha:
                 m.alpha = _newton(m.alpha, units, part[3:])
@@ -348,33 +352,129 @@ def _paths(spark: SparkSession, path: str):
     return here.getFileSystem(spark._jsc.hadoopConfiguration()), here, spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
 
 
+class FitStore:
+    """Models by what they depend on: a digest of the settings, of the units - whatever their order - and of ``salt``, such
+    as the code's. Each is saved when its fit ends, so a run that was cut short fits only what it hadn't."""
+
+    def __init__(self, spark: SparkSession, folder: str, salt: str = ""):
+        self.spark, self.folder, self.salt = spark, folder, salt
+        #: How many models were fitted, and how many were found.
+        self.fitted = self.found = 0
+
+    def path(self, data: str, s: TopicSettings, terms: int) -> str:
+        key = json.dumps([self.salt, data, asdict(s), terms], sort_keys=True)
+        return f"{self.folder}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+
+    def fit_all(self, rows: DataFrame, settings: Sequence[TopicSettings], terms: int) -> list[TopicModel]:
+        """``fit_all``, with the models that are stored left out of the passes."""
+        units = rows.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "unit", "terms", "counts").cast("decimal(38,0)"))).first()
+        paths = [self.path(f"{units[0]} {units[1]}", s, terms) for s in settings]
+        have: dict[str, TopicModel] = {}
+        for path in dict.fromkeys(paths):
+            model = stored(self.spark, path)
+            if model is not None:
+                have[path] = model
+        self.found += len(have)
+        missing = {path: s for path, s in zip(paths, settings, strict=True) if path not in have}
+        names = list(missing)
+
+        def keep(i: int, model: TopicModel) -> None:
+            save(self.spark, model, names[i])
+            have[names[i]] = model
+            self.fitted += 1
+
+        if missing:
+            fit_all(rows, list(missing.values()), terms, keep)
+        return [have[path] for path in paths]
+
+
+def stored(spark: SparkSession, path: str) -> TopicModel | None:
+    """The model saved at ``path``; None where there is none, or one that can't be read."""
+    fs, here, _ = _paths(spark, path)
+    if not fs.exists(here):
+        return None
+    try:
+        return load(spark, path)
+    except Exception as e:  # noqa: BLE001  reported, and fitted again
+        print(f"unreadable model at {path}, fitted again: {type(e).__name__}")
+        return None
+
+
 def save_or_load(spark: SparkSession, path: str, make: Callable[[], TopicModel]) -> TopicModel:
     """The model saved at ``path``, or a new one, saved there. One that stands there but can't be read is made anew;
     errors in making one are not hidden."""
-    fs, here, _ = _paths(spark, path)
-    if fs.exists(here):
-        try:
-            return load(spark, path)
-        except Exception as e:  # noqa: BLE001  reported, and fitted again
-            print(f"unreadable model at {path}, fitted again: {type(e).__name__}")
-    model = make()
-    save(spark, model, path)
+    model = stored(spark, path)
+    if model is None:
+        model = make()
+        save(spark, model, path)
     return model
 
 
+#: Occurrences of which the windows are counted together.
+SWEPT = 4096
+
+
+def swept(at: np.ndarray, term: np.ndarray, first: int, last: int, window: int, terms: int) -> np.ndarray:
+    """In how many windows with a start from ``first`` to ``last`` each pair of terms occurs, a term with itself on the
+    diagonal, from occurrences (place, term). An occurrence is in the windows that start at most ``window`` - 1 before it: a
+    term's windows are a union of intervals of starts, and a pair's are where two unions meet. Between the intervals' ends
+    all windows hold the same terms, so one matrix product over the stretches between them counts all pairs."""
+    low, high = np.maximum(at - window + 1, first), np.minimum(at, last) + 1
+    ok = low < high
+    low, high, term = low[ok], high[ok], term[ok]
+    edges = np.unique(np.concatenate((low, high)))
+    if not len(edges):
+        return np.zeros((terms, terms))
+    own, term = np.unique(term, return_inverse=True)
+    change = np.zeros((len(edges), len(own)), np.int32)
+    np.add.at(change, (np.searchsorted(edges, low), term), 1)
+    np.add.at(change, (np.searchsorted(edges, high), term), -1)
+    there = (np.cumsum(change, axis=0)[:-1] > 0).astype(np.float64)
+    out = np.zeros((terms, terms))
+    out[np.ix_(own, own)] = there.T @ (there * np.diff(edges)[:, None])
+    return out
+
+
 def window_counts(tokens: DataFrame, terms: Sequence[str], window: int) -> tuple[dict, dict, int]:
     """In how many windows of so many tokens each term, and each pair of terms, occurs; and how many windows there are.
-    A text shorter than a window is one window. Only rows of ``terms`` leave the first stage."""
-    spark = tokens.sparkSession
+    A text shorter than a window is one window. Only occurrences of ``terms`` leave the first stage, one row each; a task
+    sweeps over them in order and brings one matrix of terms by terms."""
+    spark, names = tokens.sparkSession, sorted(set(terms))
     total = tokens.filter("pos = 0").agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(1)))).first()[0] or 0
-    side = F.broadcast(spark.createDataFrame([(t,) for t in sorted(set(terms))], "token string"))
-    rows = tokens.join(side, "token")  # the lists' terms
-    last = F.greatest(F.col("n") - window, F.lit(0))
-    starts = F.sequence(F.greatest(F.col("pos") - window + 1, F.lit(0)).cast("int"), F.least(F.col("pos"), last).cast("int"))
-    sets = rows.select("doc_id", "token", F.explode(starts).alias("s")).groupBy("doc_id", "s").agg(F.array_sort(F.collect_set("token")).alias("t"))
-    single = dict(sets.select(F.explode("t").alias("x")).groupBy("x").count().collect())  # no more rows than terms
-    pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    joint = {(r["a"], r["b"]): r["count"] for r in sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").count().collect()}  # terms squared
+    side = F.broadcast(spark.createDataFrame([(t, k) for k, t in enumerate(names)], "token string, __k int"))
+    rows = tokens.join(side, "token").select("doc_id", F.col("pos").cast("long").alias("pos"), F.greatest(F.col("n") - window, F.lit(0)).cast("long").alias("last"), "__k")  # the lists' terms
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(names), len(names)))
+        doc, first = None, 0
+        at, term, end = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for b in batches:
+            ids = b.column(0)
+            code = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            pos, last, k = (b.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if doc is None or ids[i].as_py() != doc[0]:
+                    sums += swept(at, term, first, end, window, len(names))
+                    doc, first, at, term = (ids[i].as_py(),), 0, at[:0], term[:0]
+                at, term, end = np.concatenate((at, pos[i:j])), np.concatenate((term, k[i:j])), int(last[i])
+                while len(at) > SWEPT:  # windows that start before the next occurrence's first one are complete
+                    upto = int(at[SWEPT]) - window
+                    if upto < first:
+                        break
+                    sums += swept(at[:SWEPT], term[:SWEPT], first, min(upto, end), window, len(names))
+                    first = upto + 1
+                    at, term = at[at >= first], term[at >= first]
+        sums += swept(at, term, first, end, window, len(names))
+        x, y = np.nonzero(np.triu(sums))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(sums[x, y])], ["a", "b", "n"])
+
+    found = rows.mapInArrow(run, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # terms squared
+    single = {names[a]: int(n) for a, b, n in found if a == b}
+    joint = {(names[a], names[b]): int(n) for a, b, n in found if a != b}
     return single, joint, int(total)
 
 
@@ -470,13 +570,13 @@ class Variant:
     change: Mapping[str, object] = field(default_factory=dict)
 
 
-def sensitivity(base: TopicModel, base_theta: DataFrame, variants: Sequence[Variant], seeds: Sequence[int], terms: int) -> tuple[list[dict], dict[tuple[str, int], np.ndarray]]:
+def sensitivity(base: TopicModel, base_theta: DataFrame, variants: Sequence[Variant], seeds: Sequence[int], terms: int, fits: Callable[..., list[TopicModel]] = fit_all) -> tuple[list[dict], dict[tuple[str, int], np.ndarray]]:
     """A row for each variant and seed - how alike its topics are to the base's, matched, and how far the documents'
     aligned weights and the prevalence move - and the topics by (variant, seed). ``base_theta``: (doc_id, topic, w)."""
     rows, phis = [], {}
     reference = phi_matrix(base)
     for v in variants:
-        models = fit_all(v.training, [replace(base.settings, **{**v.change, "seed": seed}) for seed in seeds], terms)
+        models = fits(v.training, [replace(base.settings, **{**v.change, "seed": seed}) for seed in seeds], terms)
         for seed, model in zip(seeds, models, strict=True):
             phis[v.name, seed] = phi_matrix(model)
             to, similarity, overlap = matched_topics(reference, phis[v.name, seed])

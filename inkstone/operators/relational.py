@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -145,8 +146,80 @@ def list_jaccard(a: Column, b: Column) -> Column:
 
 
 def competition_rank(rows: DataFrame, score: str, out: str = "rank", by: Sequence[str] = ()) -> DataFrame:
-    """Equal scores share the smallest rank, the highest score first."""
-    return rows.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
+    """``rows`` with their rank in their group: equal scores share the smallest rank, the highest score first, null last.
+
+    No group or score is gathered: rows are dealt by ranges of (by, score), equal ones over several ranges if they are
+    many, and written once. A row's rank is that in its range, and the rows of its group in the ranges before, less those
+    of its own score there; the latter are carried from range to range in a table of a few numbers a range and group."""
+    by, parts = list(by), "__p"
+    rows = rows.withColumn("__s", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = rows.repartitionByRange(*by, F.desc_nulls_last(score), "__s").withColumn(parts, F.spark_partition_id()).drop("__s")
+    here = Window.partitionBy(*by, parts).orderBy(F.desc_nulls_last(score))
+    dealt = written(dealt.withColumn("__r", F.rank().over(here)), "ranked")
+    ends = dealt.groupBy(*by, parts, score).agg(F.count("*").alias("c"), F.min("__r").alias("r"))
+    pick = lambda f: f(F.struct("r", F.struct(F.col(score).alias("v"), "c").alias("x")))
+    ends = ends.groupBy(*by, parts).agg(F.sum("c").alias("n"), pick(F.min)["x"].alias("head"), pick(F.max)["x"].alias("tail"))
+    ends = ends.withColumn("v", F.col("tail.v"))
+    # rows of a range's last score up to and with it; scores fall, so these stand in ranges side by side
+    ends = ends.withColumn("run", F.sum("tail.c").over(Window.partitionBy(*by, "v").orderBy(parts).rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*by).orderBy(parts)
+    ends = ends.withColumns({
+        "__o": F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__t": F.when(F.lag("v").over(before).eqNullSafe(F.col("head.v")), F.lag("run").over(before)).otherwise(F.lit(0)),
+        "__v": F.col("head.v"),
+    })
+    ends = ends.select(*[F.col(c).alias(f"__by_{k}") for k, c in enumerate(by)], F.col(parts).alias("__q"), "__o", "__t", "__v")
+    same = F.col(parts) == F.col("__q")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{k}"))
+    own = F.col("__r") + F.col("__o") - F.when(F.col(score).eqNullSafe(F.col("__v")), F.coalesce("__t", F.lit(0))).otherwise(F.lit(0))
+    return dealt.join(ends, same).withColumn(out, own.cast("long")).drop(parts, "__r", "__q", "__o", "__t", "__v", *[f"__by_{k}" for k in range(len(by))])
+
+
+#: Distinct values of which the driver reads off one by its rank.
+FEW_VALUES = 4096
+
+
+def value_at(rows: DataFrame, column: str, rank: int) -> tuple[float, int]:
+    """The value of a rank, from 0, among a column's values, and how many are no larger. A sketch of the values - sums of
+    counts, combined before they are sent - gives two near the rank; a second pass counts what is below each. Unless it is
+    one of the two, the same is done with those between them, some thousandth of all, until few unlike ones are left."""
+    values, below, left = rows.select(F.col(column).alias("v")), 0, rows.count()
+    while True:
+        few = values.groupBy("v").agg(F.count("*").alias("c")).limit(FEW_VALUES + 1).collect()
+        own = rank - below
+        if len(few) <= FEW_VALUES:
+            for v, c in sorted(map(tuple, few)):
+                if own < c:
+                    return v, below + c
+                own, below = own - c, below + c
+            raise IntegrityError(f"no value has rank {rank}")
+        shares = [max(0.0, own / left - 0.0005), min(1.0, own / left + 0.0005)]  # the sketch is off by a ten-thousandth
+        a, b = values.agg(F.percentile_approx("v", shares, 10_000)).first()[0]
+        v = F.col("v")
+        under_a, upto_a, under_b, upto_b = values.agg(*[F.count_if(x) for x in (v < a, v <= a, v < b, v <= b)]).first()
+        for x, under, upto in ((a, under_a, upto_a), (b, under_b, upto_b)):
+            if under <= own < upto:
+                return x, below + upto
+        if own < under_a:
+            values, left = values.filter(v < a), under_a
+        elif own < under_b:
+            values, below, left = values.filter((v > a) & (v < b)), below + upto_a, under_b - upto_a
+        else:
+            values, below, left = values.filter(v > b), below + upto_b, left - upto_b
+
+
+def exact_quantile(rows: DataFrame, column: str, q: float) -> float | None:
+    """The ``q`` quantile of a column's values, nulls left out: between the two nearest ones in proportion; None if there
+    are none. No task or driver holds more than ``FEW_VALUES`` of them. ``rows`` is read several times."""
+    values = rows.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    n = values.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low, upto = value_at(values, "v", math.floor(at))
+    high = low if math.ceil(at) < upto else values.filter(F.col("v") > low).agg(F.min("v")).first()[0]
+    return low + (at - math.floor(at)) * (high - low)
 
 
 def best_row(rows: DataFrame, order: Sequence[Column]) -> DataFrame:

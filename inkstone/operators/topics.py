@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import measures as M
-from inkstone.operators.relational import IntegrityError, numbered
+from inkstone.operators.relational import IntegrityError, exact_quantile, numbered
+from inkstone.storage import written
 
 
 # --- document weights -----------------------------------------------------------------------
@@ -106,10 +107,12 @@ def influence(theta: DataFrame) -> DataFrame:
 
 
 def diagnostics(theta: DataFrame) -> DataFrame:
-    """One row: mean and median entropy of documents, and the least dominant weight."""
+    """One row: mean and median entropy of documents, and the least dominant weight. The median is exact, and found by
+    counts."""
     h = F.sum(F.when(F.col("w") > 0, -F.col("w") * F.log("w")).otherwise(0.0))
-    docs = theta.groupBy("doc_id").agg(h.alias("h"), F.max("w").alias("top"))
-    return docs.agg(F.avg("h").alias("mean_entropy"), F.percentile("h", F.lit(0.5)).alias("median_entropy"), F.min("top").alias("least_dominant"))
+    docs = written(theta.groupBy("doc_id").agg(h.alias("h"), F.max("w").alias("top")), "entropy")
+    median = F.lit(exact_quantile(docs, "h", 0.5)).cast("double")
+    return docs.agg(F.avg("h").alias("mean_entropy"), median.alias("median_entropy"), F.min("top").alias("least_dominant"))
 
 
 def representative_documents(theta: DataFrame, limit: int = 3) -> DataFrame:

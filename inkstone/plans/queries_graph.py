@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.operators import evidence as E
 from inkstone.operators import graph as H
+from inkstone.operators import patterns as X
 from inkstone.operators import relational as R
 from inkstone.operators import similarity as S
 from inkstone.plans.catalog import DIMENSIONS, GROUPS, LEXICON, RULES, query, r6, table
 from inkstone.plans.queries_corpus import GROUPED, SCORED
 from inkstone.sources import tables as IO
+from inkstone.storage import scratch
 from inkstone.streaming import evidence as ST
 
 # --- joins ------------------------------------------------------------------------------------
@@ -355,6 +357,73 @@ def graphml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part", "n", F.regexp_extract("value", "^<[^>]*>", 0).alias("head"))
 
 
+def exported_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
+    """The concept graph, and its GraphML and CSV exports read back."""
+    nodes, edges, _ = concept_graph(spark, sf_dir)
+    path = scratch(spark, "exports")
+    IO.write_graphml(nodes, edges, f"{path}/graph.graphml")
+    IO.write_csv(nodes, f"{path}/nodes")
+    IO.write_csv(edges, f"{path}/edges")
+    return nodes, edges, {"graphml": IO.read_graphml(spark, f"{path}/graph.graphml"), "csv": (IO.csv_table(spark, f"{path}/nodes"), IO.csv_table(spark, f"{path}/edges"))}
+
+
+@query(f"WITH {CONCEPT_EDGES} SELECT x.export, relation, origin, count(*) AS n, round(sum(weight), 4) AS weight FROM concept, (VALUES ('csv'), ('graphml')) x(export) GROUP BY ALL")
+def graph_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exports of the graph hold, by relation."""
+    found = exported_graphs(spark, sf_dir)[2]
+    return H.union_all([e.groupBy(F.lit(name).alias("export"), "relation", "origin").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("weight")) for name, (_, e) in found.items()])
+
+
+@query(f"""WITH {CONCEPT_EDGES} SELECT 'edges in all' AS "check", (SELECT count(*) FROM concept) AS failures UNION ALL SELECT x.name || ': ' || c.what, 0 FROM (VALUES ('csv'), ('graphml')) x(name),
+  (VALUES ('nodes agree'), ('edges agree'), ('ends of edges are nodes'), ('node ids are unique'), ('edge keys are unique'), ('origins agree'), ('node attributes agree'), ('edge attributes agree'), ('no node attribute is missing'),
+   ('no edge attribute is missing'), ('numbers of nodes and edges agree')) c(what)""")
+def export_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exports held against the graph; a test gives each check an export to fail on."""
+    nodes, edges, found = exported_graphs(spark, sf_dir)
+    every = edges.agg(F.lit("edges in all").alias("check"), F.count("*").alias("failures"))
+    return H.union_all([every, *[H.export_validation(nodes, edges, n, e, name) for name, (n, e) in found.items()]])
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS total FROM documents),
+l AS (SELECT CAST(k * 8 // total AS INT) AS part, k, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' || chr(10) AS line FROM o)
+SELECT part, sum(length(line)) AS bytes, sha256(string_agg(line, '' ORDER BY k)) AS sha256 FROM l GROUP BY part""")
+def canonical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the bytes of a table's files, which follow from its rows alone."""
+    path = scratch(spark, "canonical")
+    IO.write_canonical(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "lang"), ["doc_id"], path)
+    return IO.file_digests(spark, path)
+
+
+# --- rules of several patterns ------------------------------------------------------------------------
+
+#: Rules of one to three patterns; some need no string, or one of several.
+PATTERN_RULES = {
+    "license": ["license", "permission|copyright"], "secret": [r"(?:password|token|secret)s?\s*[:=]", r"[0-9]"], "numbers": [r"[0-9]{3}", r"[a-z]{12}"],
+    "german": [r"\bund\b", r"\bder\b", "die"], "sentence": [r"the\s+of"], "absent": ["no such phrase", "the"],
+}
+_FLAT = r"regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')"
+
+
+@query("WITH flat AS (SELECT doc_id, " + _FLAT + " AS t FROM documents) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, doc_id FROM flat WHERE " + " AND ".join(f"regexp_matches(t, '{p}', 'i')" for p in patterns) for name, patterns in PATTERN_RULES.items()
+))
+def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of which every pattern matches a document."""
+    return X.conjunctions(table(spark, sf_dir, "documents"), PATTERN_RULES)
+
+
+@query(rf"""WITH flat AS (SELECT doc_id, {_FLAT} AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract(t, '[a-z]{{4,}}') AS a, regexp_extract(t, '[A-Z][a-z]+') AS b FROM flat)
+SELECT doc_id, regexp_matches(t, a || '\S*\s', 'i') AS first, regexp_matches(t, ' ' || b || '[^0-9]', 'i') AS second, regexp_matches(t, 'the\s+of', 'i') AS third,
+  regexp_matches(t, a || '\S*\s', 'i') AND regexp_matches(t, ' ' || b || '[^0-9]', 'i') AND regexp_matches(t, 'the\s+of', 'i') AS all_found FROM w""")
+def cited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against patterns made of its own words: its first of four letters, its first capitalized one, and a phrase."""
+    docs = table(spark, sf_dir, "documents")
+    flat = X.flattened(F.col("text"))
+    patterns = F.array(F.concat(F.regexp_extract(flat, "[a-z]{4,}", 0), F.lit(r"\S*\s")), F.concat(F.lit(" "), F.regexp_extract(flat, "[A-Z][a-z]+", 0), F.lit("[^0-9]")), F.lit(r"the\s+of"))
+    found = X.cited(docs, docs.select(F.col("doc_id").alias("target"), "doc_id", patterns.alias("patterns")))
+    return found.select("doc_id", *[F.col("hits")[k].alias(n) for k, n in enumerate(("first", "second", "third"))], "all_found")
+
+
 # --- duplicates, records, events ------------------------------------------------------------------
 
 
@@ -383,6 +452,29 @@ def header_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "filename", "pages", "words", F.sha2(body, 256).alias("body"))
 
 
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS filename, CAST(n_chars % 40 AS INT) AS pages,
+  len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS body FROM documents WHERE trim(text) <> ''""")
+def header_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of header blocks, and read again by ranges of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), (F.col("n_chars") % 40).cast("int").alias("pages"), "text")
+    path = scratch(spark, "records")
+    IO.write_records(docs, path)
+    rulers = F.regexp_replace(F.regexp_replace("text", r"^=+\n", ""), r"\n=+$", "")  # its own, and the next record's
+    body = F.btrim(rulers, F.lit(" \t\n\r\x0b\x0c"))
+    return IO.read_records(spark, path).select("doc_id", "filename", "pages", "words", F.sha2(body, 256).alias("body"))
+
+
+@query("""SELECT CASE WHEN doc_id % 3 <> 0 THEN 'X' || doc_id ELSE 'D' || substr(sha256(text), 1, 12) END AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id || '.pdf' ELSE '' END AS filename,
+  sha256(text) AS sha256, length(text) AS n FROM documents""")
+def json_line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines, ids and names left out of some, and read again."""
+    docs = table(spark, sf_dir, "documents")
+    ids, names = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("X"), "doc_id")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), "doc_id", F.lit(".pdf")))
+    path = scratch(spark, "json-lines")
+    docs.select(F.to_json(F.struct(ids.alias("doc_id"), names.alias("filename"), "text"))).write.option("compression", "gzip").text(path)
+    return IO.json_lines(spark, path).select("doc_id", "filename", "sha256", F.length("text").cast("long").alias("n"))
+
+
 @query("""SELECT 'Sources' AS heading, CAST(row_number() OVER (ORDER BY source) AS INT) AS row, source AS a, CAST(count(*) AS VARCHAR) AS b FROM documents GROUP BY source""")
 def markdown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each source as a Markdown table, and read again without its header."""

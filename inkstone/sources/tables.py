@@ -16,9 +16,11 @@ import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,18 +132,53 @@ def markdown_rows(lines: DataFrame) -> DataFrame:
 # --- records in one text ------------------------------------------------------------------
 
 
-def parse_records(text: DataFrame) -> DataFrame:
-    """(doc_id, filename, pages, words, text) from texts (value) of header blocks: lines DOC_ID, FILENAME, PAGES and
-    EXTRACTED_WORDS between rulers, then the body. Header fields count in a record's first 12 lines only."""
-    parts = text.select(F.explode(F.split("value", r"(?m)(?=^DOC_ID:)")).alias("r")).filter(F.col("r").startswith("DOC_ID:"))
+_STRIPPED = " \t\n\r\x0b\x0c"
+START = "DOC_ID:"
+
+
+def _fields(records: DataFrame) -> DataFrame:
+    """(doc_id, filename, pages, words, text) from records (r); header fields count in a record's first 12 lines only."""
     head = F.array_join(F.slice(F.split("r", "\n", -1), 1, 12), "\n")
-    value = lambda name: F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
+    value = lambda name: F.btrim(F.regexp_extract(head, rf"(?dm)^{name}:[ \t]*(.*)$", 1), F.lit(_STRIPPED))
     body = F.regexp_replace("r", r"(?s)\A.*?(?<=\n)EXTRACTED_WORDS:[^\n]*\n?", "")
-    return parts.select(value("DOC_ID").alias("doc_id"), value("FILENAME").alias("filename"), T.forgiving_int(value("PAGES")).alias("pages"), T.forgiving_int(value("EXTRACTED_WORDS")).alias("words"), F.trim(body).alias("text"))
+    return records.select(value("DOC_ID").alias("doc_id"), value("FILENAME").alias("filename"), T.forgiving_int(value("PAGES")).alias("pages"), T.forgiving_int(value("EXTRACTED_WORDS")).alias("words"), F.trim(body).alias("text"))
+
+
+def parse_records(text: DataFrame) -> DataFrame:
+    """(doc_id, filename, pages, words, text) from texts (value) of header blocks: lines DOC_ID, FILENAME, PAGES and
+    EXTRACTED_WORDS between rulers, then the body."""
+    return _fields(text.select(F.explode(F.split("value", rf"(?dm)(?=^{START})")).alias("r")).filter(F.col("r").startswith(START)))
+
+
+def record_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, r): the header-block records of text files, from their DOC_ID on. What stands before a file's first record
+    is left out.
+
+    Files are read by ranges: a record's start is the reader's line separator, so a task that begins inside a file goes on
+    to the next record there, and one large file gives as many tasks as it has ranges. Only compressed files are read
+    whole, a record at a time. The separator is cut off; a record that begins its file stands behind none, and is told
+    from what isn't a record by the rows' order in a range."""
+    rows = spark.read.option("lineSep", f"\n{START}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            out = []
+            for place, value in zip(zip(*(c.to_pylist() for c in b.columns[:2]), strict=True), b.column(2), strict=True):
+                value = value.as_py()
+                first, last = place[1] == 0 and place != last, place
+                out.append(START + value if not first else value if (value := value.removeprefix(_BOM)).startswith(START) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "r"])
+
+    return rows.mapInArrow(run, "path string, r string").filter("r IS NOT NULL")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return parse_records(spark.read.text(path, wholetext=True))
+    """(doc_id, filename, pages, words, text) of the header-block records in files, bodies without white space at their ends.
+    A body line that begins with DOC_ID: starts a record, as ``checked_record_text`` guards against. Files without a
+    record give no rows."""
+    rows = _fields(record_blocks(spark, path).select("r"))
+    return rows.withColumn("text", F.btrim("text", F.lit(_STRIPPED)))
 
 
 def record_text(docs: DataFrame) -> DataFrame:
@@ -191,12 +228,98 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+#: GraphML's names of types; all others are strings.
+_KINDS = {"long": "bigint", "int": "int", "double": "double", "float": "float", "boolean": "boolean", "string": "string"}
+
+
+def _keys(rows: DataFrame, on: str, without: Sequence[str]) -> list[str]:
+    kinds = {v: k for k, v in _KINDS.items()}
+    return [f'<key id="{c}" for="{on}" attr.name="{c}" attr.type="{kinds.get(t, "string")}"/>' for c, t in rows.dtypes if c not in without]
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as one GraphML file: elements are dealt by ranges of their order and written side by side, then joined."""
     spark = nodes.sparkSession
-    keys = [(0, k + 1, f'<key id="{c}" for="{on}" attr.name="{c}" attr.type="string"/>') for k, (on, c) in enumerate([*(("node", c) for c in nodes.columns if c != "id"), *(("edge", c) for c in edges.columns if c not in ("source", "target"))])]
-    frame = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), *keys, (0, 9999, '<graph edgedefault="directed">'), (3, 0, "</graph></graphml>")]
+    keys = [*_keys(nodes, "node", ["id"]), *_keys(edges, "edge", ["source", "target"])]
+    frame = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), *[(0, k, v) for k, v in enumerate(keys, 1)], (0, len(keys) + 1, '<graph edgedefault="directed">'), (3, 0, "</graph></graphml>")]
     rows = graphml(nodes, edges).unionByName(spark.createDataFrame(frame, "part int, n int, value string"))
-    rows.orderBy("part", "n").select("value").coalesce(1).write.text(path)
+    write_ordered(rows, ["part", "n"], "value", path)
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, ...) and edges (source, target, ...) of a GraphML file, or of a folder of its parts, attributes with their
+    names and types; an element without an attribute has null there. Elements are read by ranges of the file."""
+    element = "data array<struct<_key: string, _VALUE: string>>"
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    keys = read("key", "_id string, _for string, `_attr.name` string, `_attr.type` string").collect()  # a row for each column
+    out = []
+    for on, ends in (("node", ["id"]), ("edge", ["source", "target"])):
+        rows = read(on, ", ".join([*[f"_{c} string" for c in ends], element]))
+        values = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key: string, _VALUE: string>>")), lambda d: F.struct(d["_key"], F.coalesce(d["_VALUE"], F.lit("")))))
+        own = []
+        for k in keys:
+            if k["_for"] in (on, "all"):
+                kind = _KINDS.get(k["_attr.type"], "string")
+                value = F.col("__values")[k["_id"]]
+                own.append((value if kind == "string" else F.when(value != "", value).try_cast(kind)).alias(k["_attr.name"]))
+        out.append(rows.withColumn("__values", values).select(*[F.col(f"_{c}").alias(c) for c in ends], *own))
+    return out[0], out[1]
+
+
+# --- files of a fixed order -------------------------------------------------------------------
+
+
+def write_ordered(rows: DataFrame, order: Sequence[str], value: str, path: str) -> None:
+    """``value`` of each row as a line of one file, in an order. Ranges of the order are written side by side; the file
+    system then appends the parts to each other, a buffer at a time, so neither a task nor the driver holds the file."""
+    spark, parts = rows.sparkSession, path + ".parts"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(value).write.mode("overwrite").option("compression", "none").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    here, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = here.getFileSystem(conf)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    stream = fs.create(here, True)
+    try:
+        for name in names:
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        stream.close()
+    fs.delete(folder, True)
+
+
+def write_canonical(rows: DataFrame, order: Sequence[str], path: str, files: int = 8) -> None:
+    """``rows`` as JSON lines in ``files`` files whose bytes depend on the rows alone: by ``order`` - and all columns after
+    it, for ties -, cut into equal shares, columns by name, nulls written out."""
+    names = sorted(rows.columns)
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    keyed = rows.select(*[F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)], line.alias("line"))
+    by = [*[f"o{k}" for k in range(len(order))], "line"]
+    placed = numbered(keyed, by, "n", 0)
+    total = placed.count()
+    part = F.floor(F.col("n") * files / F.lit(max(total, 1))).cast("int")
+    placed.withColumn("part", part).repartitionById(files, "part").sortWithinPartitions("n").select("line").write.option("compression", "none").text(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(part, bytes, sha256) of the part files of a written table; a part without rows may have no file."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+    return rows.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def reruns_identical(spark: SparkSession, build: Callable[[], Mapping[str, tuple[DataFrame, Sequence[str]]]], path: str, files: int = 8) -> DataFrame:
+    """(name, part, agree): whether two runs of ``build`` - a frame and its order for each name - give the same bytes in
+    each file. A file that only one run has agrees with none."""
+    found = []
+    for k in (1, 2):
+        for name, (rows, order) in build().items():
+            write_canonical(rows, order, f"{path}/{k}/{name}", files)
+            found.append(file_digests(spark, f"{path}/{k}/{name}").select(F.lit(name).alias("name"), F.lit(k).alias("run"), "part", "sha256"))
+    rows = reduce(DataFrame.union, found)
+    return rows.groupBy("name", "part").agg(((F.count("*") == 2) & (F.countDistinct("sha256") == 1)).alias("agree"))
 
 
 def write_sheets(sheets: Mapping[str, DataFrame], path: str) -> None:
@@ -270,6 +393,12 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         stream.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark knows."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def worksheets(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raters' blinded rows, and the key, from intruder tasks (topic, options, intruder)."""
     task = F.substring(F.sha2(F.concat_ws("|", F.col("topic").cast("string"), F.array_join("options", ",")), 256), 1, 10).alias("task_id")

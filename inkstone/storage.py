@@ -57,11 +57,17 @@ def _drop_owned() -> None:
 atexit.register(_drop_owned)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing stands at; what is written there is deleted when the driver exits."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _own(spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder, read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _own(spark, path)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_written_to"] = path

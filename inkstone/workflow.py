@@ -2,8 +2,10 @@
 
 ``run`` calls the operators in order and writes every table below the output
 folder, in a folder named after a digest of settings, corpus, packages and code,
-so that a run with anything changed stands beside the one before. On the command
-line: python -m inkstone.workflow --input docs.parquet --output results.
+so that a run with anything changed stands beside the one before, and the same
+run, started again, goes on where it ended: whole tables are read, not made, and
+models are looked up by what they depend on. On the command line:
+python -m inkstone.workflow --input docs.parquet --output results.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -98,29 +100,54 @@ class Representation:
 
 
 class Run:
-    """The folder of one run, the tables written so far, and the seconds of its steps."""
+    """The folder of one run, the tables written so far, the store of its models, and the seconds of its steps."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, fits: str | None = None):
         self.spark, self.folder = spark, folder
+        self.store = M.FitStore(spark, fits or f"{folder}/private/fits", f"{IO.code_digest()} {json.dumps(IO.versions(), sort_keys=True)}")
         self.timings: dict[str, float] = {}
         self.tables: dict[str, DataFrame] = {}
 
     def step(self, name: str, make: Callable, *args):
-        began = time.time()
-        out = make(self, *args)
-        self.timings[name] = round(time.time() - began, 3)
+        """One step, logged when it begins and ends, or fails."""
+        began, event = time.time(), "failed"
+        IO.log_event(self.spark, f"{self.folder}/log", "began", step=name)
+        try:
+            out = make(self, *args)
+            event = "done"
+        finally:
+            self.timings[name] = round(time.time() - began, 3)
+            IO.log_event(self.spark, f"{self.folder}/log", event, step=name, seconds=self.timings[name], fitted=self.store.fitted, found=self.store.found)
         return out
 
+    def whole(self, path: str) -> bool:
+        """Whether a table was written there to its end."""
+        return IO.exists(self.spark, f"{path}/_SUCCESS")
+
     def table(self, name: str, rows: DataFrame) -> DataFrame:
-        """Writes a table and reads it again."""
+        """A table of the results, read again if a run of the same digest wrote it, else written and read."""
         path = f"{self.folder}/tables/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        if not self.whole(path):
+            rows.write.mode("overwrite").parquet(path)
         self.tables[name] = self.spark.read.parquet(path)
         return self.tables[name]
 
     def rows(self, name: str, rows: list[dict], schema: str) -> DataFrame:
+        return self.table(name, self.frame(rows, schema))
+
+    def frame(self, rows: list[dict], schema: str) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
-        return self.table(name, self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema))
+        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+    def stage(self, name: str, make: Callable[[], dict[str, DataFrame]], names: Sequence[str]) -> dict[str, DataFrame]:
+        """The tables of a part of a step, made only if one of them is missing. The last one is written last, so that a part
+        that was cut short is made again."""
+        path = lambda x: f"{self.folder}/private/stages/{name}-{x}"
+        if not all(self.whole(path(x)) for x in names):
+            made = make()
+            for x in names:
+                made[x].write.mode("overwrite").parquet(path(x))
+        return {x: self.spark.read.parquet(path(x)) for x in names}
 
 
 # --- steps -----------------------------------------------------------------------------------------
@@ -174,31 +201,9 @@ def cross_validate(run: Run, docs: DataFrame, c: Config) -> DataFrame:
     convergence. All models of a fold share the passes over its units."""
     folds = P.grouped_folds(docs.select(F.col("family").alias("group")), c.folds, c.split_seed).withColumnRenamed("group", "family")
     splits = run.table("document_validation_splits", docs.select("doc_id", "family").join(folds, "family"))
-    runs, stability = [], []
-    for fold in range(c.folds):
-        train, held = (splits.filter(F.col("fold") != fold), splits.filter(F.col("fold") == fold))
-        rep = represent(docs, c, train)
-        asked = [(k, seed) for k in c.k_values for seed in c.seeds]
-        fitted = M.fit_all(rep.training, [c.settings(k, seed) for k, seed in asked], len(rep.terms))
-        unigram = _unigram(rep.units.join(train.select("doc_id"), "doc_id", "left_semi"), len(rep.terms))
-        halves = _halves(rep.units.join(held.select("doc_id"), "doc_id", "left_semi"), c.split_seed)
-        scores = {r["m"]: r for r in P.completion_by(M.completion(fitted, unigram, halves), "m").collect()}  # a row for each model
-        tops = [words for m in fitted for words in lists_of(m, rep.terms, c.coherence_topn)]
-        own = rep.tokens.join(train.select("doc_id"), "doc_id", "left_semi")
-        c_v, c_npmi = M.coherence(own, tops, 110), M.coherence(own, tops, 10, "c_npmi")
-        at = 0
-        for i, ((k, seed), m) in enumerate(zip(asked, fitted, strict=True)):
-            words = [w for t in tops[at : at + k] for w in t]
-            runs.append({
-                "fold": fold, "k": k, "seed": seed, "iterations": m.iterations, "converged": float(m.converged), "c_v": float(np.mean(c_v[at : at + k])), "c_npmi": float(np.mean(c_npmi[at : at + k])),
-                "diversity": len(set(words)) / max(1, len(words)), "score": scores[i]["macro"] if i in scores else float("nan"), "gain": scores[i]["gain"] if i in scores else float("nan"),
-            })
-            at += k
-        for k in c.k_values:
-            pairs, _ = M.seed_stability({seed: M.phi_matrix(m) for (j, seed), m in zip(asked, fitted, strict=True) if j == k})
-            stability += [{"fold": fold, "k": k, **p} for p in pairs]
-    table = run.rows("model_selection_runs", runs, "fold int, k int, seed int, iterations int, converged double, c_v double, c_npmi double, diversity double, score double, gain double")
-    pairs = run.rows("seed_stability_cv", stability, "fold int, k int, seed_a int, seed_b int, similarity double, jaccard double")
+    names = ("pairs", "runs")
+    made = [run.stage(f"fold-{fold}", lambda fold=fold: _fold(run, docs, splits, c, fold), names) for fold in range(c.folds)]
+    pairs, table = (run.table(name, reduce(DataFrame.union, [m[x] for m in made])) for x, name in zip(names, ("seed_stability_cv", "model_selection_runs"), strict=True))
     out = pairs.groupBy("k").agg(F.avg("similarity").alias("stability"))
     for metric in ("c_v", "c_npmi", "score", "diversity", "converged"):
         s = P.fold_summary(table, metric)
@@ -206,6 +211,36 @@ def cross_validate(run: Run, docs: DataFrame, c: Config) -> DataFrame:
     return run.table("model_selection_summary", out)
 
 
+def _fold(run: Run, docs: DataFrame, splits: DataFrame, c: Config, fold: int) -> dict[str, DataFrame]:
+    """A fold's models, scored: a row for each model, and one for each pair of seeds."""
+    runs, stability = [], []
+    train, held = (splits.filter(F.col("fold") != fold), splits.filter(F.col("fold") == fold))
+    rep = represent(docs, c, train)
+    asked = [(k, seed) for k in c.k_values for seed in c.seeds]
+    fitted = run.store.fit_all(rep.training, [c.settings(k, seed) for k, seed in asked], len(rep.terms))
+    unigram = _unigram(rep.units.join(train.select("doc_id"), "doc_id", "left_semi"), len(rep.terms))
+    halves = _halves(rep.units.join(held.select("doc_id"), "doc_id", "left_semi"), c.split_seed)
+    scores = {r["m"]: r for r in P.completion_by(M.completion(fitted, unigram, halves), "m").collect()}  # a row for each model
+    tops = [words for m in fitted for words in lists_of(m, rep.terms, c.coherence_topn)]
+    own = rep.tokens.join(train.select("doc_id"), "doc_id", "left_semi")
+    c_v, c_npmi = M.coherence(own, tops, 110), M.coherence(own, tops, 10, "c_npmi")
+    at = 0
+    for i, ((k, seed), m) in enumerate(zip(asked, fitted, strict=True)):
+        words = [w for t in tops[at : at + k] for w in t]
+        runs.append({
+            "fold": fold, "k": k, "seed": seed, "iterations": m.iterations, "converged": float(m.converged), "c_v": float(np.mean(c_v[at : at + k])), "c_npmi": float(np.mean(c_npmi[at : at + k])),
+            "diversity": len(set(words)) / max(1, len(words)), "score": scores[i]["macro"] if i in scores else float("nan"), "gain": scores[i]["gain"] if i in scores else float("nan"),
+        })
+        at += k
+    for k in c.k_values:
+        pairs, _ = M.seed_stability({seed: M.phi_matrix(m) for (j, seed), m in zip(asked, fitted, strict=True) if j == k})
+        stability += [{"fold": fold, "k": k, **p} for p in pairs]
+    return {
+        "runs": run.frame(runs, "fold int, k int, seed int, iterations int, converged double, c_v double, c_npmi double, diversity double, score double, gain double"),
+        "pairs": run.frame(stability, "fold int, k int, seed_a int, seed_b int, similarity double, jaccard double"),
+    }
+
+
 def _unigram(units: DataFrame, terms: int) -> np.ndarray:
     """The units' term probabilities, a token added to each term so that none is impossible."""
     counts = units.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # a row for each term
@@ -245,7 +280,7 @@ def finish(run: Run, docs: DataFrame, c: Config, decision: dict) -> tuple[Repres
     rep = represent(docs, c)
     ks = P.final_candidates(decision["final_k"], c.k_values)
     asked = [(k, seed) for k in ks for seed in c.seeds]
-    fitted = dict(zip(asked, M.fit_all(rep.training, [c.settings(k, seed) for k, seed in asked], len(rep.terms)), strict=True))
+    fitted = dict(zip(asked, run.store.fit_all(rep.training, [c.settings(k, seed) for k, seed in asked], len(rep.terms)), strict=True))
     trace = [{"k": k, "seed": seed, **t} for (k, seed), m in fitted.items() for t in m.trace]
     run.rows("convergence_traces", trace, "k int, seed int, iteration int, perplexity double, bound double, bound_per_token double")
     pairs, final = [], None
@@ -298,10 +333,10 @@ def refits(run: Run, docs: DataFrame, rep: Representation, final: M.TopicModel,
     variants.append(M.Variant("uncapped_training_chunks", rep.units, rep.units))
     variants += [M.Variant("alpha_0_1", rep.units, rep.training, {"alpha": 0.1}), M.Variant("eta_0_1", rep.units, rep.training, {"eta": 0.1})]
     seeds = c.seeds[:3]
-    rows, phis = M.sensitivity(final, theta, variants, seeds, len(rep.terms))
+    rows, phis = M.sensitivity(final, theta, variants, seeds, len(rep.terms), run.store.fit_all)
     run.rows("sensitivity_runs", rows, "variant string, seed int, iterations int, converged boolean, similarity double, jaccard double, l1 double, largest_shift double")
     run.table("sensitivity_summary", P.sensitivity_summary(run.tables["sensitivity_runs"], "variant"))
-    base = dict(zip(seeds, map(M.phi_matrix, M.fit_all(rep.training, [replace(final.settings, seed=s) for s in seeds], len(rep.terms))), strict=True))
+    base = dict(zip(seeds, map(M.phi_matrix, run.store.fit_all(rep.training, [replace(final.settings, seed=s) for s in seeds], len(rep.terms))), strict=True))
     pairs, summary = M.paired_audit(base, phis)
     run.rows("paired_sensitivity_pairs", pairs, "variant string, seed int, similarity double, jaccard double, largest double")
     run.rows("paired_sensitivity_summary", summary, "variant string, n int, mean_similarity double, min_similarity double, max_similarity double, mean_jaccard double, largest double")
@@ -346,7 +381,7 @@ def run(docs: DataFrame, output: str, config: Config = Config()) -> dict:
     # the corpus' digest does not depend on the order of its rows
     corpus = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).alias("h")).first()
     record = IO.run_record(spark, {**asdict(c), "documents": corpus["n"], "corpus": str(corpus["h"])})
-    here = Run(spark, f"{output}/run_{record.first()['digest'][:12]}")
+    here = Run(spark, f"{output}/run_{record.first()['digest'][:12]}", f"{output}/fits")
     kept = here.step("audit", audit, docs, c)
     summary = here.step("cross_validate", cross_validate, kept, c)
     decision = here.step("choose", choose, summary, c)

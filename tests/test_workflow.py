@@ -63,3 +63,57 @@ def test_settings_are_checked(spark):
     assert W.Config(profile="smoke").checked().k_values == (2, 7, 8)
     with pytest.raises(IntegrityError):
         W.audit(W.Run(spark, ""), spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string"), W.Config())
+
+
+def test_a_run_goes_on_where_it_ended(spark, data, done, tmp_path, monkeypatch):
+    """A run that fails in its second fold repeats no fit when it is started again, and ends with the same tables."""
+    out, docs, config = done
+    config = W.replace(config, run_sensitivity=False)
+    folder, calls = str(tmp_path), []
+    whole = W.M.coherence
+
+    def failing(*args, **more):
+        calls.append(args)
+        if len(calls) == 3:  # two a fold
+            raise ConnectionError("lost")
+        return whole(*args, **more)
+
+    fits = []
+    fit = W.M.fit_all
+    monkeypatch.setattr(W.M, "fit_all", lambda rows, settings, terms, done=None: fits.append(len(settings)) or fit(rows, settings, terms, done))
+    monkeypatch.setattr(W.M, "coherence", failing)
+    with pytest.raises(ConnectionError):
+        W.run(docs, folder, config)
+    assert sum(fits) == 2 * 6  # both folds: the second one's fits had ended
+    monkeypatch.setattr(W.M, "coherence", whole)
+    fits.clear()
+    again = W.run(docs, folder, config)
+    assert sum(fits) == 2 * 3 and all(again["checks"].values())  # the candidates on all documents alone
+    events = [r.asDict() for r in spark.read.json(f"{again['folder']}/log").orderBy("at").collect()]
+    assert [e["event"] for e in events if "cross_validate" in e["fields"]] == ["began", "failed", "began", "done"]
+    for name in ("model_selection_runs", "seed_stability_cv", "model_selection_summary", "topic_words", "document_topics", "keyword_network"):
+        a, b = (spark.read.parquet(f"{o['folder']}/tables/{name}").toPandas() for o in (out, again))
+        keys = [c for c in a.columns if a[c].dtype != float]
+        a, b = (x.sort_values(keys).reset_index(drop=True) for x in (a, b))
+        W.np.testing.assert_allclose(a.select_dtypes(float), b.select_dtypes(float), rtol=1e-6, atol=1e-9)
+        assert a[keys].equals(b[keys])
+
+
+def test_stored_models_depend_on_units_and_settings(spark, tmp_path):
+    units = spark.createDataFrame([(d, 0, [d % 3, 3 + d % 2], [2.0, 1.0]) for d in range(12)], "doc_id long, unit int, terms array<int>, counts array<double>")
+    s = W.M.TopicSettings(k=2, iterations=3)
+    store = W.M.FitStore(spark, str(tmp_path))
+    first = store.fit_all(units, [s, W.replace(s, seed=1), s], 5)
+    assert (store.fitted, store.found) == (2, 0) and first[0] is first[2]
+    again = store.fit_all(units.repartition(3), [W.replace(s, seed=1), s], 5)
+    assert (store.fitted, store.found) == (2, 2) and (again[1].components == first[0].components).all()
+    store.fit_all(units.limit(11), [s], 5)
+    store.fit_all(units, [W.replace(s, k=3)], 5)
+    W.M.FitStore(spark, str(tmp_path), "other code").fit_all(units, [s], 5)
+    assert store.fitted == 4
+    path = next(p for p in tmp_path.iterdir() if p.is_dir())
+    for f in path.glob("*.parquet"):
+        f.write_bytes(b"broken")
+    broken = W.M.FitStore(spark, str(tmp_path))
+    broken.fit_all(units, [s, W.replace(s, seed=1), W.replace(s, k=3)], 5)
+    assert broken.fitted <= 1 and broken.fitted + broken.found == 3
