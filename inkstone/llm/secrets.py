@@ -24,8 +24,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -123,8 +125,9 @@ def dense(run: str, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[
                 out[-1][1] = b
             else:
                 out.append([a, b])
+    begins = [a for a, _ in parts]
     for span in out:  # words at the ends stay
-        own = [p for p in parts if span[0] <= p[0] and p[1] <= span[1]]
+        own = parts[bisect_left(begins, span[0]) : bisect_left(begins, span[1])]
         word = lambda p: run[p[0] : p[1]].isalpha() and not random_looking(run[p[0] : p[1]], enc, ratio) and p[1] - p[0] >= 3
         while len(own) > 1 and word(own[0]):
             own.pop(0)
@@ -138,18 +141,37 @@ def grown(run: str, inner: list[tuple[int, int]], found: list[tuple[int, int]],
     """``found`` with the parts of which a span of ``inner`` is only a piece, if their rest looks random too; spans
     that overlap are one, those that ``inner`` covers go."""
     out = list(found)
+    if not inner:
+        return merged(out)
+    k = 0
     for a, b in (m.span() for m in _PARTS.finditer(run)):
-        held = [(max(a, x), min(b, y)) for x, y in inner if x < b and a < y]
-        rest = "".join(run[i] for i in range(a, b) if not any(x <= i < y for x, y in held)) if held else ""
-        if len(rest) >= 4 and len(rest) < ratio * len(enc.encode_ordinary(rest)):
+        while k < len(inner) and inner[k][1] <= a:
+            k += 1
+        j, at, rest, held = k, a, [], False
+        while j < len(inner) and inner[j][0] < b:
+            x, y = inner[j]
+            if a < y:
+                held = True
+                rest.append(run[at:x])  # empty where spans overlap
+                at = max(at, y)
+            j += 1
+        left = "".join([*rest, run[at:b]]) if held else ""
+        if len(left) >= 4 and len(left) < ratio * len(enc.encode_ordinary(left)):
             out.append((a, b))
-    merged: list[list[int]] = []
-    for a, b in sorted(out):
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+    begins, ends = [x for x, _ in inner], list(accumulate((y for _, y in inner), max))
+    covered = lambda a, b: (n := bisect_right(begins, a)) and ends[n - 1] >= b
+    return [(a, b) for a, b in merged(out) if not covered(a, b)]
+
+
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged if not any(x <= a and b <= y for x, y in inner)]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
@@ -162,16 +184,32 @@ def spans(text: str | None, enc: tiktoken.Encoding, ratio: float = RATIO) -> lis
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
-    base = list(found)
+    # runs and the base spans of one kind both stand in order, and are walked together
+    base = [[x for x in found if x[2] == kind] for kind in KINDS[:-1]]
+    first = [0] * len(base)
     for m in _RUN.finditer(text):
         start, end = m.span()
-        met = [(a - start, b - start, kind) for a, b, kind in base if a < end and start < b]
+        met = []
+        for k, own in enumerate(base):
+            while first[k] < len(own) and own[first[k]][1] <= start:
+                first[k] += 1
+            j = first[k]
+            while j < len(own) and own[j][0] < end:
+                met.append((own[j][0] - start, own[j][1] - start, own[j][2]))
+                j += 1
         cut = [(a, b) for a, b, kind in met if kind == "assign"]
         cut += known_parts(m[0], bool(_DIGEST_NAME.search(text[max(0, start - 16) : start])))
-        at = 0
+        others = sorted((x, y) for x, y, kind in met if kind != "assign")
+        at = k = 0
         for a, b in sorted([*cut, (end - start, end - start)]):
             piece = m[0][at : max(at, a)]
-            inner = [(x - at, y - at) for x, y, kind in met if kind != "assign" and at <= x and y <= a]
+            while k < len(others) and others[k][0] < at:
+                k += 1
+            j, inner = k, []
+            while j < len(others) and others[j][0] < a:
+                if others[j][1] <= a:
+                    inner.append((others[j][0] - at, others[j][1] - at))
+                j += 1
             found += [(start + at + x, start + at + y, "dense") for x, y in grown(piece, inner, dense(piece, enc, ratio), enc, ratio)]
             at = max(at, b)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
@@ -219,7 +257,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
     joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = joined(lambda s: s["kind"] != "dense")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS[:-1]), F.sha2(base, 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"), count(KINDS[-1]))
 
 
 def cleaned(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from inkstone.llm import secrets as X
 from tests.llm.conftest import extras_kept
@@ -135,3 +136,15 @@ def test_query_and_odd_tables(documents, texts, odd_docs, no_docs):
     out = X.cleaned(odd_docs)
     assert out.columns == odd_docs.columns and extras_kept(out) and out.count() == odd_docs.count() and out.filter("doc_id = 0 AND text IS NULL").count() == 1
     assert X.scanned(no_docs).count() == 0 and X.cleaned(no_docs).count() == 0
+
+
+def test_time_grows_with_the_text():
+    """Texts, and single runs, full of base spans: twice the length takes about twice the time."""
+    enc = X.encoding(X.vocabulary())
+    for unit in ("deadbeef00112233445566778899aabb two words\n", "deadbeef00112233445566778899aab-", "password=abc123xyz!"):
+        took = []
+        for n in (8_000, 32_000):
+            began = time.perf_counter()
+            assert len(X.spans(unit * n, enc)) >= n
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5
