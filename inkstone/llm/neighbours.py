@@ -21,9 +21,10 @@ query's k nearest, as ties go to smaller ids.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, neither do rows without an id. Vectors of different
-lengths are not compared. Rows equal in id and vector are one. A product beyond
-the largest double is infinite; such scores tie. With fewer candidates than k all
-are returned; an empty table gives an empty result. Extra columns are not read.
+lengths are not compared. An id is one vector: of its rows the shortest counts, of
+these the smallest, component by component. A product beyond the largest double
+is infinite; such scores tie. With fewer candidates than k all are returned; an
+empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -314,7 +315,8 @@ def nearest(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> D
     """(query_id, rank, vec_id, score): the k nearest found for each row of ``vectors`` (vec_id, embedding) for which
     ``is_query`` (of vec_id) holds."""
     tune(vectors.sparkSession)
-    rows = usable(vectors).dropDuplicates(["vec_id", "embedding"])
+    one = usable(vectors).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("x"))
+    rows = one.select("vec_id", "x.embedding", "x.dim")
     equal = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = checkpointed(rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= s.k + 1).drop("r"))
     queries = checkpointed(rows.filter(is_query))

@@ -120,3 +120,10 @@ def test_recall_over_several_blocks(spark):
         scores[q] = -np.inf
         hits += len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist()))
     assert hits >= 0.9 * 30 * 20
+
+
+def test_an_id_is_one_vector(spark):
+    """Of an id with several vectors the smallest stands for it, as query and as neighbour."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9]), (2, [5.0, 5.0]), (3, [0.2, 0.7]), (3, [0.2, 0.7]), (4, [9.0]), (4, [7.0, 7.0])]
+    out = X.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 2, 0.9), (2, 3, 0.7), (3, 1, 0.1)]
