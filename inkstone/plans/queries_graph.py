@@ -394,6 +394,21 @@ def canonical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.file_digests(spark, path)
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn % 10 + 1 AS k, conv_id % 7 AS m, string_split(text, ' ') AS w FROM conversations),
+r AS (SELECT conv_id, string_agg(CASE WHEN k % 2 = 0 THEN '## ' ELSE '' END || k || '. ' || w[1] || chr(10) || 'see ' || (conv_id + k % 3) || ' and ' || m, chr(10) ORDER BY k) AS response FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, response, list_distinct(regexp_extract_all(response, '\b(\d+)\b', 1)) AS named, list_transform([conv_id, conv_id + 1], lambda x: CAST(x AS VARCHAR)) AS members FROM r)
+SELECT conv_id AS batch, CAST(len(list_intersect(named, members)) AS INT) AS own, CAST(len(list_filter(named, lambda x: NOT list_contains(members, x))) AS INT) AS foreign,
+  len(list_filter(regexp_split_to_array(response, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(response, '(?m)^[ \t]*(?:#+[ \t]*)?\d\.\s')) AS headings FROM f""")
+def response_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as responses with numbered headings that name ids, their own and others."""
+    t = table(spark, sf_dir, "conversations").withColumn("k", F.col("turn") % 10 + 1)
+    head = F.concat(F.when(F.col("k") % 2 == 0, "## ").otherwise(""), F.col("k").cast("string"), F.lit(". "), F.element_at(F.split("text", " ", -1), 1))
+    line = F.concat(head, F.lit("\nsee "), (F.col("conv_id") + F.col("k") % 3).cast("string"), F.lit(" and "), (F.col("conv_id") % 7).cast("string"))
+    rows = t.groupBy(F.col("conv_id").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))  # the turns of a conversation
+    responses = rows.select("batch", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("response"))
+    return IO.response_audit(responses, rows.select("batch", F.array(F.col("batch"), F.col("batch") + 1).alias("members")))
+
+
 # --- rules of several patterns ------------------------------------------------------------------------
 
 #: Rules of one to three patterns; some need no string, or one of several.

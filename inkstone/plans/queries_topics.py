@@ -343,13 +343,15 @@ def _sensitivity(spark: SparkSession, sf_dir: str) -> tuple[models.TopicModel, l
     """The base and its variants, with the updates and seeds of the reference's smoke profile."""
     s = models.TopicSettings(seed=11, iterations=12, inner=60)
     rows, terms = _units(spark, sf_dir)
-    base = models.fit(rows, s, terms)
+    capped = lambda units: V.evenly_spaced(units, "doc_id", "unit", 50)
+    training = checkpointed(capped(rows))
+    base = models.fit(training, s, terms)
     theta_ = checkpointed(P.token_weighted(models.infer(base, rows)))
     whole, small, large = (_units(spark, sf_dir, *size)[0] for size in ((0,), (200, 50), (800, 100)))
-    found = [models.Variant(n, r, r) for n, r in (("whole_document_units", whole), ("chunks_200", small), ("chunks_800", large))]
-    found += [models.Variant("alpha_0_1", rows, rows, {"alpha": 0.1}), models.Variant("eta_0_1", rows, rows, {"eta": 0.1})]
+    found = [models.Variant("whole_document_units", whole, whole), models.Variant("chunks_200", small, capped(small)), models.Variant("chunks_800", large, capped(large)), models.Variant("uncapped_training_chunks", rows, rows)]
+    found += [models.Variant("alpha_0_1", rows, training, {"alpha": 0.1}), models.Variant("eta_0_1", rows, training, {"eta": 0.1})]
     runs, phis = models.sensitivity(base, theta_, found, (11, 42), terms)
-    return base, runs, phis, rows, terms
+    return base, runs, phis, training, terms
 
 
 @query()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
-import importlib.util
+import importlib.resources
 import json
 import platform
 import sys
@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -337,12 +336,22 @@ def package_manifest(spark: SparkSession, path: str, private: Sequence[str] = ()
 
 
 def code_digest(package: str = "inkstone") -> str:
-    """SHA-256 of a package's own source, module by module in order of their names."""
-    spec = importlib.util.find_spec(package)
-    whole = hashlib.sha256()
-    for folder in spec.submodule_search_locations or []:
-        for path in sorted(Path(folder).rglob("*.py")):
-            whole.update(str(path.relative_to(folder)).encode() + b"\0" + path.read_bytes() + b"\0")
+    """SHA-256 of a package's own source, module by module in order of their names, through its loader: from folders and
+    archives alike. A package without source is an error."""
+    whole, modules = hashlib.sha256(), 0
+
+    def read(node, name: str) -> None:
+        nonlocal modules
+        for x in sorted(node.iterdir(), key=lambda x: x.name):
+            if x.is_dir():
+                read(x, f"{name}/{x.name}")
+            elif x.name.endswith(".py"):
+                whole.update(f"{name}/{x.name}".encode() + b"\0" + x.read_bytes() + b"\0")
+                modules += 1
+
+    read(importlib.resources.files(package), package)
+    if not modules:
+        raise IntegrityError(f"{package} has no source to digest")
     return whole.hexdigest()
 
 
@@ -383,6 +392,19 @@ def report(title: str, facts: Mapping[str, object], tables: Mapping[str, DataFra
     return "\n".join(out)
 
 
+def table_guide(title: str, tables: Mapping[str, DataFrame], about: Mapping[str, str]) -> str:
+    """A Markdown guide to the tables of a run: what each holds, its rows, and its columns with their types. A table without
+    a line in ``about`` is an error, so that none is left unexplained."""
+    missing = sorted(set(tables) - set(about))
+    if missing:
+        raise IntegrityError(f"tables without a description: {missing}")
+    out = [f"# {title}", ""]
+    for name in sorted(tables):
+        out += [f"## {name}", "", f"{about[name]} {tables[name].count()} rows.", "", "| column | type |", "|---|---|"]
+        out += [f"| {c} | {t} |" for c, t in tables[name].dtypes] + [""]
+    return "\n".join(out)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A text as one file, on any file system that Spark knows."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -474,12 +496,38 @@ def completion_gate(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.agg(F.count("*").alias("requests")).join(missing.agg(F.count("*").alias("missing"))).select("requests", (F.col("requests") - F.col("missing")).alias("complete"), (F.col("missing") == 0).alias("open"))
 
 
+def ask(requests: DataFrame, generate: Callable[[str], dict], path: str, per_task: int = 1, **how) -> DataFrame:
+    """The answers at ``path`` after each request (batch, request_sha256, prompt) without a complete one has been asked for
+    once more; equal requests are asked for once. ``how``: as ``generated`` takes it.
+
+    A task asks ``per_task`` requests, and its answers are moved to ``path`` when it ends, whatever becomes of the others:
+    a worker, an executor or a driver that is lost costs the requests that were on their way, and a second call asks only
+    for what isn't answered."""
+    spark = requests.sparkSession
+    schema = "batch long, request_sha256 string, done boolean, done_reason string, response string, attempts int"
+    have = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    todo = outstanding(requests, have).groupBy("request_sha256").agg(F.min("batch").alias("batch"), F.min("prompt").alias("prompt"))
+    todo = numbered(todo, ["batch", "request_sha256"], "n", 0)
+    n = todo.count()
+    if n:
+        tasks = -(-n // per_task)
+        dealt = todo.withColumn("task", F.floor(F.col("n") / per_task).cast("int")).repartitionById(tasks, "task")
+        # the second version of the committer puts a task's files in place when the task ends, not when the job does
+        generated(dealt, generate, **how).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if n or exists(spark, path) else have
+
+
+#: A heading of a response: a number with a point, at a line's start, behind marks of a heading or none.
+HEADING = r"(?m)^[ \t]*(?:#+[ \t]*)?\d\.\s"
+
+
 def response_audit(responses: DataFrame, members: DataFrame, pattern: str = r"\b(\d+)\b") -> DataFrame:
-    """(batch, own, foreign, words): ids of its own batch that a response names, other numbers, and its words."""
+    """(batch, own, foreign, words, headings): ids of its own batch that a response names, other numbers, its words and its
+    numbered headings."""
     rows = responses.join(members, "batch")
     named = F.array_distinct(F.regexp_extract_all("response", F.lit(pattern), F.lit(1)))
     own = F.transform("members", lambda m: m.cast("string"))
-    return rows.select("batch", F.size(F.array_intersect(named, own)).alias("own"), F.size(F.array_except(named, own)).alias("foreign"), T.count_words(F.col("response")).alias("words"))
+    return rows.select("batch", F.size(F.array_intersect(named, own)).alias("own"), F.size(F.array_except(named, own)).alias("foreign"), T.count_words(F.col("response")).alias("words"), F.regexp_count("response", F.lit(HEADING)).cast("long").alias("headings"))
 
 
 def identity_gate(found: Mapping[str, object], recorded: Mapping[str, str], prefixes: Sequence[str] = ("digest",)) -> None:

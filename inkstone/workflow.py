@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import lemmas as L
 from inkstone.operators import models as M
 from inkstone.operators import pages as G
 from inkstone.operators import similarity as S
@@ -60,6 +61,8 @@ class Config:
     phrase_min_count: int = 10
     phrase_threshold: float = 10.0
     lemmatize: bool = True
+    #: A folder with nouns in WordNet's file format; without it lemmas follow suffix rules.
+    lemma_dictionary: str | None = None
     strip_references: bool = True
     near_duplicate_threshold: float = 0.93
     coherence_topn: int = 10
@@ -175,7 +178,10 @@ def audit(run: Run, docs: DataFrame, c: Config) -> DataFrame:
 def represent(docs: DataFrame, c: Config, learn: DataFrame | None = None) -> Representation:
     """``docs`` in numbers, phrases and vocabulary learned on ``learn`` (doc_id; all)."""
     own = lambda rows: rows if learn is None else rows.join(learn.select("doc_id"), "doc_id", "left_semi")
-    tokens = written(V.token_rows(docs, list(c.stop), lemma=T.noun_lemma() if c.lemmatize else None), "tokens")
+    by_rules = c.lemmatize and c.lemma_dictionary is None
+    tokens = written(V.token_rows(docs, list(c.stop), lemma=T.noun_lemma() if by_rules else None), "tokens")
+    if c.lemmatize and not by_rules:
+        tokens = written(L.lemmatized(tokens, L.noun_dictionary(docs.sparkSession, c.lemma_dictionary), list(c.stop)), "lemmatized")
     if c.learned_phrases:
         for _ in range(2):  # pairs, then longer ones
             phrases = V.phrase_scores(own(tokens), c.phrase_min_count, c.phrase_threshold)
@@ -374,6 +380,55 @@ def integrity(tables: Mapping[str, DataFrame], documents: int, training: DataFra
     }
 
 
+#: What each table of a run holds.
+ABOUT = {
+    "corpus_manifest": "Each document with digests of its file and body, its words and tokens, whether it is long enough, and its near-duplicate family.",
+    "document_validation_splits": "The fold of each document; a family is never on both sides.",
+    "model_selection_runs": "Each model of the cross-validation: coherence, predictive score and gain over a unigram, diversity, convergence.",
+    "model_selection_summary": "The same by number of topics: means, deviations and errors over folds, and the mean stability over seeds.",
+    "seed_stability_cv": "For each fold and pair of seeds how alike the matched topics are.",
+    "seed_stability": "The same for the fits on all documents, with the agreement of dominant topics and the distance of weights.",
+    "convergence_traces": "Perplexity and bound of each update of the fits on all documents.",
+    "document_topics": "Each document's topic weights, its units weighted by tokens.",
+    "topic_prevalence": "Each topic's mean weight by four weightings, the documents it dominates, and a bootstrap interval.",
+    "topic_words": "Each topic's probabilities of all terms.",
+    "topic_terms": "Each topic's terms ranked for display, with exclusivity and lift.",
+    "topic_similarity": "Jensen-Shannon distance and similarity of each pair of topics.",
+    "representative_documents": "The documents of most weight in each topic.",
+    "document_influence": "How far leaving a document out moves a topic's mean, at most.",
+    "theta_diagnostics": "Mean and median entropy of the documents' weights, and the least dominant weight.",
+    "topic_coherence": "Coherence of each topic's first terms, by two measures.",
+    "worksheet": "Raters' tasks: a topic's terms and an intruder, unmarked.",
+    "worksheet_key": "The intruder of each task.",
+    "keyword_network": "Pairs of keywords that occur in the same documents, the strongest ones.",
+    "keyword_communities": "Communities of that network.",
+    "sensitivity_runs": "Each refit with other units or priors against the final model.",
+    "sensitivity_summary": "The same by variant.",
+    "paired_sensitivity_pairs": "Each refit against the model of the same seed and the final settings.",
+    "paired_sensitivity_summary": "The same by variant.",
+    "verification": "The checks of these tables.",
+    "run_record": "Settings, digests, versions, host and seconds of the run.",
+}
+
+
+def methods(c: Config, facts: Mapping[str, object]) -> str:
+    """How the run came to its tables, in words, with its settings."""
+    units = f"{c.chunk_size} tokens, a tail of fewer than {c.min_tail} joined to the unit before"
+    cap = "all units of a document are trained on" if c.train_chunks_per_doc is None else f"at most {c.train_chunks_per_doc} units of a document, evenly spaced, are trained on"
+    lemma = "are kept as they stand" if not c.lemmatize else "are reduced to nouns' singulars by suffix rules" if c.lemma_dictionary is None else "are reduced to lemmas by a dictionary of nouns"
+    phrases = f"Phrases that come {c.phrase_min_count} times or more and score over {c.phrase_threshold:g} are one token each." if c.learned_phrases else "No phrases are learned."
+    alpha = "one over their number" if c.alpha is None else f"{c.alpha:g}"
+    parts = [
+        ("Corpus", f"{facts['documents']} documents of {c.min_document_tokens} tokens or more. Texts whose cosine over character grams is {c.near_duplicate_threshold:g} or more are one family; all are kept." + (" What follows a heading of references is left out." if c.strip_references else "")),
+        ("Representation", f"Tokens {lemma}; stop words and repeats of the token before go. {phrases} The vocabulary holds the {c.max_features} most frequent terms of {c.min_df} documents or more and at most {c.max_df:.0%} of them. Units are of {units}; {cap}."),
+        ("Models", f"Latent Dirichlet allocation by batch variational Bayes, at most {c.max_iter} updates, until the perplexity changes by less than {c.tolerance:g}; topics' prior {alpha}, terms' prior {c.eta:g}."),
+        ("Number of topics", f"{', '.join(map(str, c.k_values))} topics, {len(c.seeds)} seeds and {c.folds} folds each. Of those within {c.coherence_tolerance:g} of the best coherence that reach a stability of {c.minimum_stability:g}, a diversity of {c.minimum_diversity:g} and a converged share of {c.minimum_converged:g} the rule recommends {facts['recommended topics']}; the final model has {facts['topics']}" + (", as the settings ask." if c.final_k else ".")),
+        ("Final model", f"The medoid of {len(c.seeds)} seeds (seed {facts['seed']}), {facts['updates']} updates. Prevalence has bootstrap intervals of {c.resamples} resamples of documents."),
+        ("Sensitivity", "Units of other lengths, all units, and other priors, three seeds each." if c.run_sensitivity else "Not run."),
+    ]
+    return "\n".join(["# Methods", ""] + [line for name, text in parts for line in (f"## {name}", "", text, "")])
+
+
 def run(docs: DataFrame, output: str, config: Config = Config()) -> dict:
     """The whole analysis of ``docs`` (doc_id, text); returns the folder, the decision and the checks."""
     spark, c = docs.sparkSession, config.checked()
@@ -398,9 +453,11 @@ def run(docs: DataFrame, output: str, config: Config = Config()) -> dict:
     ]
     text = IO.report("Analysis run", facts, {name: here.tables[name] for name in ("model_selection_summary", "topic_prevalence", "topic_coherence")}, prose)
     IO.write_text(spark, text, f"{here.folder}/report.md")
+    IO.write_text(spark, methods(c, facts), f"{here.folder}/methods.md")
     checks = integrity(here.tables, n, rep.training, c.folds, text)
     here.rows("verification", [{"check": k, "passed": v} for k, v in checks.items()], "check string, passed boolean")
     here.table("run_record", IO.run_record(spark, {**asdict(c), "documents": corpus["n"], "corpus": str(corpus["h"])}, here.timings))
+    IO.write_text(spark, IO.table_guide("Tables of the run", here.tables, ABOUT), f"{here.folder}/tables.md")
     if not all(checks.values()):
         raise IntegrityError(f"checks failed: {[k for k, v in checks.items() if not v]}")
     here.table("package_manifest", IO.package_manifest(spark, here.folder, ["/private/"]))

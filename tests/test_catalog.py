@@ -74,7 +74,7 @@ def test_stability_and_sensitivity(spark, data):
     assert len(pairs) == 10 and len({r["medoid"] for r in pairs}) == 1
     assert all(0 < r["similarity"] < 1 and 0 <= r["jaccard"] <= 1 and -1 <= r["ari"] <= 1 and 0 <= r["l1"] <= 2 for r in pairs)
     rows = {r["variant"]: r for r in catalog.QUERIES["lda_paired_audit"](spark, data).collect()}
-    assert set(rows) == {"whole_document_units", "chunks_200", "chunks_800", "alpha_0_1", "eta_0_1"} and all(r["n"] == 2 and r["min_similarity"] <= r["mean_similarity"] <= r["max_similarity"] for r in rows.values())
+    assert set(rows) == {"whole_document_units", "chunks_200", "chunks_800", "uncapped_training_chunks", "alpha_0_1", "eta_0_1"} and all(r["n"] == 2 and r["min_similarity"] <= r["mean_similarity"] <= r["max_similarity"] for r in rows.values())
 
 
 def test_near_duplicate_groups_equal_brute_force(spark, data):

@@ -151,3 +151,43 @@ def test_canonical_files_depend_on_the_rows_alone(spark, tmp_path):
     assert all(r["agree"] for r in out.collect())
     other = IO.reruns_identical(spark, lambda: {"unlike": (next(runs), ["id"])}, f"{tmp_path}/s", 2)
     assert not any(r["agree"] for r in other.collect())
+
+
+def test_requests_are_asked_once(spark, tmp_path):
+    """A worker that dies midway: what was answered by then is not asked again."""
+    requests = spark.createDataFrame([(k, f"h{k:02d}", f"prompt {k}") for k in range(12)] + [(99, "h03", "prompt 3")], "batch long, request_sha256 string, prompt string")
+    calls, broken, path = tmp_path / "calls", tmp_path / "broken", f"{tmp_path}/answers"
+    broken.write_text("yes")
+
+    def generate(prompt):
+        import os
+        import time
+
+        with open(calls, "a") as f:
+            f.write(prompt + "\n")
+        if prompt == "prompt 9" and broken.exists():
+            time.sleep(2)
+            os._exit(1)
+        return {"done": prompt != "prompt 5" or not broken.exists(), "done_reason": "stop", "response": f"answer to {prompt}"}
+
+    with pytest.raises(Exception):  # noqa: B017  the job fails with its task
+        IO.ask(requests, generate, path, wait=0.0)
+    whole = {r["request_sha256"] for r in spark.read.parquet(path).filter("done").collect()}
+    assert 4 <= len(whole) < 12 and "h05" not in whole
+    broken.unlink()
+    calls.write_text("")
+    out = IO.ask(requests, generate, path, wait=0.0)
+    asked = calls.read_text().split("\n")[:-1]
+    assert len(asked) == len(set(asked)) and {f"h{int(p.split()[1]):02d}" for p in asked} == {f"h{k:02d}" for k in range(12)} - whole
+    assert sorted(r["request_sha256"] for r in out.filter("done").collect()) == [f"h{k:02d}" for k in range(12)]
+    calls.write_text("")
+    assert IO.ask(requests, generate, path, wait=0.0).count() == out.count() and not calls.read_text()
+    assert IO.ask(requests.limit(0), generate, f"{tmp_path}/none").count() == 0
+
+
+def test_audit_counts_headings(spark):
+    texts = ["1. one\n## 2. two\n  3. three\nnot 4. here\n5 no\n#6. six", "", "12. twelve\n1.none"]
+    responses = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "batch long, response string")
+    members = spark.createDataFrame([(k, [1, 2]) for k in range(3)], "batch long, members array<long>")
+    got = {r["batch"]: (r["headings"], r["own"]) for r in IO.response_audit(responses, members).collect()}
+    assert got == {k: (len(re.findall(r"(?m)^\s*(?:#+\s*)?\d\.\s", t)), len({"1", "2"} & set(re.findall(r"\b(\d+)\b", t)))) for k, t in enumerate(texts)}

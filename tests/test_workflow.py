@@ -27,6 +27,8 @@ def test_run_writes_all_tables_and_passes_its_checks(spark, done):
     assert read("verification").filter("NOT passed").isEmpty() and read("package_manifest").filter("path LIKE '%/private/%'").isEmpty()
     report = "\n".join(r[0] for r in spark.read.text(f"{out['folder']}/report.md").collect())
     assert report.startswith("# Analysis run") and "topic_prevalence" in report
+    guide, prose = ("\n".join(r[0] for r in spark.read.text(f"{out['folder']}/{name}.md").collect()) for name in ("tables", "methods"))
+    assert "## topic_words" in guide and "| display_rank |" in guide and f"{out['documents']} documents of 30 tokens" in prose and f"the final model has {out['decision']['final_k']}" in prose
     timings = read("run_record").first()
     assert "cross_validate" in timings["timings"] and len(timings["code"]) == 64 and "pyspark" in timings["packages"]
 
@@ -56,6 +58,17 @@ def test_each_integrity_check_can_fail(spark, done):
     assert {k for k, v in W.integrity(fewer, out["documents"], units, 2, report).items() if not v} == {"requested tables exist"}
 
 
+def test_guide_and_methods(spark):
+    rows = spark.createDataFrame([(1, "a")], "x long, y string")
+    assert W.IO.table_guide("T", {"t": rows}, {"t": "Rows."}).split("\n") == ["# T", "", "## t", "", "Rows. 1 rows.", "", "| column | type |", "|---|---|", "| x | bigint |", "| y | string |", ""]
+    with pytest.raises(IntegrityError):
+        W.IO.table_guide("T", {"t": rows}, {})
+    facts = {"documents": 9, "recommended topics": 4, "topics": 5, "seed": 3, "updates": 7}
+    text = W.methods(W.Config(final_k=5, lemmatize=False, train_chunks_per_doc=None, run_sensitivity=False), facts)
+    assert "kept as they stand" in text and "recommends 4; the final model has 5, as the settings ask" in text and "all units of a document" in text and "Not run." in text
+    assert "by a dictionary" in W.methods(W.Config(lemma_dictionary="x"), facts) and "suffix rules" in W.methods(W.Config(), facts)
+
+
 def test_settings_are_checked(spark):
     for wrong in ({"profile": "none"}, {"folds": 1}, {"seeds": (1, 1)}, {"k_values": (1, 2)}, {"chunk_size": 50}, {"final_k": 99}):
         with pytest.raises(IntegrityError):
