@@ -52,17 +52,33 @@ def test_odd_and_empty_tables(odd_docs, no_docs, tmp_path, spark):
 
 def test_equal_rows_spread_over_the_buckets(spark):
     rows = spark.createDataFrame([(None, "one text in very many rows")] * 20000 + [(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
-    dealt = X.scattered(rows, 51, 42, 23000)
-    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    dealt, n, total = X.scattered(rows, 42)
+    assert (n, total) == (23000, sum(len(r["text"]) + 1 for r in rows.collect()))
+    sizes = [r["count"] for r in dealt.groupBy(F.pmod("h", F.lit(51))).count().collect()]
     assert sum(sizes) == 23000 and len(sizes) == 51 and max(sizes) < 1.5 * 23000 / 51
     out = X.sharded(rows, bucket_bytes=1 << 14).collect()
     law_holds(out, 8)
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(map(tuple, rows.collect()))
 
 
-def test_a_task_holds_one_bucket(documents):
-    total = documents.select(X.size_of_text().alias("s")).agg({"s": "sum"}).first()[0]
-    n = -(-total // 50_000)
-    rows = X.scattered(documents.select("doc_id", "text"), n, X.SEED, documents.count())
-    dealt = rows.repartitionById(n, F.col("bucket").cast("int")).select("bucket", F.spark_partition_id().alias("p"))
-    assert dealt.filter("bucket <> p").isEmpty() and dealt.select("p").distinct().count() == n
+def test_tasks_of_many_buckets_give_the_same_sequence(spark, documents):
+    copies = spark.createDataFrame([(9999, "copy")] * 2000, "doc_id long, text string")
+    rows = documents.select("doc_id", "text").unionByName(copies)
+    made = {}
+    for most in (10_000, 5, 1):
+        out = X.sharded(rows, bucket_bytes=20_000, most_tasks=most)
+        made[most] = sorted((r["shard"], r["slot"], r["doc_id"]) for r in out.collect())
+        tasks = out.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks == most if most <= 5 else tasks > 20
+    assert made[10_000] == made[5] == made[1]
+    law_holds(X.sharded(rows, bucket_bytes=20_000, most_tasks=5).collect(), 8)
+
+
+def test_a_task_holds_one_bucket_at_a_time(documents):
+    """Rows that come to a task sorted by bucket are one bucket after the other, whatever batches they come in."""
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        few = sorted(map(tuple, X.sharded(documents, bucket_bytes=50_000, most_tasks=2).select("doc_id", "shard", "slot").collect()))
+    finally:
+        documents.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert few == sorted(map(tuple, X.sharded(documents, bucket_bytes=50_000).select("doc_id", "shard", "slot").collect()))
