@@ -525,7 +525,7 @@ def response_audit(responses: DataFrame, members: DataFrame, pattern: str = r"\b
     """(batch, own, foreign, words, headings): ids of its own batch that a response names, other numbers, its words and its
     numbered headings."""
     rows = responses.join(members, "batch")
-    named = F.array_distinct(F.regexp_extract_all("response", F.lit(pattern), F.lit(1)))
+    named = F.array_distinct(F.regexp_extract_all("response", F.lit(T.ascii_edges(pattern)), F.lit(1)))
     own = F.transform("members", lambda m: m.cast("string"))
     return rows.select("batch", F.size(F.array_intersect(named, own)).alias("own"), F.size(F.array_except(named, own)).alias("foreign"), T.count_words(F.col("response")).alias("words"), F.regexp_count("response", F.lit(HEADING)).cast("long").alias("headings"))
 

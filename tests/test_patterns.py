@@ -88,3 +88,12 @@ def test_cited_pages(spark):
     out = X.cited(pages, spark.createDataFrame(targets, "target string, doc_id long, page long, patterns array<string>"), ["doc_id", "page"])
     assert {r["target"]: (r["hits"], r["all_found"]) for r in out.collect()} == {"a": ([True, True], True), "b": ([True, False], False), "c": ([False], False), "d": ([], True), "e": ([True], True)}
     assert out.select(F.count_if("all_found")).first()[0] == 3
+
+
+@pytest.mark.parametrize(("pattern", "text"), [(r"\bund\b", "undöschpf"), (r"\bund\b", "rund"), (r"\bund\b", "éund"), (r"\Bund", "éund"), (r"a\\\\b", r"ca\\b"), (r"\bé", "é"), (r"\d\b\b.", "5ß")])
+def test_word_edges_are_those_of_ascii(spark, pattern, text):
+    """As in SQL's engine, where letters beyond ASCII are no parts of words."""
+    want = bool(re.search(pattern, text, re.I | re.A))
+    pages = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert X.conjunctions(pages, {"r": [pattern]}).count() == want
+    assert X.cited(pages, spark.createDataFrame([(1, 1, [pattern])], "target int, doc_id long, patterns array<string>")).first()["hits"] == [want]
