@@ -334,3 +334,46 @@ def test_groups_without_pairs_equal_all_pairs(spark):
         root = [low if r == high else r for r in root]
     got = dict(S.near_duplicate_groups(docs, 0.93, min_df=1).collect())
     assert [got[i] for i in range(len(texts))] == root and 6 <= len(set(root)) < len(texts)
+
+
+def test_lists_are_counted_where_they_stand(spark):
+    """The same counts as from token rows, without an exchange; units cut as ``units`` cuts them; null and empty lists."""
+    words = [["b", "a", "b", "é"] * 7, [], None, ["a"], ["x", "y"] * 13]
+    lists = spark.createDataFrame([(i, i % 2, w) for i, w in enumerate(words)], "doc_id long, topic int, words array<string>")
+    rows = V.rows_of(lists)
+    got = V.list_counts(lists)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert key(got, "doc_id", "term", "n", "size") == key(V.per_document(rows), "doc_id", "term", "n", "size")
+    assert {(r["doc_id"], r["topic"]) for r in got.collect()} == {(0, 0), (3, 1), (4, 0)}
+    units = V.units(rows, 10, 4).groupBy("doc_id", "unit", F.col("token").alias("term")).agg(F.count("*").alias("n"))
+    assert key(V.list_counts(lists, 10, 4), "doc_id", "unit", "term", "n") == key(units, "doc_id", "unit", "term", "n")
+
+
+def test_lists_merge_as_rows_do(spark):
+    rng = np.random.default_rng(3)
+    lists = spark.createDataFrame([(i, [str(w) for w in rng.choice(list("abcd"), n)]) for i, n in enumerate([0, 1, 2, 3, 9, 40, 400])], "doc_id long, words array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "a")], "a string, b string")
+    rows = V.merge_phrases(V.rows_of(lists), phrases).orderBy("doc_id", "pos").collect()
+    want = {d: [r["token"] for r in g] for d, g in itertools.groupby(rows, key=lambda r: r["doc_id"])}
+    merged = V.merge_lists(lists, phrases)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, merged.collect())) == dict(map(tuple, V.merge_lists(lists, phrases, 2).collect())) == want
+
+
+def test_own_topic_score_equals_the_mixture_of_one(spark):
+    target = spark.createDataFrame([(1, 0, "a", 2), (1, 0, "z", 1), (2, 1, "a", 1), (2, 1, "b", 3)], "doc_id long, topic int, term string, n long")
+    phi = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.5), (1, "a", 0.1), (1, "b", 0.9)], "topic int, term string, p double")
+    uni = spark.createDataFrame([("a", 0.3), ("b", 0.6), ("z", 0.1)], "term string, p double")
+    theta = target.select("doc_id", "topic", F.lit(1.0).alias("w")).distinct()
+    key = lambda df: {r["doc_id"]: (pytest.approx(r["loglik"]), r["tokens"], pytest.approx(r["unigram"])) for r in df.collect()}
+    got = P.own_topic_score(target, phi, uni)
+    assert {r["doc_id"]: (r["loglik"], r["tokens"], r["unigram"]) for r in got.collect()} == key(P.completion_score(target.drop("topic"), theta, phi, uni))
+
+
+def test_tokens_are_made_once_and_few_passes(spark):
+    """Overlapping units ask for a document's tokens once; without aliases no text is rewritten for characters that part tokens."""
+    docs = spark.createDataFrame([(1, "ab-cde fgh‐ijk café x.y"), (2, ""), (3, None)], "doc_id long, text string")
+    plan = V.overlapping_units(docs, 3, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [r["w"] for r in docs.select(T.tokens(F.col("text")).alias("w")).collect()] == [["cde", "fgh", "ijk", "caf"], [], None]
