@@ -51,6 +51,8 @@ class Settings:
     block_rows: int = 16384
     block_numbers: int = 1 << 24
     chunk_queries: int = 16384
+    #: Tasks of the search at most.
+    tasks: int = 4096
     seed: int = 42
     #: The recall asked of a block's forest, and of the cells before it.
     recall: float = 0.96
@@ -120,6 +122,10 @@ def inner(x: np.ndarray, q: np.ndarray) -> float:
     return float(math.fsum((x / a * (q / b)).tolist()) * a * b)
 
 
+#: The share of candidates, counted in every tree, from which on a block's rows are all multiplied.
+DENSE = 0.5
+
+
 class Forest:
     """The trees over one block's vectors. ``share``: candidates that are enough, counted in every tree, over rows."""
 
@@ -168,14 +174,17 @@ class Forest:
         """For each query its k best (score, id), best first; ``own`` holds the ids that queries pass over."""
         low, high = self.ranges(queries)
         k, out = self.s.k, []
+        # where a query has much of the block as candidates, one product with all rows costs less than to gather them
+        units = queries / np.array([power_of_two(x) for x in np.abs(queries).max(axis=1)])[:, None]
+        dense = units @ self.scaled.T if share >= DENSE else None
         for i, q in enumerate(queries.astype(np.float64)):
             at = self.candidates(low[:, :, i], high[:, :, i], max(4 * k, share * len(self.x)))
             at = at[ids[at] != own[i]]
             if not len(at):
                 out.append([])
                 continue
-            unit = q / power_of_two(np.abs(q).max())
-            near = self.scaled[at] @ unit
+            unit = units[i]
+            near = self.scaled[at] @ unit if dense is None else dense[i, at]
             if len(at) > k:
                 least = np.partition(near, len(at) - k)[len(at) - k]
                 at = at[near >= least - 1e-10 * self.top * np.linalg.norm(unit)]
@@ -350,7 +359,10 @@ def nearest(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> D
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[2] for o in out], pa.int64()), "score": pa.array([o[1] for o in out], pa.float64())})
 
     names = ["vec_id", "embedding", "dim", "cell", "b", "c", "query"]
-    near = a.select(names).unionByName(b.select(names)).groupBy("dim", "cell", "b", "c").applyInArrow(run, "query_id long, vec_id long, score double")
+    # a task for each few blocks: joined by their bytes, which say little of their work, they would be one task
+    tasks = sizes.agg(F.sum(F.col("blocks").cast("long") * F.col("chunks"))).first()[0] or 1
+    together = a.select(names).unionByName(b.select(names)).repartition(int(min(max(2 * tasks, 1), s.tasks)), "dim", "cell", "b", "c")
+    near = together.groupBy("dim", "cell", "b", "c").applyInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # a neighbour met in several cells comes with the same score each time
     near = near.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= s.k)

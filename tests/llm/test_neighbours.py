@@ -127,3 +127,22 @@ def test_an_id_is_one_vector(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9]), (2, [5.0, 5.0]), (3, [0.2, 0.7]), (3, [0.2, 0.7]), (4, [9.0]), (4, [7.0, 7.0])]
     out = X.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 2, 0.9), (2, 3, 0.7), (3, 1, 0.1)]
+
+
+def test_the_search_is_dealt_over_tasks(spark):
+    """Few bytes, but much work: adaptive execution joins no blocks into one task. One product with a block's rows finds what
+    gathered candidates find."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = X.nearest(df, F.col("vec_id") % 100 == 0, X.Settings(block_rows=1024, k=5))
+    assert out._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") == 1
+    s = X.Settings(k=5)
+    f, asked = X.Forest(x, s), x[::500]
+    ids, own = np.arange(len(x)), np.arange(0, 5000, 500)
+    dense = f.search(asked, ids, own, 0.6)
+    X.DENSE, was = 99.0, X.DENSE
+    try:
+        assert f.search(asked, ids, own, 0.6) == dense
+    finally:
+        X.DENSE = was
