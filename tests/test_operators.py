@@ -377,3 +377,16 @@ def test_tokens_are_made_once_and_few_passes(spark):
     plan = V.overlapping_units(docs, 3, 1, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
     assert [r["w"] for r in docs.select(T.tokens(F.col("text")).alias("w")).collect()] == [["cde", "fgh", "ijk", "caf"], [], None]
+
+
+def test_listed_passages_are_found_without_windows(spark):
+    """One pass over each text, whose words make no rows of their own; joined passages find the same."""
+    passages = ["aa bb cc dd", "a bb c", "bb", "é b", "bb cc", "", None, "aa bb cc dd", "x" * 40]
+    texts = ["aa bb cc dd ee", "xa bb cx", None, "", "é bb", "x" * 39, "y" + "x" * 50, "aa  bb cc dd"]
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id int, text string")
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, d) for i, a in enumerate(passages) for d, b in enumerate(texts) if a is not None and b is not None and a in b)
+    got = R.containment(p.filter("text <> ''"), t)
+    assert "xxhash64" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, R.containment(p, t).collect())) == sorted(map(tuple, R.containment(p, t, listed=0).collect())) == want
+    assert sorted(map(tuple, R.containment(p, t, words=2, short=1, listed=0).collect())) == want
