@@ -69,6 +69,13 @@ def test_special_functions():
     assert np.isclose(M.trigamma(np.array([1.0]))[0], math.pi**2 / 6) and np.isclose(M.trigamma(np.array([0.5]))[0], math.pi**2 / 2)
 
 
+def test_exp_digamma_is_one_expression():
+    x = np.array([1e-3, 0.05, 0.4, 1.0, 2.5, 5.999, 6.0, 7.0, 300.0, 1e9])
+    assert np.allclose(M.exp_digamma(x)[1:], np.exp(M.digamma(x))[1:], rtol=1e-12) and M.exp_digamma(x)[0] == 0
+    steps = M.digamma(x + 1) - M.digamma(x)
+    assert np.allclose(steps, 1 / x, rtol=1e-9, atol=1e-9)
+
+
 def test_fit_equals_plain_variational_bayes(spark):
     counts = corpus()
     s = M.TopicSettings(k=3, seed=5, iterations=4, tolerance=0.0, inner=40)
@@ -94,6 +101,33 @@ def test_bound_rises_and_fits_end(spark):
     assert np.allclose(M.phi_matrix(both[1]).sum(axis=1), 1)
 
 
+def test_weights_in_blocks_equal_those_unit_by_unit(monkeypatch):
+    rng = np.random.default_rng(3)
+    many = rng.permutation([1, 1, 2, 3, 5, 8, 13, 40, 40, 41, 60, 200])
+    terms = np.concatenate([np.sort(rng.choice(300, n, replace=False)) for n in many])
+    counts, starts = rng.integers(1, 9, len(terms)).astype(float), np.cumsum(many) - many
+    m = M._sent(M.initial(M.TopicSettings(k=4, seed=2, inner=90), 300))
+    expect = lambda g: np.exp(M.digamma(g) - M.digamma(g.sum()))
+    parts = []
+    for s, n in zip(starts, many, strict=True):
+        gamma, words, c = np.ones(4), m.exp_topics[terms[s : s + n]], counts[s : s + n]
+        for _ in range(m.inner):
+            last, theta = gamma, expect(gamma)
+            gamma = m.alpha + theta * ((c / (words @ theta)) @ words)
+            if np.abs(gamma - last).mean() < m.change:
+                break
+        parts.append((gamma, expect(gamma), words @ expect(gamma)))
+    largest = []
+    product = M.exp_digamma
+    monkeypatch.setattr(M, "exp_digamma", lambda x: largest.append(len(x)) or product(x))
+    for block in (1, 64, 1 << 15):
+        monkeypatch.setattr(M, "BLOCK", block)
+        got = M.unit_weights(m, terms, counts, starts)
+        assert np.allclose(got[0], [p[0] for p in parts], rtol=1e-6) and np.allclose(got[1], [p[1] for p in parts], rtol=1e-6)
+        assert np.allclose(got[2], np.concatenate([p[2] for p in parts]), rtol=1e-6)
+        assert block > 1 or max(largest) == 1
+
+
 def test_first_generation_learns_its_prior(spark):
     counts = corpus(40)
     s = M.TopicSettings(k=3, seed=1, iterations=6, tolerance=0.0, alpha="asymmetric", learn_alpha=True, learn_eta=True)
