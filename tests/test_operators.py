@@ -336,6 +336,40 @@ def test_groups_without_pairs_equal_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == root and 6 <= len(set(root)) < len(texts)
 
 
+def test_blocks_of_documents_equal_brute_force(spark, monkeypatch):
+    """Several blocks, few meetings at once; documents go to the tasks once and nothing but links comes back."""
+    rng = np.random.default_rng(4)
+    base = [rng.choice(400, 25, replace=False) + 1 for _ in range(5)]
+    idf = np.concatenate(([0.0], rng.uniform(1, 6, 400)))
+    docs = []
+    for k in range(60):
+        own = set(base[k % 5].tolist())
+        own = sorted(own - set(rng.choice(sorted(own), k % 4, replace=False).tolist()) | set((rng.choice(400, k % 3, replace=False) + 1).tolist()))
+        docs.append((k, k if k % 6 else 0, own, rng.integers(1, 3, len(own)).tolist()))
+    dense = np.zeros((60, 401))
+    for k, _, own, tf in docs:
+        dense[k, own] = tf * idf[own]
+    cosine = (dense := dense / np.linalg.norm(dense, axis=1, keepdims=True)) @ dense.T
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if cosine[a, b] >= 0.8 and docs[a][1] != docs[b][1]}
+    size, place, tf = (np.concatenate([np.atleast_1d(x) for x in xs]).astype(np.int64) for xs in ([len(d[2]) for d in docs], [d[2] for d in docs], [d[3] for d in docs]))
+    block = S._Block(np.arange(60), np.array([d[1] for d in docs]), size, place, tf, idf, 0.8)
+    for pairs in (1, 50, 1 << 22):
+        monkeypatch.setattr(S, "PAIRS", pairs)
+        found = [(a, b) for i, j in S._candidates(block, block, 0.8) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and want <= set(found) and all(a < b for a, b in found)
+    monkeypatch.setattr(S, "BLOCK", 9)
+    vectors = spark.createDataFrame(docs, "doc_id long, c long, places array<int>, tfs array<int>")
+    top = spark.createDataFrame([(k, float(idf[k])) for k in range(1, 401)], "place int, idf double")
+    every = S._linked(vectors, top, 0.8, False)
+    assert every._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = every.collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(want) and all(abs(r["similarity"] - cosine[r["a"], r["b"]]) < 1e-9 for r in rows)
+    few = [(r["a"], r["b"]) for r in S._linked(vectors, top, 0.8, True).collect()]
+    same = [(0, k) for k in range(0, 60, 6)]
+    groups = lambda links: dict(H.connected_components(spark.createDataFrame([*links, *same], "a long, b long")).collect())
+    assert set(few) <= want and len(few) < len(want) and groups(few) == groups(want)
+
+
 def test_lists_are_counted_where_they_stand(spark):
     """The same counts as from token rows, without an exchange; units cut as ``units`` cuts them; null and empty lists."""
     words = [["b", "a", "b", "é"] * 7, [], None, ["a"], ["x", "y"] * 13]
