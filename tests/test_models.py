@@ -213,6 +213,25 @@ def test_sensitivity_and_paired_audit(spark):
         M.paired_audit({1: M.phi_matrix(base)[:2]}, phis)
 
 
+def test_variants_of_the_same_units_share_their_passes(spark):
+    counts = corpus(20)
+    rows, v = frame(spark, counts), counts.shape[1]
+    other = rows.repartition(2)
+    base = M.fit(rows, M.TopicSettings(k=3, seed=1, iterations=3), v)
+    asked = []
+
+    def fits(units, settings, terms):
+        asked.append((units is rows, [(s.alpha, s.eta, s.seed) for s in settings]))
+        return M.fit_all(units, settings, terms)
+
+    variants = [M.Variant("alpha", rows, rows, {"alpha": 0.1}), M.Variant("whole", other, other), M.Variant("eta", rows, rows, {"eta": 0.1})]
+    runs, phis = M.sensitivity(base, None, variants, [1, 2], v, fits)
+    assert sorted(asked, key=str) == [(False, [(None, 0.01, 1), (None, 0.01, 2)]), (True, [(0.1, 0.01, 1), (0.1, 0.01, 2), (None, 0.1, 1), (None, 0.1, 2)])]
+    assert [(r["variant"], r["seed"]) for r in runs] == [(n, s) for n in ("alpha", "whole", "eta") for s in (1, 2)]
+    alone = M.fit(rows, M.TopicSettings(k=3, seed=2, iterations=3, eta=0.1), v)
+    assert np.allclose(phis["eta", 2], M.phi_matrix(alone), rtol=1e-9)
+
+
 def test_completion_equals_plain_scores(spark):
     counts = corpus(20)
     rng = np.random.default_rng(2)
