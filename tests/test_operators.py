@@ -413,6 +413,14 @@ def test_tokens_are_made_once_and_few_passes(spark):
     assert [r["w"] for r in docs.select(T.tokens(F.col("text")).alias("w")).collect()] == [["cde", "fgh", "ijk", "caf"], [], None]
 
 
+def test_only_texts_with_an_at_sign_are_searched_for_mail_addresses(spark):
+    texts = ["See HTTPS://a.example/x and www.b.example, then Mail", "write to Anna.Bell@mail.example now; https://c.example/q@r", "@ alone, a @b c@ ddd@eee fff", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = rows.select("k", T.without_addresses(F.col("t")).alias("a"), F.regexp_replace(F.lower("t"), T.ADDRESSES, " ").alias("b")).orderBy("k").collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and found[0]["a"] == "see   and   then mail"
+    assert found[1]["a"] == "write to   now;  "
+
+
 def test_listed_passages_are_found_without_windows(spark):
     """One pass over each text, whose words make no rows of their own; joined passages find the same."""
     passages = ["aa bb cc dd", "a bb c", "bb", "é b", "bb cc", "", None, "aa bb cc dd", "x" * 40]
