@@ -219,8 +219,10 @@ def write_records(docs: DataFrame, path: str) -> None:
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, n, value): a GraphML document's elements in order of part and n; edges are numbered from e1."""
-    attr = lambda names: F.concat(*[F.concat(F.lit(f'<data key="{c}">'), T.xml_escape(T.xml_safe(F.coalesce(F.col(c).cast("string"), F.lit("")))), F.lit("</data>")) for c in names])
-    ident = lambda c: T.xml_escape(T.xml_safe(F.col(c)))
+    # line ends as references, so that an element is a line, and comes back as it was
+    escaped = lambda c: F.replace(F.replace(T.xml_escape(T.xml_safe(c)), F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;"))
+    attr = lambda names: F.concat(*[F.concat(F.lit(f'<data key="{c}">'), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</data>")) for c in names])
+    ident = lambda c: escaped(F.col(c))
     a = numbered(nodes, ["id"], "__n").select(F.lit(1).alias("part"), F.col("__n").alias("n"), F.concat(F.lit('<node id="'), ident("id"), F.lit('">'), attr([c for c in nodes.columns if c != "id"]), F.lit("</node>")).alias("value"))
     e = F.col("__n")
     b = numbered(edges, ["source", "target", "relation"], "__n").select(F.lit(2).alias("part"), e.alias("n"), F.concat(F.lit('<edge id="e'), e.cast("string"), F.lit('" source="'), ident("source"), F.lit('" target="'), ident("target"), F.lit('">'), attr([c for c in edges.columns if c not in ("source", "target")]), F.lit("</edge>")).alias("value"))
@@ -245,11 +247,30 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_ordered(rows, ["part", "n"], "value", path)
 
 
+#: A line that holds a whole key, node or edge, and one that holds none, nor a comment or section that may hide one.
+_WHOLE, _NONE = r"^<(?:key|node|edge)(?:\s[^<>]*)?(?:/>|>(?:<data[^<>]*(?:/>|>[^<>]*</data>))*</(?:key|node|edge)>)\r?$", r"<(?:key|node|edge)[\s/>]|<data[\s/>]|</(?:key|node|edge|data)\s*>|<!--|<!\[CDATA\["
+
+
+def _an_element_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether each key, node and edge of GraphML files stands on a line of its own, found in one pass over their ranges."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.filter(~F.col("value").rlike(_WHOLE) & F.col("value").rlike(_NONE)).isEmpty()
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, ...) and edges (source, target, ...) of a GraphML file, or of a folder of its parts, attributes with their
-    names and types; an element without an attribute has null there. Elements are read by ranges of the file."""
+    names and types; an element without an attribute has null there. A file with each element on a line of its own, as
+    ``write_graphml`` writes, is read by ranges; of others a task reads a whole file, as the XML reader does."""
     element = "data array<struct<_key: string, _VALUE: string>>"
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    options = {"attributePrefix": "_", "ignoreSurroundingSpaces": "false"}
+    lined = _an_element_a_line(spark, path)
+
+    def read(tag: str, schema: str) -> DataFrame:
+        if not lined:
+            return spark.read.format("xml").option("rowTag", tag).options(**options).schema(schema).load(path)
+        lines = spark.read.option("lineSep", "\n").text(path).filter(F.col("value").rlike(rf"^<{tag}[\s/>]"))
+        return lines.select(F.from_xml("value", schema, options).alias("x")).select("x.*")
+
     keys = read("key", "_id string, _for string, `_attr.name` string, `_attr.type` string").collect()  # a row for each column
     out = []
     for on, ends in (("node", ["id"]), ("edge", ["source", "target"])):

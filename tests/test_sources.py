@@ -120,6 +120,28 @@ def test_graphml_is_one_file_of_many_parts_and_comes_back(spark, tmp_path):
     assert all(r["failures"] == 0 for r in H.export_validation(nodes, edges, *back, "graphml").collect())
 
 
+def test_graphml_is_read_by_ranges_of_the_file(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n{k:03}", "two\nlines" if k == 7 else "a > b & c") for k in range(200)], "id string, label string")
+    edges = spark.createDataFrame([(f"n{k:03}", "n000", "r", float(k)) for k in range(1, 200)], "source string, target string, relation string, weight double")
+    path = f"{tmp_path}/g.graphml"
+    IO.write_graphml(nodes, edges, path)
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, "4096")
+    try:
+        back = IO.read_graphml(spark, path)
+        assert min(x.rdd.getNumPartitions() for x in back) > 4
+        assert sorted(map(tuple, back[0].collect())) == sorted(map(tuple, nodes.collect()))
+        assert sorted(map(tuple, back[1].collect())) == sorted(map(tuple, edges.collect()))
+        # elements of several lines, several on a line, or in a comment, are those of a reader of whole files
+        text = open(path).read().replace('"><data', '">\n  <data').replace("</node>\n<node", "</node><node").replace("<graph ", '<!--\n<node id="no"/>\n--><graph ')
+        open(f"{tmp_path}/other.graphml", "w").write(text)
+        other = IO.read_graphml(spark, f"{tmp_path}/other.graphml")
+        assert sorted(map(tuple, other[0].collect())) == sorted(map(tuple, nodes.collect())) and other[1].count() == 199
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("check", ["nodes agree", "edges agree", "ends of edges are nodes", "node ids are unique", "edge keys are unique", "origins agree", "node attributes agree", "edge attributes agree", "no node attribute is missing", "no edge attribute is missing", "numbers of nodes and edges agree"])
 def test_each_export_check_can_fail(spark, check):
     from pyspark.sql import functions as F
