@@ -9,10 +9,11 @@ from inkstone.functions import text as T
 from inkstone.operators import evidence as E
 from inkstone.operators import pages as G
 from inkstone.operators import relational as R
+from inkstone.operators import tokens as K
 from inkstone.operators import vocabulary as V
-from inkstone.storage import written
+from inkstone.storage import checkpointed, written
 from inkstone.plans.catalog import (
-    DIMENSIONS, GROUPS, LEXICON, RAW_TOKENS, RULES, STOP, TOKENS, doubled, query, r6, raw_tokens, sql_category, sql_count, table, token_lists, token_rows,
+    DIMENSIONS, GROUPS, LEXICON, RAW_TOKENS, RULES, STOP, TOKENIZER, TOKENS, doubled, query, r6, raw_tokens, sql_category, sql_count, table, term_counts, texts, token_lists, token_rows,
 )
 
 # --- evidence -------------------------------------------------------------------------------
@@ -333,7 +334,7 @@ rate AS (
 
 @query(f"WITH {TOKENS}, {_RATES} SELECT term, total, df, round(per_10k, 6) AS per_10k, round(mean_per_10k, 6) AS mean_per_10k FROM rate")
 def normalized_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.normalized_frequency(token_lists(spark, sf_dir, False), table(spark, sf_dir, "documents").count())
+    rows = V.normalized_frequency(term_counts(spark, sf_dir), table(spark, sf_dir, "documents").count())
     return rows.withColumns({c: r6(F.col(c)) for c in ("per_10k", "mean_per_10k")})
 
 
