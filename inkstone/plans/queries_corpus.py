@@ -320,7 +320,7 @@ def token_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT token AS term, count(*) AS tf, count(DISTINCT doc_id) AS df, round(count(*) / (SELECT count(*) FROM token), 6) AS share FROM token GROUP BY token")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.term_frequency(token_lists(spark, sf_dir, False)).withColumn("share", r6(F.col("share")))
+    return V.term_frequency(term_counts(spark, sf_dir)).withColumn("share", r6(F.col("share")))
 
 
 _RATES = """
