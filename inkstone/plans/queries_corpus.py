@@ -457,9 +457,9 @@ top AS (SELECT token FROM token GROUP BY token ORDER BY count(DISTINCT doc_id) D
 has AS (SELECT DISTINCT u.doc_id, u.unit, u.token FROM unit u JOIN top ON top.token = u.token)
 SELECT x.token AS source, y.token AS target, count(*) AS joint FROM has x JOIN has y ON x.doc_id = y.doc_id AND x.unit = y.unit AND x.token < y.token GROUP BY ALL HAVING count(*) >= 2""")
 def unit_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = token_lists(spark, sf_dir)
-    top = V.term_frequency(lists).orderBy(F.desc("df"), "term").limit(30).select("term")
-    keyed = V.units(V.rows_of(lists), 100, 30).select(F.struct("doc_id", "unit").alias("key"), F.col("token").alias("term"))
+    top = checkpointed(V.term_frequency(term_counts(spark, sf_dir)).orderBy(F.desc("df"), "term").limit(30).select("term"))
+    counts = K.document_counts(texts(spark, sf_dir), TOKENIZER, 100, 30, [r["term"] for r in top.collect()])
+    keyed = counts.select(F.struct("doc_id", "unit").alias("key"), "term")
     return V.pair_counts(keyed, "key", top).filter("joint >= 2")
 
 
