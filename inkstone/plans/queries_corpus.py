@@ -344,19 +344,19 @@ vocab AS (
   ORDER BY df DESC, term LIMIT 500)"""
 
 
-def _vocab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tokens = token_lists(spark, sf_dir)
-    return tokens, V.vocabulary(tokens, table(spark, sf_dir, "documents").count(), 2, 0.5, 500)
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vocabulary(term_counts(spark, sf_dir), table(spark, sf_dir, "documents").count(), 2, 0.5, 500)
 
 
 @query(f"WITH {TOKENS}, {_VOCAB} SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, tf, df FROM vocab")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocab(spark, sf_dir)[1]
+    return _vocab(spark, sf_dir)
 
 
 @query(f"WITH {TOKENS}, {_VOCAB} SELECT t.doc_id, count(*) AS tokens, count(v.term) AS known, round(1 - count(v.term) / count(*), 6) AS oov FROM token t LEFT JOIN vocab v ON v.term = t.token GROUP BY t.doc_id")
 def vocabulary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.coverage(*_vocab(spark, sf_dir)).withColumn("oov", r6(F.col("oov")))
+    known = [r["term"] for r in _vocab(spark, sf_dir).collect()]  # at most 500
+    return K.coverage(texts(spark, sf_dir), TOKENIZER, known).withColumn("oov", r6(F.col("oov")))
 
 
 _UNITS = """
@@ -373,8 +373,9 @@ def unit_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKENS}, {_UNITS}, {_VOCAB}, v AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id FROM vocab)
 SELECT u.doc_id, u.unit, v.term_id, count(*) AS n FROM unit u JOIN v ON v.term = u.token GROUP BY ALL""")
 def bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, vocab = _vocab(spark, sf_dir)
-    return V.bag_of_words(V.list_counts(tokens, 100, 30), vocab)
+    vocab = checkpointed(_vocab(spark, sf_dir))
+    known = [r["term"] for r in vocab.collect()]  # at most 500
+    return V.bag_of_words(K.document_counts(texts(spark, sf_dir), TOKENIZER, 100, 30, known), vocab)
 
 
 @query(f"""WITH {raw_tokens(False, False)},
