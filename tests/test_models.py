@@ -303,3 +303,44 @@ def test_coherence_equals_plain_windows(spark):
         whole = m.sum(axis=0)
         cosines = [float(r @ whole / (np.linalg.norm(r) * np.linalg.norm(whole))) if np.linalg.norm(r) else 0.0 for r in m]
         assert np.isclose(got_v, np.mean(cosines)) and np.isclose(got_n, np.mean([m[i, j] for i, j in itertools.combinations(range(3), 2)]))
+
+
+def test_models_of_the_same_units_and_settings_are_fitted_once(spark, monkeypatch):
+    counts = corpus(20)
+    rows, v = frame(spark, counts), counts.shape[1]
+    s = M.TopicSettings(k=3, seed=1, iterations=2)
+    base, asked, whole = M.fit(rows, s, v), [], M.fit_all
+    monkeypatch.setattr(M, "fit_all", lambda units, settings, terms: asked.append((units is rows, list(settings))) or whole(units, settings, terms))
+    memo, other = M.FitMemo(rows, [base]), M.TopicSettings(k=3, seed=2, iterations=2)
+    first = memo.fit_all(rows, [other, s, other], v)
+    assert first[1] is base and first[0] is first[2] and first[0].settings == other
+    again = memo.fit_all(rows.repartition(2), [s], v)[0]
+    assert again is not base and np.allclose(again.components, base.components)
+    assert asked == [(True, [other]), (False, [s])]
+
+
+def test_slow_units_of_many_blocks_share_their_calls(monkeypatch):
+    rng = np.random.default_rng(4)
+    many = rng.integers(3, 30, 600)
+    terms = np.concatenate([np.sort(rng.choice(300, n, replace=False)) for n in many])
+    counts, starts = rng.integers(1, 9, len(terms)).astype(float), np.cumsum(many) - many
+    m = M._sent(M.initial(M.TopicSettings(k=4, seed=2, inner=250), 300))
+    m.exp_topics[:] = rng.dirichlet(np.full(300, 0.05), 4).T + 1e-9
+    calls, product = [], M.exp_digamma
+    monkeypatch.setattr(M, "exp_digamma", lambda x: calls.append(len(x)) or product(x))
+    monkeypatch.setattr(M, "BLOCK", 512)
+    monkeypatch.setattr(M, "ROUNDS", ())
+    alone = M.unit_weights(m, terms, counts, starts)
+    before = len(calls)
+    for rounds in ((1, 2, 3), (8, 20, 60)):
+        monkeypatch.setattr(M, "ROUNDS", rounds)
+        calls.clear()
+        for x, y in zip(alone, M.unit_weights(m, terms, counts, starts), strict=True):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-12)
+    assert len(calls) < 0.8 * before
+
+
+def test_units_are_dealt_evenly(spark):
+    rows = M.evened(spark.range(0, 10_000, 1, 1).withColumn("terms", F.array(F.lit(1))))
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == M.PARTS * spark.sparkContext.defaultParallelism and max(sizes) <= 1.1 * min(sizes)

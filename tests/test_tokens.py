@@ -129,3 +129,19 @@ def test_own_topic_score_takes_the_unigram_from_phi(spark):
     both = spark.createDataFrame([(0, "a", 1.0, 0.5), (1, "a", 0.25, 0.5), (1, "b", 0.75, 0.5)], "topic int, term string, p double, u double")
     apart = P.own_topic_score(target, both.select("topic", "term", "p"), both.select("term", F.col("u").alias("p")).distinct())
     assert sorted(P.own_topic_score(target, both).collect()) == sorted(apart.collect())
+
+
+def test_unit_bags_equal_counted_lists(docs, small):
+    from inkstone.operators import models as M
+
+    lists = K.lists(docs, TOKENIZER).select("doc_id", "words").cache()
+    vocab = V.vocabulary(lists, docs.count(), 2, 1.0, 12).cache()
+    known = [r["term"] for r in vocab.orderBy("term_id").collect()]
+    cuts = [(20, 5), (0, 0), (7, 3)]
+    got = K.unit_bags(docs, TOKENIZER, known, cuts).collect()
+    for k, (size, tail) in enumerate(cuts):
+        counts = V.list_counts(lists, size, tail) if size else V.list_counts(lists).withColumn("unit", F.lit(0))
+        want = {(r["doc_id"], r["unit"]): (r["terms"], r["counts"]) for r in M.unit_rows(V.bag_of_words(counts, vocab)).collect()}
+        own = [r for r in got if r["cut"] == k]
+        assert len(own) == len(want) > 100 and {(r["doc_id"], r["unit"]): (r["terms"], r["counts"]) for r in own} == want
+    assert K.unit_bags(docs, TOKENIZER, [], cuts).isEmpty() and K.unit_bags(docs.limit(0), TOKENIZER, known, cuts).isEmpty()
