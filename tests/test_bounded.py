@@ -80,3 +80,19 @@ def test_swept_windows_equal_each_window(spark, window, monkeypatch):
     rows = [(d, k, len(w), t) for d, w in enumerate(docs) for k, t in enumerate(w)]
     tokens = spark.createDataFrame(rows, "doc_id long, pos int, n long, token string")
     assert M.window_counts(tokens, list("abcd"), window) == plain_windows(docs, "abcd", window)
+
+
+def test_documents_of_a_block_travel_in_few_bytes():
+    import numpy as np
+
+    from inkstone.operators import similarity as S
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 400, 60)
+    place = np.concatenate([np.sort(rng.choice(40_000, n, replace=False)) + 1 for n in size]).astype(np.int32)
+    given = rng.integers(-5, 1 << 40, 60), rng.integers(0, 1 << 62, 60), size, place, rng.integers(1, 3, len(place)).astype(np.int32)
+    data = S.packed(*given)
+    assert all(np.array_equal(x, y) for x, y in zip(given, S.unpacked(data, 60, len(place)), strict=True))
+    assert len(data) < len(place) * 8 / 3
+    one = S.packed(*(np.zeros(n, np.int64) for n in (1, 1, 1, 0, 0)))
+    assert [len(x) for x in S.unpacked(one, 1, 0)] == [1, 1, 1, 0, 0]
