@@ -96,3 +96,13 @@ def test_documents_of_a_block_travel_in_few_bytes():
     assert len(data) < len(place) * 8 / 3
     one = S.packed(*(np.zeros(n, np.int64) for n in (1, 1, 1, 0, 0)))
     assert [len(x) for x in S.unpacked(one, 1, 0)] == [1, 1, 1, 0, 0]
+
+
+def test_candidates_are_verified_from_counts(spark):
+    from inkstone.operators import similarity as S
+
+    vectors = spark.createDataFrame([(1, [1, 3], [2, 1]), (2, [1, 3], [4, 2]), (3, [2, 3], [1, 1])], "doc_id long, places array<int>, tfs array<int>")
+    top = spark.createDataFrame([(1, 2.0), (2, 1.5), (3, 1.0)], "place int, idf double")
+    candidates = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): r["similarity"] for r in S._verified(candidates, vectors, top, 0.1).collect()}
+    assert abs(got[1, 2] - 1) < 1e-12 and abs(got[1, 3] - 1 / (17 * 3.25) ** 0.5) < 1e-12
